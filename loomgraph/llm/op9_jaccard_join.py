@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .components import connected_components
+from .blocks import class_sets, link_classes, verified_jaccard
 from .idfilter import semi_join
 from .shingles import mix, set_id, shingle_sets
 
@@ -227,32 +227,6 @@ def _keys(sketch, boundary: int) -> object:
     return run
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and class, give each class after a key's first, with that first one."""
-    head = before = None  # (key, class, place) of the first row of the current key; (key, class) of the last row
-    for batch in batches:
-        key, cls, place = (batch.column(c).to_numpy() for c in ("key", "class", "place"))
-        n = len(key)
-        if not n:
-            continue
-        new, fresh = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        fresh[1:] = cls[1:] != cls[:-1]
-        if before is not None and before[0] == key[0]:
-            new[0], fresh[0] = False, before[1] != cls[0]
-        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-        first, first_place = cls[at], place[at]
-        if at[0] < 0:
-            goes_on = at < 0
-            first[goes_on], first_place[goes_on] = head[1], head[2]
-        pick = np.flatnonzero(fresh & ~new)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c[pick], pa.int64()) for c in (key, cls, place, first, first_place)],
-            ["key", "class", "place", "first", "first_place"],
-        )
-        head, before = (int(key[-1]), int(first[-1]), int(first_place[-1])), (int(key[-1]), int(cls[-1]))
-
-
 _SIZE, _POSITION = "shiftright({0}, 32)", "({0} & 4294967295L)"
 
 
@@ -270,37 +244,9 @@ def _may_link(x: str, y: str) -> str:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
-    one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("bigint")
-    return (
-        pairs.join(one, "a").join(two, "b")
-        .select("a", "b", both.alias("both"), (F.size("x").cast("bigint") + F.size("y")).alias("sum"))
-        .filter(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both")))
-        .select("a", "b")
-    )
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sets, many = [], [], 0
-        for _, values in shingle_sets(batch.column("text")):
-            ids.append(set_id(values))
-            sets.append(values.view(np.int64))
-            many += len(values)
-            if many > 1 << 18:
-                yield _set_batch(ids, sets)
-                ids, sets, many = [], [], 0
-        if ids:
-            yield _set_batch(ids, sets)
-
-
-def _set_batch(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["class", "shingles"])
+        yield from class_sets((set_id(values), values) for _, values in shingle_sets(batch.column("text")))
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -314,47 +260,14 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     boundary = boundary_of(docs, sketch)
 
     keys = docs.select("text").mapInArrow(_keys(sketch, boundary), "key bigint, class bigint, place bigint")
-    lists = scratch.save(
-        keys.repartition("key").sortWithinPartitions("key", "class")
-        .mapInArrow(_scan, "key bigint, class bigint, place bigint, first bigint, first_place bigint"),
-        "lists",
-    )
-    # wave one: each member of a list with its first
-    stars = scratch.save(
-        lists.filter(_may_link("place", "first_place"))
-        .select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b")).distinct(),
-        "stars",
-    )
-    listed = lists.select("class").unionAll(lists.select(F.col("first").alias("class"))).distinct()
-    one_each = members.join(listed, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    chosen = semi_join(docs.select(F.col("doc_id").cast("bigint"), "text"), scratch.save(one_each, "chosen"), "doc_id")
-    # repeated ids can bring texts of other classes along
-    sets = scratch.save(chosen.mapInArrow(_sets, "class bigint, shingles array<bigint>").dropDuplicates(["class"]), "sets")
-    links = scratch.save(_verified(stars, sets), "links")
-    found = connected_components(links)
-
-    # wave two: pairs of a list that lie in two components so far
-    both = scratch.save(
-        lists.select("key", "class", "place")
-        .unionAll(lists.select("key", F.col("first").alias("class"), F.col("first_place").alias("place")))
-        .join(found.withColumnRenamed("id", "class"), "class", "left")
-        .select("key", "class", "place", F.coalesce("component", "class").alias("component")),
-        "listed",
-    )
-    mixed = scratch.save(
-        both.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"),
-        "mixed",
-    )
-    open_lists = scratch.save(both.join(mixed, "key", "left_semi").distinct(), "open")
-    x = open_lists.select("key", F.col("class").alias("a"), F.col("place").alias("pa"), F.col("component").alias("ca"))
-    y = open_lists.select("key", F.col("class").alias("b"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-    across = (
-        x.join(y, "key").filter(f"a < b AND ca <> cb AND {_may_link('pa', 'pb')}").select("a", "b").distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = scratch.save(_verified(across, sets), "links")
-    if not more.isEmpty():
-        found = connected_components(links.unionAll(more))
+    def verifier(listed: DataFrame):
+        one_each = members.join(listed, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+        chosen = semi_join(docs.select(F.col("doc_id").cast("bigint"), "text"), scratch.save(one_each, "chosen"), "doc_id")
+        # repeated ids can bring texts of other classes along
+        sets = scratch.save(chosen.mapInArrow(_sets, "class bigint, shingles array<bigint>").dropDuplicates(["class"]), "sets")
+        return lambda pairs: verified_jaccard(pairs, sets, PERCENT)
+
+    found = link_classes(keys, verifier, _may_link("{0}", "{1}"))
     sketch.unpersist()
     return members, found
 
@@ -363,7 +276,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id is the smallest doc_id of its component."""
     members, found = jaccard_links(docs)
     # documents of no shingle link with nothing, not even with each other
-    placed = members.filter("n_shingles > 0").join(found.withColumnRenamed("id", "class"), "class", "left").select(
+    placed = members.filter("n_shingles > 0").join(found, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class").alias("component")
     )
     placed = scratch.save(placed, "placed")

@@ -111,6 +111,18 @@ def rolling(word: np.ndarray) -> np.ndarray:
     return mix(value)
 
 
+def runs_of(word: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, 1 to WIDTH; a short text's shingle is the run of all its words."""
+    if n == WIDTH:
+        return rolling(word)
+    if len(word) < n:
+        return word[:0]
+    value = np.full(len(word) - n + 1, _SHORT[n])
+    for j in range(n):
+        value += word[j : len(word) - n + 1 + j] * _STEP[j]
+    return mix(value)
+
+
 def shingles_of(word: np.ndarray, run: np.ndarray, start: int, end: int) -> np.ndarray:
     """Shingle hashes, in order, of the text whose words are word[start:end]; run is rolling(word)."""
     n = end - start
