@@ -58,7 +58,7 @@ def _with_next(rows: DataFrame, first: Column, ranges: int, order: list[str], va
     first marks the rows that can be a range's first; they are also dealt, as guests, to the range before.
     """
     places = F.when(first, F.array(F.col("_range"), F.pmod(F.col("_range") - 1, F.lit(ranges)))).otherwise(F.array("_range"))
-    dealt = rows.select(*rows.columns, F.posexplode(places).alias("_guest", "_place"))
+    dealt = rows.select(*rows.columns, F.posexplode_outer(places).alias("_guest", "_place"))
     by = Window.partitionBy("_place").orderBy("_guest", *order)
     kept = [c for c in rows.columns if c != "_row"]
     return dealt.select(
@@ -86,7 +86,7 @@ def _triples(text: str) -> Column:
 def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """The keys and fingerprint; keys must tell the rows apart."""
     # both in a projection of their own: beside explode() the sums would be worked out again for every triple
-    units = texts.select(*keys, _sums(text).alias("_sums"), _triples(text).alias("_hs")).select(*keys, "_sums", F.explode("_hs").alias("_h"))
+    units = texts.select(*keys, _sums(text).alias("_sums"), _triples(text).alias("_hs")).select(*keys, "_sums", F.explode_outer("_hs").alias("_h"))
     # four lanes of 15 bits share a long while they are summed; sums carry into the lane above, and are told apart from the lowest on
     units = units.select(
         *keys, "_sums", F.expr(f"cast(pmod(_h, {SIGNS // _PACKED}) AS int)").alias("_word"),
@@ -165,7 +165,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     both = edited.select(
         "_range", "_row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        F.posexplode(F.array("text", "edited")).alias("_which", "_text"),
+        F.posexplode_outer(F.array("text", "edited")).alias("_which", "_text"),
     )
     marked = fingerprints(both, ["_range", "_row", "doc_id", "n_chars", "edited_sha256", "_which"], "_text")
     one = marked.groupBy("_range", "_row").agg(
