@@ -1,7 +1,8 @@
 """Links between classes that share keys, without the pairs of a crowded key.
 
 A key's rows are scanned in sorted order as a stream, so a key of any size needs no memory.
-Pairs come in two waves. First each class of a key is paired with the key's first class.
+Pairs come in two waves. First each class is paired with one other: of the classes that come
+first in its keys, the one that it meets most often.
 Once those links are verified and merged into components, only pairs of a key that lie in
 two components can still change anything, and all of these are verified as well. A group
 of many alike classes thus costs its size, and no link between components is lost.
@@ -94,10 +95,13 @@ def link_classes(
         .mapInArrow(_scan, "key bigint, class bigint, place bigint, first bigint, first_place bigint"),
         "lists",
     )
+    # wave one: each class with the class that comes first in most of its keys
+    met = (
+        lists.filter(may_link.format("place", "first_place")).groupBy("class", "first").count()
+        .groupBy("class").agg(F.max(F.struct("count", "first")).alias("best"))
+    )
     stars = scratch.save(
-        lists.filter(may_link.format("place", "first_place"))
-        .select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b")).distinct(),
-        "stars",
+        met.select(F.least("class", "best.first").alias("a"), F.greatest("class", "best.first").alias("b")).distinct(), "stars"
     )
     verify = verifier(lists.select("class").unionAll(lists.select(F.col("first").alias("class"))).distinct())
     links = scratch.save(verify(stars), "links")
