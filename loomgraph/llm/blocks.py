@@ -81,14 +81,13 @@ def class_sets(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBat
 
 
 def link_classes(
-    keys: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], may_link: str = "true"
+    keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, may_link: str = "true"
 ) -> DataFrame:
     """(class, component) of the classes that link with others; component is its smallest class.
 
     keys: (key, class, place), a row for each key of each class, repeats allowed.
-    verifier(listed) gets the classes that share a key with others and returns a function
-    from pairs (a, b) to the pairs that link. may_link: a condition on two places, as a
-    format string, that every linked pair meets at one shared key at least.
+    sets_of(classes) returns (class, shingles) of these classes at least. may_link: a condition
+    on two places, as a format string, that every linked pair meets at one shared key at least.
     """
     lists = scratch.save(
         keys.repartition("key").sortWithinPartitions("key", "class")
@@ -103,8 +102,16 @@ def link_classes(
     stars = scratch.save(
         met.select(F.least("class", "best.first").alias("a"), F.greatest("class", "best.first").alias("b")).distinct(), "stars"
     )
-    verify = verifier(lists.select("class").unionAll(lists.select(F.col("first").alias("class"))).distinct())
-    links = scratch.save(verify(stars), "links")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        classes = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "classes")
+        sets = scratch.save(sets_of(classes), "sets")
+        links = scratch.save(verified_jaccard(pairs, sets, percent), "links")
+        scratch.drop(sets)
+        scratch.drop(classes)
+        return links
+
+    links = verify(stars)
     found = connected_components(links).withColumnRenamed("id", "class")
 
     both = scratch.save(
@@ -122,13 +129,15 @@ def link_classes(
     scratch.drop(both)
     x = open_lists.select("key", F.col("class").alias("a"), F.col("place").alias("pa"), F.col("component").alias("ca"))
     y = open_lists.select("key", F.col("class").alias("b"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-    across = (
+    across = scratch.save(
         x.join(y, "key").filter(f"a < b AND ca <> cb AND {may_link.format('pa', 'pb')}").select("a", "b").distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(stars, ["a", "b"], "left_anti"),
+        "across",
     )
-    more = scratch.save(verify(across), "links")
-    if not more.isEmpty():
-        found = connected_components(links.unionAll(more)).withColumnRenamed("id", "class")
-    for table in (lists, stars, mixed, open_lists):
+    if not across.isEmpty():
+        more = verify(across)
+        if not more.isEmpty():
+            found = connected_components(links.unionAll(more)).withColumnRenamed("id", "class")
+    for table in (lists, stars, mixed, open_lists, across):
         scratch.drop(table)
     return found

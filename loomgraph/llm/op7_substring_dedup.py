@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .blocks import class_sets, link_classes, verified_jaccard
+from .blocks import class_sets, link_classes
 from .idfilter import semi_join
 from .shingles import WIDTH, mix, rolling, shingles_of, text_slices, words
 
@@ -44,7 +44,6 @@ RADIUS = 4
 LEAST_PIECE = 5
 GAP = 120
 RUN_WORDS = 30
-#: Characters that the units' arrays may have words skipped at their ends, kept out of spans.
 UNITS = "doc_id bigint, unit bigint, start int, stop int, words int, bands array<bigint>"
 
 
@@ -196,15 +195,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # paragraphs that are alike but not equal
     keys = paragraphs.select(F.explode("bands").alias("key"), F.col("unit").alias("class"), F.lit(0).cast("bigint").alias("place"))
 
-    def verifier(listed: DataFrame):
-        wanted = scratch.save(listed, "wanted")
-        homes = paragraphs.join(wanted.withColumnRenamed("class", "unit"), "unit", "left_semi").groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
+    def sets_of(classes: DataFrame) -> DataFrame:
+        wanted = classes.withColumnRenamed("class", "unit")
+        homes = paragraphs.join(wanted, "unit", "left_semi").groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
         chosen = semi_join(docs, scratch.save(homes.select("doc_id").distinct(), "homes"), "doc_id")
         sets = chosen.mapInArrow(_paragraph_sets, "class bigint, shingles array<bigint>")
-        sets = scratch.save(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sets")
-        return lambda pairs: verified_jaccard(pairs, sets, PERCENT)
+        return sets.join(classes, "class", "left_semi").dropDuplicates(["class"])
 
-    alike = link_classes(keys, verifier).select(F.col("class").alias("unit"), "component")
+    alike = link_classes(keys, sets_of, PERCENT).select(F.col("class").alias("unit"), "component")
 
     # equal units, by hash; a cluster is a component of paragraphs or a hash alone
     spread = units.groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .blocks import class_sets, link_classes, verified_jaccard
+from .blocks import class_sets, link_classes
 from .idfilter import semi_join
 from .shingles import mix, set_id, shingle_sets
 
@@ -260,14 +260,13 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     boundary = boundary_of(docs, sketch)
 
     keys = docs.select("text").mapInArrow(_keys(sketch, boundary), "key bigint, class bigint, place bigint")
-    def verifier(listed: DataFrame):
-        one_each = members.join(listed, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    def sets_of(classes: DataFrame) -> DataFrame:
+        one_each = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
         chosen = semi_join(docs.select(F.col("doc_id").cast("bigint"), "text"), scratch.save(one_each, "chosen"), "doc_id")
-        # repeated ids can bring texts of other classes along
-        sets = scratch.save(chosen.mapInArrow(_sets, "class bigint, shingles array<bigint>").dropDuplicates(["class"]), "sets")
-        return lambda pairs: verified_jaccard(pairs, sets, PERCENT)
+        # repeated ids can bring sets of other classes or a set twice; neither adds a pair
+        return chosen.mapInArrow(_sets, "class bigint, shingles array<bigint>")
 
-    found = link_classes(keys, verifier, _may_link("{0}", "{1}"))
+    found = link_classes(keys, sets_of, PERCENT, _may_link("{0}", "{1}"))
     sketch.unpersist()
     return members, found
 
