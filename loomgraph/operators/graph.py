@@ -177,3 +177,101 @@ def mermaid_vertices(vertices: DataFrame, slug) -> DataFrame:
     for kind, (a, b) in MERMAID_SHAPES.items():
         left, right = F.when(F.col("kind") == kind, a).otherwise(left), F.when(F.col("kind") == kind, b).otherwise(right)
     return vertices.select("id", F.concat(slug(F.col("id")), left, F.replace("name", F.lit('"'), F.lit("'")), right).alias("line"))
+
+
+SUBGRAPHS = {
+    "deps": (("Package",), ("depends_on",)),
+    "comms": (("Node", "Topic", "Service", "Action"), COMM_RELATIONS),
+}
+
+
+def subgraph(vertices: DataFrame, edges: DataFrame, view: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges of a view: deps, comms or full."""
+    if view == "full":
+        return vertices, edges
+    if view not in SUBGRAPHS:
+        raise ValueError(f"unknown view {view}")
+    kinds, relations = SUBGRAPHS[view]
+    kept = vertices.filter(F.col("kind").isin(*kinds))
+    return kept, induced(edges.filter(F.col("rel").isin(*relations)), kept)
+
+
+def focus(vertices: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The vertices called name, or else those of the package of that name, with their neighbours and the edges among them."""
+    called = vertices.filter(F.col("name") == name)
+    seeds = vertices.filter(F.col("name") == name)
+    if seeds.isEmpty():
+        seeds = vertices.filter(F.col("package") == name)
+    near = neighbourhood(edges, seeds)
+    return vertices.join(near, "id", "left_semi"), induced(edges, near)
+
+
+def label_search(vertices: DataFrame, edges: DataFrame, text: str) -> DataFrame:
+    """(id, hit): vertices whose name contains the text in any case, and their neighbours."""
+    hits = vertices.filter(F.contains(F.lower("name"), F.lit(text.lower()))).select("id")
+    return neighbourhood(edges, hits).join(hits.distinct().withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def cross_package_edges(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """(src, dst, key): edges between vertices of different packages. owners: (id, package)."""
+    one = owners.select(F.col("id").alias("src"), F.col("package").alias("_from"))
+    two = owners.select(F.col("id").alias("dst"), F.col("package").alias("_to"))
+    return edges.join(one, "src").join(two, "dst").filter("_from <> _to").select("src", "dst", "key")
+
+
+def edge_bundles(edges: DataFrame) -> DataFrame:
+    """(a, b, n): how many edges run between two vertices, in either direction."""
+    return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
+
+
+def connection_records(endpoints: DataFrame) -> DataFrame:
+    """(package, component, role, name, publishers, subscribers, callers): for each endpoint of a component who else is there.
+
+    At topics these are the other publishers and subscribers; at services and actions the other callers only.
+    Peers are counted in one row per endpoint name, so a crowded name costs its size once.
+    """
+    use = endpoints.withColumns({"rel": _by_role(0), "kind": _by_role(1), "node": node_id()})
+
+    def side(rel: str) -> Column:
+        rows = F.sort_array(F.collect_list(F.when(F.col("rel") == rel, F.struct("seq", "node", "component"))))
+        return rows.alias(f"_{rel}")
+
+    sides = use.groupBy("kind", "name").agg(side("publishes"), side("subscribes"), side("calls"))
+
+    def others(rel: str, topic: bool) -> Column:
+        names = F.transform(F.filter(f"_{rel}", lambda r: r["node"] != F.col("node")), lambda r: r["component"])
+        return F.when((F.col("kind") == "Topic") == F.lit(topic), F.array_join(names, ", ")).otherwise("")
+
+    return use.join(sides, ["kind", "name"]).select(
+        "package", "component", "role", "name", "msg_type", "seq",
+        others("publishes", True).alias("publishers"), others("subscribes", True).alias("subscribers"), others("calls", False).alias("callers"),
+    )
+
+
+MERMAID_ARROWS = {"publishes": "-->|pub|", "subscribes": "-->|sub|", "depends_on": "-.->", "provides": "-->|srv|", "calls": "-.->|call|"}
+
+
+def mermaid_edges(edges: DataFrame, slug) -> DataFrame:
+    """(src, dst, key, line): a diagram line for each edge."""
+    arrow = F.lit("-->")
+    for rel, text in MERMAID_ARROWS.items():
+        arrow = F.when(F.col("rel") == rel, text).otherwise(arrow)
+    arrow = F.when((F.col("rel") == "provides") & F.col("dst").startswith("action:"), "-->|act|").otherwise(arrow)
+    return edges.select("src", "dst", "key", F.concat(slug(F.col("src")), F.lit(" "), arrow, F.lit(" "), slug(F.col("dst"))).alias("line"))
+
+
+DOT_SHAPES = {"Package": "shape=box", "Topic": "shape=ellipse, color=blue", "Service": "shape=diamond, color=green", "Action": "shape=hexagon, color=red", "Node": "shape=rectangle, color=orange", "Interface": "shape=parallelogram"}
+
+
+def dot_vertices(vertices: DataFrame, slug) -> DataFrame:
+    """(id, line) in DOT."""
+    look = F.lit("")
+    for kind, text in DOT_SHAPES.items():
+        look = F.when(F.col("kind") == kind, f", {text}").otherwise(look)
+    return vertices.select("id", F.concat(slug(F.col("id")), F.lit(' [label="'), F.replace("name", F.lit('"'), F.lit("'")), F.lit('"'), look, F.lit("];")).alias("line"))
+
+
+def dot_edges(edges: DataFrame, slug) -> DataFrame:
+    """(src, dst, key, line) in DOT."""
+    look = F.when(F.col("rel") == "depends_on", F.lit("style=dashed")).otherwise(F.concat(F.lit('label="'), "rel", F.lit('"')))
+    return edges.select("src", "dst", "key", F.concat(slug(F.col("src")), F.lit(" -> "), slug(F.col("dst")), F.lit(" ["), look, F.lit("];")).alias("line"))

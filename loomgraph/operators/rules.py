@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import has_email
-from .graph import closure, components, peers
+from .graph import closure, components, peers, simple_cycles
+from .health import workspace_score
 
 SYSTEM_TOPICS = ("/rosout", "/parameter_events", "/tf", "/tf_static", "/clock")
 
@@ -80,6 +81,18 @@ def health_threshold(scores: DataFrame, least: int = 70, level: str = "warning")
     return _violations(low, level, "health_threshold", "name", F.concat(F.lit("Package '"), "name", F.lit("' scores "), F.coalesce("score", F.lit(0))))
 
 
+def workspace_threshold(scores: DataFrame, least: int, level: str = "warning") -> DataFrame:
+    """One violation where the mean score lies below a threshold other than 0."""
+    low = workspace_score(scores).filter((F.lit(least) != 0) & (F.col("score") < least)).withColumn("name", F.lit("workspace"))
+    return _violations(low, level, "health_threshold", "name", F.concat(F.lit("The workspace scores "), "score"))
+
+
+def no_circular_deps(deps: DataFrame, level: str = "error") -> DataFrame:
+    """Every simple cycle of dependencies."""
+    named = simple_cycles(deps).withColumn("name", F.col("cycle")[0])
+    return _violations(named, level, "no_circular_deps", "name", F.concat(F.lit("Dependency cycle: "), F.array_join("cycle", " > ")))
+
+
 def _reach(deps: DataFrame, packages: DataFrame) -> DataFrame:
     own = packages.select(F.col("name").alias("src"), F.col("name").alias("dst"))
     return closure(deps).unionAll(own).distinct()
@@ -113,5 +126,3 @@ def exit_code(violations: DataFrame, fail_on: str = "error") -> int:
     rank = {"error": 0, "warning": 1, "info": 2}[fail_on]
     levels = [s for s, r in (("error", 0), ("warning", 1), ("info", 2)) if r <= rank]
     return int(not violations.filter(F.col("severity").isin(levels)).isEmpty())
-
-

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import os
+import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,14 +17,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed names of directories that discovery does not enter, and of stop markers.
-EXCLUDED = frozenset(
-    ("build", "install", "log", "node_modules", "__pycache__", "venv", "env", "dist", "site-packages")
-)
-STOP_MARKERS = ("COLCON_IGNORE", "AMENT_IGNORE", "CATKIN_IGNORE")
+#: Directories that discovery does not enter, and markers of directories to leave out.
+EXCLUDED = frozenset((
+    "build", "install", "log", ".venv", "venv", "env", ".tox", ".nox", ".pytest_cache", ".mypy_cache", ".ruff_cache",
+    "__pycache__", "node_modules", "dist", ".git", ".hg", ".svn",
+))
+STOP_MARKERS = ("COLCON_IGNORE", ".rosignore")
 FILES = "package string, root string, rel_path string, name string, suffix string, is_dir boolean, seq long"
 
 
+def workspace_root(start: str) -> str:
+    """The nearest directory, start or above it, with src/ or install/setup.bash; start itself where there is none."""
+    here = Path(start).resolve()
+    for folder in (here, *here.parents):
+        try:
+            if (folder / "src").is_dir() or (folder / "install" / "setup.bash").is_file():
+                return str(folder)
+        except PermissionError:
+            if folder == here:
+                raise
+            break
+    print(f"no workspace at or above {start}; it is taken as one", file=sys.stderr)
+    return str(here)
+
+
+def source_root(root: str) -> str:
+    """The src/ directory of a workspace, if it has one and is not one."""
+    inner = Path(root) / "src"
+    return str(inner) if Path(root).name != "src" and inner.is_dir() else root
+
+
 def packages_below(root: str) -> list[str]:
     """Directories with a manifest, breadth first and by name; nothing below one is searched."""
     found, queue = [], [Path(root)]
@@ -66,17 +89,17 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 def _parsed(rows: DataFrame, parse, schema: str, columns: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [r for root, rel in zip(batch["root"], batch["rel_path"], strict=True) for r in parse(root, rel)]
+            out = [r for root, rel, package in zip(batch["root"], batch["rel_path"], batch["package"], strict=True) for r in parse(root, rel, package)]
             yield pd.DataFrame(out, columns=columns)
 
-    return rows.select("root", "rel_path").mapInPandas(run, schema)
+    return rows.select("root", "rel_path", "package").mapInPandas(run, schema)
 
 
 DEPENDENCY_TAGS = {"build_depend": "build", "exec_depend": "exec", "test_depend": "test", "build_export_depend": "build_export", "depend": "depend"}
 BUILD_TYPES = {"ament_cmake": "ament_cmake", "ament_python": "ament_python", "cmake": "cmake", "python": "python"}
 
 
-def _manifest(root: str, rel: str):
+def _manifest(root: str, rel: str, package: str):
     try:
         top = ET.parse(os.path.join(root, rel)).getroot()
     except (ET.ParseError, OSError):
@@ -98,7 +121,7 @@ def _manifest(root: str, rel: str):
     else:
         kind = next((k for k in ("ament_cmake", "ament_python") if k in build_deps), "unknown")
     yield (
-        text("name") or os.path.basename(root), text("version") or "0.0.0", kind, people, text("license"), text("description"), root,
+        text("name") or package, text("version") or "0.0.0", kind, people, text("license"), text("description"), root,
         [{"dep_type": t, "dep_name": n} for t, n in deps],
     )
 
@@ -124,6 +147,54 @@ def field_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & (x != "---") & ~x.startswith("#"))
 
 
+INTERFACE_KINDS = {".msg": "msg", ".srv": "srv", ".action": "action"}
+
+
+def _content(root: str, rel: str, package: str):
+    try:
+        text = Path(root, rel).read_text(encoding="utf-8", errors="replace")
+    except OSError:
+        text = ""
+    yield root, rel, text
+
+
+def contents(listing: DataFrame) -> DataFrame:
+    """(root, rel_path, text) of files; an unreadable one is empty."""
+    return _parsed(listing.filter("NOT is_dir"), _content, "root string, rel_path string, text string", ["root", "rel_path", "text"])
+
+
+def interfaces(listing: DataFrame) -> DataFrame:
+    """(package, name, kind, fields, file_path, seq) of interface files."""
+    own = listing.filter(F.col("suffix").isin(*INTERFACE_KINDS) & ~F.col("is_dir"))
+    kind = F.substring_index("name", ".", -1)
+    return own.join(contents(own), ["root", "rel_path"]).select(
+        "package", F.expr("substring(name, 1, length(name) - length(suffix))").alias("name"), kind.alias("kind"),
+        field_lines(F.col("text")).alias("fields"), F.col("rel_path").alias("file_path"), F.struct("seq", "rel_path").alias("seq"),
+    )
+
+
+#: Fixed spellings of a readme.
+READMES = ("README.md", "README.rst", "README.txt", "README")
+
+
+def facts(listing: DataFrame) -> DataFrame:
+    """(package, has_readme, has_test_dir, has_launch_files) from the names alone."""
+    path = F.col("rel_path")
+    return listing.groupBy("package").agg(
+        F.max(path.isin(*READMES) & ~F.col("is_dir")).alias("has_readme"), F.max(path.startswith("test/")).alias("has_test_dir"),
+        F.max(path.isin("launch", "bringup/launch") & F.col("is_dir")).alias("has_launch_files"),
+    )
+
+
+def fingerprints(listing: DataFrame) -> DataFrame:
+    """(package, fingerprint): SHA-256 over the relative paths and contents of all files that are parsed, in path order."""
+    parsed = listing.filter(F.col("suffix").isin(*PARSED) & ~F.col("is_dir"))
+    each = parsed.join(contents(parsed), ["root", "rel_path"]).select("package", "rel_path", F.sha2("text", 256).alias("digest"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("rel_path", "digest"))), lambda r: F.concat(r["rel_path"], F.lit(" "), r["digest"]))
+    return each.groupBy("package").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
+
+
+PARSED = (".py", ".cpp", ".cxx", ".cc", ".hpp", ".h", ".msg", ".srv", ".action", ".xml", ".yaml", ".yml")
 _BASES = ("Node", "rclpy.node.Node", "LifecycleNode", "rclpy_lifecycle.LifecycleNode")
 _CALLS = {
     "create_publisher": ("publishes", 1, 0, ("topic",)), "create_subscription": ("subscribes", 1, 0, ("topic",)),
@@ -133,7 +204,7 @@ _CALLS = {
 }
 
 
-def _python(root: str, rel: str):
+def _python(root: str, rel: str, package: str):
     try:
         tree = ast.parse(Path(root, rel).read_text(encoding="utf-8", errors="replace"))
     except (SyntaxError, OSError, ValueError):
@@ -155,17 +226,28 @@ def _python(root: str, rel: str):
                 return value.value
             return known.get(ast.unparse(value).removeprefix("self."), "<dynamic>") if value is not None else "<dynamic>"
 
+        yield package, cls.name, None, None, None, rel, cls.lineno, None
         for n in sorted((n for n in ast.walk(cls) if isinstance(n, ast.Call)), key=lambda n: (n.lineno, n.col_offset)):
             called = n.func.attr if isinstance(n.func, ast.Attribute) else getattr(n.func, "id", "")
             if called in _CALLS:
                 role, at, kind_at, keywords = _CALLS[called]
-                kind = ast.unparse(n.args[kind_at]) if len(n.args) > kind_at else "unknown"
-                yield (os.path.basename(root), cls.name, role, name_of(n, at, keywords), types.get(kind, kind), rel, n.lineno)
-
-
-def python_endpoints(listing: DataFrame) -> DataFrame:
-    """Endpoints of the component classes in Python files, in a fixed order."""
-    names = ["package", "component", "role", "name", "msg_type", "file_path", "line"]
-    schema = "package string, component string, role string, name string, msg_type string, file_path string, line long"
-    rows = _parsed(listing.filter("suffix = '.py' AND NOT is_dir"), _python, schema, names)
-    return rows.withColumn("seq", F.struct("package", "file_path", "line"))
+                yield package, cls.name, role, name_of(n, at, keywords), _type_of(n.args[kind_at : kind_at + 1], types), rel, n.lineno, called
+
+
+def _type_of(arg: list[ast.expr], types: dict[str, str]) -> str:
+    """An imported alias, or package/Type around msg, srv or action in a dotted name, or the dotted name itself."""
+    if not arg or not isinstance(arg[0], ast.Name | ast.Attribute):
+        return "unknown"
+    text = ast.unparse(arg[0])
+    parts = text.split(".")
+    for kind in ("msg", "srv", "action"):
+        if kind in parts[1:-1]:
+            return f"{parts[parts.index(kind, 1) - 1]}/{parts[-1]}"
+    return types.get(text, text)
+
+
+def python_records(listing: DataFrame) -> DataFrame:
+    """A row for each component class of the Python files (role null) and each of its endpoints."""
+    names = ["package", "component", "role", "name", "msg_type", "file_path", "line", "evidence"]
+    schema = "package string, component string, role string, name string, msg_type string, file_path string, line long, evidence string"
+    return _parsed(listing.filter("suffix = '.py' AND NOT is_dir"), _python, schema, names)
