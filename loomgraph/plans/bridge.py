@@ -32,16 +32,32 @@ SELECT concat('nation_', n_nationkey) AS name, CASE WHEN n_nationkey % 5 = 0 THE
 
 _INTERFACES = """SELECT concat('pkg_', p_partkey % 7) AS package, concat('k', p_partkey % 97) AS name FROM {part} WHERE p_partkey % 5 = 0"""
 
-SQL = {"endpoints": _ENDPOINTS, "deps": _DEPS, "signals": _SIGNALS, "packages": _PACKAGES, "interfaces": _INTERFACES}
+_LAUNCH = """
+SELECT concat('pkg_', c_custkey % 7) AS owner_package, concat('user_', c_custkey) AS executable, concat('pkg_', c_custkey % 7) AS package,
+  CASE WHEN c_custkey % 5 = 0 THEN concat('user_', c_custkey) END AS name, concat('/d', c_custkey % 28 + 1, '/k', c_custkey % 10) AS remap_from,
+  concat('/moved/', c_custkey) AS remap_to, CASE WHEN c_custkey % 3 = 0 THEN concat('room', c_nationkey) END AS namespace, c_custkey AS seq FROM {customer}"""
+
+_COMPONENTS = """SELECT concat('pkg_', c_custkey % 7) AS package, concat('user_', c_custkey) AS name, c_custkey AS seq FROM {customer}"""
+
+_CLEAR_INTERFACES = """
+SELECT concat('pkg_', p_partkey % 7) AS package, concat('k', p_partkey % 97) AS name, p_partkey AS seq FROM {part}
+WHERE p_partkey % 5 = 0 AND (p_partkey < 485 OR p_partkey % 97 < 40)"""
+
+_BUILDS = """
+SELECT s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 'ament_cmake' WHEN 1 THEN 'ament_python' WHEN 2 THEN 'cmake' WHEN 3 THEN 'python' ELSE 'meta' END AS package_type,
+  CASE WHEN s_suppkey % 3 > 0 THEN cast(s_suppkey % 101 AS INT) END AS health_score, concat('1.', s_suppkey % 12, '.0') AS version,
+  concat('person ', s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE ' <p@x.org>' END) AS maintainer, concat('pkg_', s_suppkey % 60) AS short_name FROM {supplier}"""
+
+SQL = {"launch": _LAUNCH, "components": _COMPONENTS, "clear_interfaces": _CLEAR_INTERFACES, "builds": _BUILDS, "endpoints": _ENDPOINTS, "deps": _DEPS, "signals": _SIGNALS, "packages": _PACKAGES, "interfaces": _INTERFACES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A model table over the Parquet files of sf_dir."""
-    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("events", "lineitem", "orders", "customer", "supplier", "documents", "nation", "part")}
+    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("events", "lineitem", "orders", "customer", "supplier", "documents", "nation", "part", "pages")}
     return spark.sql(SQL[name].format(json="get_json_object(props, '$.k')", **tables))
 
 
 def oracle(name: str) -> str:
     """The same as a DuckDB subquery."""
-    names = {t: t for t in ("events", "lineitem", "orders", "customer", "supplier", "documents", "nation", "part")}
+    names = {t: t for t in ("events", "lineitem", "orders", "customer", "supplier", "documents", "nation", "part", "pages")}
     return "(" + SQL[name].format(json="json_extract_string(props, '$.k')", **names) + ")"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import graph, health, rules
+from ..operators import assembly, graph, health, packages, rules
 from .bridge import oracle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +245,145 @@ def interface_fields(spark, d):
     from ..sources.workspace import field_lines
 
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(field_lines(F.col("text")), " / ").alias("fields"))
+
+
+L, C, N, B = (oracle(n) for n in ("launch", "components", "clear_interfaces", "builds"))
+
+
+def _launch_nodes(spark, d):
+    return table(spark, d, "launch").withColumn("remaps", F.create_map("remap_from", "remap_to"))
+
+
+_MATCHED = f"""(SELECT package, component, deployment_name, namespace FROM (
+  SELECT c.package, c.name AS component, coalesce(l.name, l.executable) AS deployment_name, l.namespace, row_number() OVER (PARTITION BY c.package, c.name ORDER BY l.seq) AS r
+  FROM {C} c JOIN {L} l ON l.owner_package = c.package AND (l.name = c.name OR l.executable = c.name)) WHERE r = 1)"""
+
+
+@_query(f"SELECT * FROM {_MATCHED}")
+def launch_match(spark, d):
+    return assembly.match_launch(table(spark, d, "components"), _launch_nodes(spark, d)).drop("remaps")
+
+
+@_query(f"""SELECT package, component, role, seq, original_name, CASE WHEN namespace IS NULL OR starts_with(r, '/') THEN r ELSE concat('/', namespace, '/', r) END AS name,
+  CASE WHEN namespace IS NULL OR starts_with(r, '/') THEN r ELSE concat('/', namespace, '/', r) END <> original_name AS remapped FROM (
+  SELECT e.package, e.component, e.role, e.seq, e.n AS original_name, l.namespace,
+    CASE WHEN l.remap_from = e.n OR l.remap_from = concat('/', e.n) THEN l.remap_to ELSE e.n END AS r
+  FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN substring(name, 2) ELSE name END AS n FROM {E}) e LEFT JOIN {L} l ON l.owner_package = e.package AND l.executable = e.component)""")
+def effective_names(spark, d):
+    declared = table(spark, d, "endpoints").withColumn("name", F.expr("if(seq % 2 = 0, substring(name, 2), name)")).drop("msg_type")
+    return assembly.effective_endpoints(declared, assembly.match_launch(table(spark, d, "components"), _launch_nodes(spark, d)))
+
+
+_GUESSED = f"""(SELECT v.id, v.name, CASE WHEN v.msg_type = 'unknown' THEN coalesce(o.t, 'unknown') ELSE v.msg_type END AS msg_type,
+  CASE WHEN v.msg_type <> 'unknown' THEN 'explicit' WHEN o.t IS NULL THEN 'unknown' ELSE 'inferred_name_match' END AS type_source,
+  CASE WHEN v.msg_type = 'unknown' THEN 'low' ELSE 'high' END AS confidence FROM {_TYPED} v
+  LEFT JOIN (SELECT lower(name) AS bare, min(concat(package, '/', name)) AS t FROM {N} GROUP BY lower(name) HAVING count(*) = 1) o ON o.bare = lower(regexp_extract(v.name, '[^/]*$')))"""
+
+
+def _typed(spark, d):
+    return assembly.infer_types(graph.comm_vertices(table(spark, d, "endpoints")), table(spark, d, "clear_interfaces"))
+
+
+@_query(f"SELECT id, msg_type, type_source, confidence FROM {_GUESSED}")
+def inferred_types(spark, d):
+    return _typed(spark, d).select("id", "msg_type", "type_source", "confidence")
+
+
+@_query(f"SELECT e.src, concat('iface:', g.msg_type) AS dst, min(e.seq) AS seq FROM {_EDGES} e JOIN {_GUESSED} g ON g.id = e.dst WHERE g.msg_type IN (SELECT concat(package, '/', name) FROM {N}) GROUP BY e.src, g.msg_type")
+def uses_interface(spark, d):
+    return assembly.uses_interface(graph.comm_edges(table(spark, d, "endpoints")), _typed(spark, d), table(spark, d, "clear_interfaces")).select("src", "dst", "seq")
+
+
+@_query(f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM {_EDGES} GROUP BY least(src, dst), greatest(src, dst)")
+def edge_bundles(spark, d):
+    return graph.edge_bundles(graph.comm_edges(table(spark, d, "endpoints")))
+
+
+@_query(f"SELECT concat('pkg:', src) AS src, concat('pkg:', dst) AS dst, 'depends_on' AS key FROM {D} WHERE dst IN (SELECT name FROM {P})")
+def subgraph_deps(spark, d):
+    pkgs = table(spark, d, "packages")
+    vertices = pkgs.select(F.concat(F.lit("pkg:"), "name").alias("id"), F.lit("Package").alias("kind"), "name", F.col("name").alias("package"))
+    deps = table(spark, d, "deps").select(F.concat(F.lit("pkg:"), "src").alias("src"), F.concat(F.lit("pkg:"), "dst").alias("dst"), F.lit("depends_on").alias("rel"), F.lit(0).alias("seq"))
+    return graph.subgraph(vertices, assembly.numbered(deps), "deps")[1].select("src", "dst", "key")
+
+
+_NAMED = f"(SELECT DISTINCT {_NODE} AS id, component AS name, package FROM {E} UNION SELECT DISTINCT {_ID}, name, NULL FROM {E})"
+
+
+def _named(spark, d):
+    e = table(spark, d, "endpoints")
+    nodes = graph.components(e).select("id", F.col("component").alias("name"), "package")
+    return nodes.unionByName(graph.comm_vertices(e).select("id", "name", F.lit(None).cast("string").alias("package")))
+
+
+def _focus_sql(seed: str) -> str:
+    near = f"(SELECT id FROM {_NAMED} WHERE {seed} UNION SELECT dst FROM {_EDGES} WHERE src IN (SELECT id FROM {_NAMED} WHERE {seed}) UNION SELECT src FROM {_EDGES} WHERE dst IN (SELECT id FROM {_NAMED} WHERE {seed}))"
+    return f"SELECT src, dst, key FROM {_EDGES} WHERE src IN {near} AND dst IN {near}"
+
+
+@_query(_focus_sql("package = 'pkg_3'"))
+def package_focus(spark, d):
+    return graph.focus(_named(spark, d), graph.comm_edges(table(spark, d, "endpoints")), "pkg_3")[1].select("src", "dst", "key")
+
+
+@_query(f"""SELECT id, bool_or(hit) AS hit FROM (SELECT id, true AS hit FROM {_NAMED} WHERE contains(lower(name), 'k7') UNION ALL
+  SELECT e.src, false FROM {_EDGES} e JOIN {_NAMED} v ON v.id = e.dst WHERE contains(lower(v.name), 'k7') UNION ALL
+  SELECT e.dst, false FROM {_EDGES} e JOIN {_NAMED} v ON v.id = e.src WHERE contains(lower(v.name), 'k7')) GROUP BY id""")
+def label_search(spark, d):
+    return graph.label_search(_named(spark, d), graph.comm_edges(table(spark, d, "endpoints")), "K7")
+
+
+_PARENT = f"(SELECT {_ID} AS id, coalesce(min_by(package, seq) FILTER (role IN ('publishes', 'provides')), min_by(package, seq)) AS package FROM {E} GROUP BY {_ID})"
+
+
+@_query(f"SELECT e.src, e.dst, e.key FROM {_EDGES} e JOIN {_PARENT} p ON p.id = e.dst WHERE regexp_extract(e.src, '^node:([^/]*)', 1) <> p.package")
+def cross_package_edges(spark, d):
+    e = table(spark, d, "endpoints")
+    of = F.regexp_extract("parent", "^(?:node|pkg):([^/]*)", 1)
+    owners = graph.components(e).select("id", "package").unionAll(graph.parents(e).select("id", of))
+    return graph.cross_package_edges(graph.comm_edges(e), owners)
+
+
+_ACTION_ROLE = "CASE role WHEN 'provides' THEN 'serves' WHEN 'calls' THEN 'requests' ELSE role END"
+
+
+@_query(f"""SELECT 'warning' AS severity, 'action_connectivity' AS rule_type, name AS entity, concat('Action ''', name, ''' is never called; provided by ', provides) AS message
+  FROM {_sides(_SERVICE, 'provides', 'calls')} WHERE calls = '' UNION ALL
+  SELECT 'warning', 'action_connectivity', name, concat('Action ''', name, ''' has no provider; called by ', calls) FROM {_sides(_SERVICE, 'provides', 'calls')} WHERE provides = ''""")
+def rule_action_connectivity(spark, d):
+    return rules.service_connectivity(table(spark, d, "endpoints").withColumn("role", F.expr(_ACTION_ROLE)), "Action", "warning", "warning")
+
+
+@_query(f"SELECT 'warning' AS severity, 'maintainer_required' AS rule_type, name AS entity, concat('Package ''', name, ''' has no maintainer') AS message FROM {B} WHERE NOT contains(maintainer, '@')")
+def rule_maintainer(spark, d):
+    return rules.maintainer_required(table(spark, d, "builds").withColumn("maintainers", F.array("maintainer")), True)
+
+
+@_query(f"""WITH RECURSIVE p AS (SELECT [src] AS path, dst FROM {D} UNION ALL
+  SELECT list_append(p.path, p.dst), d.dst FROM p JOIN {D} d ON d.src = p.dst WHERE p.dst > p.path[1] AND NOT list_contains(p.path, p.dst))
+SELECT 'error' AS severity, 'no_circular_deps' AS rule_type, path[1] AS entity, concat('Dependency cycle: ', array_to_string(path, ' > ')) AS message FROM p WHERE dst = path[1]""")
+def rule_no_circular(spark, d):
+    return rules.no_circular_deps(table(spark, d, "deps"))
+
+
+@_query(f"SELECT name, package_type, health_score FROM {B} WHERE package_type IN ('ament_cmake', 'cmake') ORDER BY coalesce(health_score, 0) DESC, name")
+def packages_filter_sort(spark, d):
+    return packages.listed(table(spark, d, "builds"), "cpp", "health").select("name", "package_type", "health_score")
+
+
+@_query(f"SELECT short_name AS name, string_agg(name, ', ' ORDER BY name) AS paths FROM {B} GROUP BY short_name HAVING count(*) > 1")
+def duplicate_packages(spark, d):
+    rows = table(spark, d, "builds").select(F.col("short_name").alias("name"), F.col("name").alias("path"))
+    return assembly.duplicate_packages(rows).select("name", F.array_join("paths", ", ").alias("paths"))
+
+
+@_query(f"""SELECT src, dst, key, concat(regexp_replace(src, '[^A-Za-z0-9_]', '_', 'g'), '_', left(sha1(src), 8), ' -> ', regexp_replace(dst, '[^A-Za-z0-9_]', '_', 'g'), '_', left(sha1(dst), 8),
+  ' [label="', rel, '"];') AS line FROM {_EDGES}""")
+def dot_lines(spark, d):
+    return graph.dot_edges(graph.comm_edges(table(spark, d, "endpoints")), names.slug)
+
+
+@_query(f"SELECT bool_or(severity IN ('error', 'warning')) AS fails FROM {_FINDINGS}")
+def exit_gate(spark, d):
+    return _all_findings(spark, d).agg(F.bool_or(names.severity_rank(F.col("severity")) <= 1).alias("fails"))
+
