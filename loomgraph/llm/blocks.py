@@ -1,11 +1,16 @@
 """Links between classes that share keys, without the pairs of a crowded key.
 
 A key's rows are scanned in sorted order as a stream, so a key of any size needs no memory.
-Pairs come in two waves. First each class is paired with one other: of the classes that come
-first in its keys, the one that it meets most often.
-Once those links are verified and merged into components, only pairs of a key that lie in
-two components can still change anything, and all of these are verified as well. A group
-of many alike classes thus costs its size, and no link between components is lost.
+Pairs come in waves. In the first each class is paired with one other: of the classes that come
+first in its keys, the one that it meets most often. Once those links are verified and merged
+into components, only pairs of a key that lie in two components can still change anything.
+While these are many more than the rows of their keys, further waves pair each class with one
+centre of its keys in another component: first the class that shares the most keys, as an
+original does with its copies, then one by hash. At last all pairs that still lie across two
+components are verified, each made at the first keys that it shares and not at all of them, and
+only where the parities of the two sets do not rule the link out: sets differ in no fewer
+shingles than their parity bits differ, so that test is exact.
+A group of many alike classes thus costs its size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -14,11 +19,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 from .components import connected_components
+from .shingles import mix
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +86,87 @@ def class_sets(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBat
         yield pack()
 
 
+#: Waves after the first, at most, and how many pairs for each row of the keys are few enough to end them.
+WAVES, FEW = 5, 2
+#: A wave after the second is worth its while if one in so many of its pairs links.
+WORTH = 4
+#: Keys before one, in the order of a class, that are asked whether a pair met there already.
+BEFORE = 6
+
+
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, class, place, component) of the keys that more than one component has. rows: (key, class, place)."""
+    placed = scratch.save(
+        rows.select("key", "class", "place").join(found, "class", "left").select("key", "class", "place", F.coalesce("component", "class").alias("component")),
+        "listed",
+    )
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    kept = scratch.save(placed.join(mixed, "key", "left_semi").distinct(), "open")
+    scratch.drop(placed)
+    return kept
+
+
+def _few(rows: DataFrame) -> bool:
+    """Are the pairs across components few for the rows that they come from?"""
+    of = rows.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.expr("double(count) * count")).alias("same"))
+    total = of.agg(F.sum("n").alias("rows"), F.sum(F.expr("(double(n) * n - same) / 2")).alias("pairs")).first()
+    return (total["pairs"] or 0) <= FEW * (total["rows"] or 0)
+
+
+def _centred(rows: DataFrame, wave: int, may_link: str) -> DataFrame:
+    """(class, other, count): the classes of each key with the key's centre, where that is in another component."""
+    if wave:
+        ranked = rows.withColumn("rank", F.xxhash64(F.lit(wave), "class"))
+    else:
+        shared = rows.groupBy("class").agg((-F.count("*")).alias("rank"))
+        ranked = rows.join(shared, "class")
+    centre = ranked.groupBy("key").agg(F.min(F.struct("rank", "class", "place", "component")).alias("c"))
+    return (
+        rows.join(centre, "key").filter(f"component <> c.component AND {may_link.format('place', 'c.place')}")
+        .select("class", F.col("c.class").alias("other")).groupBy("class", "other").count()
+    )
+
+
+#: Words of 64 parity bits of a set.
+PARITY = 8
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, n, odd) of (class, shingles): for each of 64 * PARITY bins, has the set an odd number of shingles in it?"""
+    for batch in batches:
+        lists = batch.column("shingles")
+        ends = np.asarray(lists.offsets)
+        values = lists.values.to_numpy().view(np.uint64)
+        bins = (mix(values ^ np.uint64(0x5DEECE66D)) % np.uint64(64 * PARITY)).astype(np.int64)
+        words = [
+            np.packbits((np.bincount(bins[a:b], minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)
+        ]
+        flat = np.concatenate(words) if words else np.zeros(0, np.int64)
+        odd = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * PARITY), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(np.diff(ends).astype(np.int64)), odd], ["class", "n", "odd"])
+
+
+def _across(rows: DataFrame, may_link: str, parities: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of all pairs that share a key, lie in two components and may link by the parities of their sets.
+
+    A pair is left out at a key where one of the BEFORE keys ahead of it is the same in both
+    classes: it is made there. Keys of a class are ordered by place, so may_link holds there too.
+    """
+    by = Window.partitionBy("class").orderBy("place", "key")
+    seen = rows.withColumn("seen", F.array(*(F.lag("key", k).over(by) for k in range(1, BEFORE + 1)))).join(parities, "class")
+
+    def side(name: str) -> DataFrame:
+        return seen.select("key", F.col("class").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("place", "component", "seen", "n", "odd")))
+
+    again = "coalesce(arrays_overlap(seen_a, seen_b), false)"
+    apart = " + ".join(f"bit_count(odd_a[{k}] ^ odd_b[{k}])" for k in range(PARITY))
+    near = f"{100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b)"
+    met = side("a").join(side("b"), "key").filter(
+        f"a < b AND component_a <> component_b AND {may_link.format('place_a', 'place_b')} AND {near} AND NOT {again}"
+    )
+    return met.select("a", "b").distinct()
+
+
 def link_classes(
     keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, may_link: str = "true"
 ) -> DataFrame:
@@ -87,7 +174,8 @@ def link_classes(
 
     keys: (key, class, place), a row for each key of each class, repeats allowed.
     sets_of(classes) returns (class, shingles) of these classes at least. may_link: a condition
-    on two places, as a format string, that every linked pair meets at one shared key at least.
+    on two places, as a format string, that every linked pair meets at one shared key at least,
+    and that holds at a place whenever it holds at a later one.
     """
     lists = scratch.save(
         keys.repartition("key").sortWithinPartitions("key", "class")
@@ -96,13 +184,15 @@ def link_classes(
     )
     # wave one: each class with the class that comes first in most of its keys
     met = (
-        lists.filter(may_link.format("place", "first_place")).groupBy("class", "first").count()
-        .groupBy("class").agg(F.max(F.struct("count", "first")).alias("best"))
-    )
-    stars = scratch.save(
-        met.select(F.least("class", "best.first").alias("a"), F.greatest("class", "best.first").alias("b")).distinct(), "stars"
+        lists.filter(may_link.format("place", "first_place")).groupBy("class", F.col("first").alias("other")).count()
     )
 
+    def best(met: DataFrame, tag: str) -> DataFrame:
+        top = met.groupBy("class").agg(F.max(F.struct("count", "other")).alias("best"))
+        return scratch.save(
+            top.select(F.least("class", "best.other").alias("a"), F.greatest("class", "best.other").alias("b")).distinct(), tag
+        )
+
     def verify(pairs: DataFrame) -> DataFrame:
         classes = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "classes")
         sets = scratch.save(sets_of(classes), "sets")
@@ -111,33 +201,40 @@ def link_classes(
         scratch.drop(classes)
         return links
 
-    links = verify(stars)
-    found = connected_components(links).withColumnRenamed("id", "class")
-
-    both = scratch.save(
-        lists.select("key", "class", "place")
-        .unionAll(lists.select("key", F.col("first").alias("class"), F.col("first_place").alias("place")))
-        .join(found, "class", "left")
-        .select("key", "class", "place", F.coalesce("component", "class").alias("component")),
-        "listed",
-    )
-    mixed = scratch.save(
-        both.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"),
-        "mixed",
-    )
-    open_lists = scratch.save(both.join(mixed, "key", "left_semi").distinct(), "open")
-    scratch.drop(both)
-    x = open_lists.select("key", F.col("class").alias("a"), F.col("place").alias("pa"), F.col("component").alias("ca"))
-    y = open_lists.select("key", F.col("class").alias("b"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-    across = scratch.save(
-        x.join(y, "key").filter(f"a < b AND ca <> cb AND {may_link.format('pa', 'pb')}").select("a", "b").distinct()
-        .join(stars, ["a", "b"], "left_anti"),
-        "across",
-    )
+    def components(links: DataFrame) -> DataFrame:
+        return connected_components(links).withColumnRenamed("id", "class")
+
+    tried = best(met, "stars")
+    links = verify(tried)
+    found = components(links)
+    first = lists.select("key", F.col("first").alias("class"), F.col("first_place").alias("place"))
+    rows = _open(lists.select("key", "class", "place").unionAll(first), found)
+    scratch.drop(lists)
+    for wave in range(WAVES):
+        if _few(rows):
+            break
+        met = _centred(rows, wave, may_link)
+        old = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("class"), F.col("b").alias("other"))
+        pairs = best(met.join(old, ["class", "other"], "left_anti"), "stars")
+        tried = tried.unionAll(pairs)
+        more = verify(pairs)
+        merged = more.count()
+        if merged:
+            links = links.unionAll(more)
+            found = components(links)
+            later = _open(rows, found)
+            scratch.drop(rows)
+            rows = later
+        if wave and merged * WORTH < pairs.count():
+            break  # what is left does not link, or by few pairs only
+    left = scratch.save(rows.select("class").distinct(), "left")
+    # sets_of may bring a class twice
+    parities = scratch.save(sets_of(left).mapInArrow(_parities, "class bigint, n bigint, odd array<bigint>").dropDuplicates(["class"]), "parities")
+    across = scratch.save(_across(rows, may_link, parities, percent).join(tried, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         more = verify(across)
         if not more.isEmpty():
-            found = connected_components(links.unionAll(more)).withColumnRenamed("id", "class")
-    for table in (lists, stars, mixed, open_lists, across):
+            found = components(links.unionAll(more))
+    for table in (tried, rows, across, left, parities):
         scratch.drop(table)
     return found
