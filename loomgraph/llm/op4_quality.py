@@ -149,7 +149,9 @@ def fit_quality(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     share = min(1.0, most / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = scratch.save(
-        stats.join(drawn, "doc_id").select("label", "_stats").repartition(max(1, min(8, most // 2500))), "sample"
+        # in a fixed order, so that reruns fit the same model
+        stats.join(drawn, "doc_id").repartition(max(1, min(8, most // 2500)), "doc_id").sortWithinPartitions("doc_id", "label", "_stats").select("label", "_stats"),
+        "sample",
     )
     seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     good, bad = seen.get(1.0, 0), seen.get(0.0, 0)
