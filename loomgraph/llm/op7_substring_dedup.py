@@ -1,20 +1,25 @@
-"""Substring deduplication: paragraph MinHash banding with exact verification.
+"""Substring deduplication: exact runs of words, and paragraph MinHash banding with exact verification.
 
-Units of a text are its paragraphs (lines of at least PARAGRAPH_WORDS words) and its pieces:
-the words between content-defined cuts, which fall at the local minima of the hashes of word
-windows. A passage that is repeated inside another line has the same cuts there, so its pieces
-are found wherever it stands.
+A text is taken apart in two ways:
 
-* Equal units are found by a pre-aggregated count of their hashes (exact Jaccard of 1).
-* Paragraphs get a MinHash signature of their five-word shingles. tune_bands() takes the most
-  rows per band with which a paragraph pair of similarity 0.75 collides with probability 0.99
-  or more; colliding paragraphs are verified by exact Jaccard (0.75 or more) and clustered by
-  connected components.
+* Runs of RUN words, at every word. A run's anchor is the least hash of its SHINGLE-word runs,
+  the rightmost of equal ones, so that equal runs have equal anchors wherever they stand.
+  Neighbouring runs with the same anchor make a cell.
+* Paragraphs: lines of at least PARAGRAPH_WORDS words.
 
-Of each cluster the units of the smallest doc_id stay; units of other documents are removals.
-Removed units of a document with a gap of at most GAP characters are joined into spans, and a
-span counts when RUN_WORDS of its words or more are in removed units: cuts lose some words at
-both ends of a passage, so that many are sure to be covered in a passage of over 50 words.
+Equal cells and paragraphs are found by a pre-aggregated count of their hashes. A cell that no
+other document has may still share runs with other cells of its anchor, as at both ends of a
+passage; of such cells, once for each distinct cell, the runs themselves are compared by hash.
+So every run of RUN words or more that two documents share is found, with its exact ends.
+
+Paragraphs get a MinHash signature of their five-word shingles. tune_bands() takes the most
+rows per band with which a paragraph pair of similarity 0.75 collides with probability 0.99
+or more; colliding paragraphs are verified by exact Jaccard (0.75 or more) and clustered by
+connected components.
+
+Of equal runs and of each cluster the units of the smallest doc_id stay; those of other
+documents are removals. Removals of a document with a gap of at most GAP characters are joined
+into spans.
 
 Defined results: null and empty texts have no units; repeats inside one document, repeated
 rows of one doc_id included, are not repeats across documents and stay; an empty table gives
@@ -39,12 +44,12 @@ PERCENT = 75
 RECALL = 0.99
 PERMUTATIONS = 32
 PARAGRAPH_WORDS = 30
-#: A cut is the least hash among its neighbours within so many words on either side.
-RADIUS = 4
-LEAST_PIECE = 5
+#: Words of the shortest run that counts, and of the runs that its anchor is chosen from.
+RUN = 51
+SHINGLE = 16
 GAP = 120
-RUN_WORDS = 30
-UNITS = "doc_id bigint, unit bigint, start int, stop int, words int, bands array<bigint>"
+UNITS = "doc_id bigint, unit bigint, anchor bigint, start int, stop int, place int, words int, bands array<bigint>"
+RUNS = "doc_id bigint, run bigint, start int, stop int, place int, words int"
 
 
 def tune_bands(similarity: float = PERCENT / 100, permutations: int = PERMUTATIONS, recall: float = RECALL) -> tuple[int, int]:
@@ -102,18 +107,29 @@ def _place_sums(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prefix, down
 
 
-def _cuts(word: np.ndarray) -> np.ndarray:
-    """Words that start a piece: the least hash of word pairs within RADIUS, ties to none."""
-    n = len(word) - 1
-    if n <= 2 * RADIUS:
-        return np.zeros(0, np.int64)
-    pair = mix(word[:n] * np.uint64(3) + word[1:])
-    low = np.ones(n, dtype=bool)
-    low[:RADIUS] = low[n - RADIUS :] = False
-    for d in range(1, RADIUS + 1):
-        low[d:] &= pair[d:] < pair[:-d]
-        low[:-d] &= pair[:-d] < pair[d:]
-    return np.flatnonzero(low)
+def _cells(prefix: np.ndarray, weight: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first run, end, anchor) of the cells; run i is the words i to i + RUN, inside one text."""
+    n = len(prefix) - 1
+    none = np.zeros(0, np.int64)
+    if n < RUN:
+        return none, none, none
+    at = np.arange(n - SHINGLE + 1)
+    hashes = _unit(prefix, weight, at, at + SHINGLE)
+    # where the least of the next `width` hashes is, by doubling; of equal ones the right one
+    width, reach = 1, RUN - SHINGLE + 1
+    while width < reach:
+        step = min(width, reach - width)
+        left, right = at[:-step], at[step:]
+        at = np.where(hashes[right] <= hashes[left], right, left)
+        width += step
+    text = np.repeat(np.arange(len(spans) - 1), np.diff(spans))
+    run = np.flatnonzero(text[: n - RUN + 1] == text[RUN - 1 :])
+    if not len(run):
+        return none, none, none
+    own = at[run]
+    # runs of two texts never share an anchor
+    new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return run[new], run[np.append(new[1:], len(run)) - 1] + 1, hashes[own[new]]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,30 +142,61 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             prefix, weight = _place_sums(word)
             doc_of = np.repeat(np.arange(end_row - at), np.diff(spans))
-            cut = _cuts(word)
-            inside = (doc_of[cut[:-1]] == doc_of[cut[1:]]) & (np.diff(cut) >= LEAST_PIECE)
-            a, b = cut[:-1][inside], cut[1:][inside]
+            a, b, anchor = _cells(prefix, weight, spans)
+            b = b + RUN - 1
             spot = [p for i in range(len(spans) - 1) for p in _paragraphs(int(spans[i]), int(spans[i + 1]), line)]
             pa_, pb = (np.array(x, dtype=np.int64) for x in (zip(*spot, strict=True) if spot else ([], [])))
             start, stop = np.concatenate([a, pa_]), np.concatenate([b, pb])
             hashes = np.concatenate([_unit(prefix, weight, a, b), mix(_unit(prefix, weight, pa_, pb) + np.uint64(1))])
+            anchors = np.concatenate([anchor.view(np.int64), np.zeros(len(pa_), np.int64)])
             owner = doc_of[start]
             keep = known[at + owner]
             bands = _signatures(word, pa_, pb)
+            is_cell = np.arange(len(start)) < len(a)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([np.zeros(len(a), np.int32), np.arange(len(pa_) + 1, dtype=np.int32) * _BANDS])),
-                pa.array(bands.ravel().view(np.int64)), mask=pa.array(np.arange(len(start)) < len(a)),
+                pa.array(bands.ravel().view(np.int64)), mask=pa.array(is_cell),
             )
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[at + owner]), pa.array(hashes.view(np.int64)), pa.array((first[start] - zero[owner]).astype(np.int32)),
-                    pa.array((end[stop - 1] - zero[owner]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), lists,
+                    pa.array(ids[at + owner]), pa.array(hashes.view(np.int64)), pa.array(anchors, mask=~is_cell),
+                    pa.array((first[start] - zero[owner]).astype(np.int32)), pa.array((end[stop - 1] - zero[owner]).astype(np.int32)),
+                    pa.array((start - spans[owner]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), lists,
                 ],
-                ["doc_id", "unit", "start", "stop", "words", "bands"],
+                ["doc_id", "unit", "anchor", "start", "stop", "place", "words", "bands"],
             )
             yield out if keep.all() else out.filter(pa.array(keep))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of the cells that are listed in wanted."""
+    for batch in batches:
+        ids = np.array(batch.column("doc_id"))
+        wanted = batch.column("wanted")
+        ends, values = np.asarray(wanted.offsets), wanted.values.to_numpy()
+        for at, end_row, data, offsets in text_slices(batch.column("text")):
+            word, _, first, end, spans, zero = _layout(data, offsets)
+            if not len(word):
+                continue
+            prefix, weight = _place_sums(word)
+            doc_of = np.repeat(np.arange(end_row - at), np.diff(spans))
+            a, b, _ = _cells(prefix, weight, spans)
+            unit = _unit(prefix, weight, a, b + RUN - 1).view(np.int64)
+            listed = np.isin(unit, values[ends[at] : ends[end_row]])
+            a, b = a[listed], b[listed]
+            many = b - a
+            run = np.repeat(a - np.cumsum(many) + many, many) + np.arange(many.sum())
+            owner = doc_of[run]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[at + owner]), pa.array(_unit(prefix, weight, run, run + RUN).view(np.int64)),
+                    pa.array((first[run] - zero[owner]).astype(np.int32)), pa.array((end[run + RUN - 1] - zero[owner]).astype(np.int32)),
+                    pa.array((run - spans[owner]).astype(np.int32)), pa.array(np.full(len(run), RUN, np.int32)),
+                ],
+                ["doc_id", "run", "start", "stop", "place", "words"],
+            )
+
+
 def _signatures(word: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A row of band keys for each paragraph."""
     if not len(start):
@@ -205,7 +252,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     alike = link_classes(keys, sets_of, PERCENT).select(F.col("class").alias("unit"), "component")
 
     # equal units, by hash; a cluster is a component of paragraphs or a hash alone
-    spread = units.groupBy("unit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    spread = scratch.save(units.groupBy("unit").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "spread")
     clusters = scratch.save(
         spread.join(alike, "unit", "left").filter("lo < hi OR component is not null")
         .select("unit", "lo", "hi", F.coalesce("component", "unit").alias("cluster")),
@@ -216,11 +263,30 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "kept",
     )
     where = scratch.save(clusters.join(kept, "cluster").select("unit", "kept_doc_id"), "where")
-    removed = (
-        units.select("doc_id", "unit", "start", "stop", "words").join(where, "unit")
-        .filter("doc_id > kept_doc_id").select("doc_id", "start", "stop", "words", "kept_doc_id")
+    whole = (
+        units.select("doc_id", "unit", "start", "stop", "place", "words").join(where, "unit")
+        .filter("doc_id > kept_doc_id").select("doc_id", "start", "stop", "place", "words", "kept_doc_id")
+    )
+    return _spans(whole.unionAll(_shared_runs(docs, spread)))
+
+
+def _shared_runs(docs: DataFrame, spread: DataFrame) -> DataFrame:
+    """Runs to remove from the first document of a cell: those that another cell of the anchor has in an earlier document.
+
+    The other documents of a cell lose all of it anyway.
+    """
+    cells = spread.filter("anchor is not null")
+    mixed = scratch.save(
+        cells.groupBy("anchor").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).filter("least < most").select("anchor"), "anchors"
+    )
+    edges = scratch.save(cells.join(mixed, "anchor", "left_semi").select(F.col("lo").alias("doc_id"), "unit"), "edges")
+    wanted = edges.groupBy("doc_id").agg(F.collect_list("unit").alias("wanted"))
+    texts = semi_join(docs, edges, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    runs = scratch.save(texts.mapInArrow(_runs, RUNS), "runs")
+    first = scratch.save(
+        runs.groupBy("run").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("hi")).filter("kept_doc_id < hi").drop("hi"), "first"
     )
-    return _spans(removed)
+    return runs.join(first, "run").filter("doc_id > kept_doc_id").select("doc_id", "start", "stop", "place", "words", "kept_doc_id")
 
 
 def _spans(removed: DataFrame) -> DataFrame:
@@ -231,16 +297,14 @@ def _spans(removed: DataFrame) -> DataFrame:
         removed.distinct().withColumn("reach", F.max("stop").over(before))
         .withColumn("fresh", F.coalesce(F.col("start") > F.col("reach") + GAP, F.lit(True)))
         .withColumn("run", F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        # the share of a unit's words that earlier units do not cover
-        .withColumn(
-            "own",
-            F.col("words") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("stop") - F.coalesce(F.greatest("reach", "start"), "start")) / (F.col("stop") - F.col("start")))),
-        )
+        # the words of a unit that earlier units do not cover
+        .withColumn("past", F.max(F.expr("place + words")).over(before))
+        .withColumn("own", F.expr("greatest(0, place + words - greatest(place, coalesce(past, 0)))"))
     )
     return (
         marked.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.round(F.sum("own")).cast("bigint").alias("words"), F.min("kept_doc_id").alias("kept_doc_id"))
-        .filter(F.col("words") >= RUN_WORDS).drop("run")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("own").cast("bigint").alias("words"), F.min("kept_doc_id").alias("kept_doc_id"))
+        .drop("run")
     )
 
 

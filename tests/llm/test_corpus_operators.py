@@ -179,3 +179,23 @@ def test_passages(spark, empty):
         cut = next(t for i, t in rows if i == r["doc_id"])[r["start"] : r["stop"]]
         assert cut in passage
     assert op7_substring_dedup.repeated_passages(empty).count() == 0
+
+
+def test_short_and_periodic_passages(spark):
+    rng = random.Random(11)
+    word = lambda: f"u{rng.randrange(10**6)}"
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in range(45, 61) for _ in range(3)]
+    passages += [" ".join(["again"] * 60), " ".join(["one", "more", "time"] * 20), " ".join(["and", "on"] * 30)]
+    rows = []
+    for k, p in enumerate(passages):
+        rows += [(3 * k, f"{text(40)} {p} {text(25)}"), (3 * k + 1, f"{text(9)} {p} {text(70)}"), (3 * k + 2, f"{text(70)}")]
+    # a middle document has more of the passage than the first one has
+    long = text(90)
+    rows += [(500, f"{text(30)} {' '.join(long.split()[20:45])} {text(30)}"), (501, f"{text(8)} {long}"), (502, f"{' '.join(long.split()[5:])} {text(40)}")]
+    got = {r["doc_id"]: r for r in op7_substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {3 * k + 1: (3 * k, p) for k, p in enumerate(passages) if len(p.split()) > 50} | {502: (501, " ".join(long.split()[5:]))}
+    assert set(got) == set(want)
+    of = dict(rows)
+    for i, (first, p) in want.items():
+        assert (of[i][got[i]["start"] : got[i]["stop"]], got[i]["words"], got[i]["kept_doc_id"]) == (p, len(p.split()), first)
