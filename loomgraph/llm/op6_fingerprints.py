@@ -7,7 +7,7 @@ The vector has two parts:
 
 * SUMS lanes of 32 bits with hashes of the whole paragraph: equal multisets of paragraphs have
   equal lanes, and others differ with probability 1 - 2**-256.
-* SIGNS lanes of 12 bits that count, with signs, the hashed word triples of the paragraph: a
+* SIGNS lanes of 32 bits that count, with signs, the hashed word triples of the paragraph: a
   count sketch, whose cosine estimates how much text two documents share.
 
 Likeness is 1 for equal fingerprints and else the cosine of the sign lanes, between 0 and 1.
@@ -28,7 +28,8 @@ from . import scratch
 
 SUMS = 8
 SIGNS = 64
-_PACKED, _BITS = 4, 15
+#: Lanes that share a long while they are summed; a text has fewer than 2**31 triples, so neither can wrap.
+_PACKED, _BITS = 2, 32
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 
@@ -87,21 +88,18 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """The keys and fingerprint; keys must tell the rows apart."""
     # both in a projection of their own: beside explode() the sums would be worked out again for every triple
     units = texts.select(*keys, _sums(text).alias("_sums"), _triples(text).alias("_hs")).select(*keys, "_sums", F.explode_outer("_hs").alias("_h"))
-    # four lanes of 15 bits share a long while they are summed; sums carry into the lane above, and are told apart from the lowest on
+    # two lanes of 32 bits share a long while they are summed; the low sum carries into the high one, and is told apart first
     units = units.select(
         *keys, "_sums", F.expr(f"cast(pmod(_h, {SIGNS // _PACKED}) AS int)").alias("_word"),
         F.expr(f"shiftleft(1L - 2L * (shiftrightunsigned(_h, 20) & 1L), {_BITS} * cast(shiftrightunsigned(_h, 30) & {_PACKED - 1}L AS int))").alias("_unit"),
     )
-    packed = [F.try_sum(F.when(F.col("_word") == k, F.col("_unit")).otherwise(F.lit(0))).alias(f"_p{k}") for k in range(SIGNS // _PACKED)]
+    packed = [F.sum(F.when(F.col("_word") == k, F.col("_unit")).otherwise(F.lit(0))).alias(f"_p{k}") for k in range(SIGNS // _PACKED)]
     summed = units.groupBy(*keys, "_sums").agg(*packed)
-    words = "transform(array({}), p -> coalesce(p, 0L))".format(", ".join(f"_p{k}" for k in range(SIGNS // _PACKED)))
-    half, full = 1 << (_BITS - 1), 1 << _BITS
-    lanes = (
-        f"flatten(transform({words}, p -> transform(sequence(0, {_PACKED - 1}), i -> "
-        # what lies below lane i rounds to nothing; then the lane is the balanced remainder
-        f"pmod(pmod((if(i = 0, p, shiftright(p + shiftleft(1L, {_BITS} * i - 1), {_BITS} * i))) + {half}L, {full}L) - {half}L, 4096L))))"
-    )
-    signs = F.expr(f"array_join(transform({lanes}, s -> lpad(lower(hex(s)), 3, '0')), '')")
+    words = ", ".join(f"_p{k}" for k in range(SIGNS // _PACKED))
+    low = "(p & 4294967295L)"
+    # the high lane: the balanced low one is taken off first
+    lanes = f"flatten(transform(array({words}), p -> array({low}, (shiftright(p, {_BITS}) + if({low} >= 2147483648L, 1L, 0L)) & 4294967295L)))"
+    signs = F.expr(f"array_join(transform({lanes}, s -> lpad(lower(hex(s)), 8, '0')), '')")
     return summed.select(*keys, F.concat("_sums", signs).alias("fingerprint"))
 
 
@@ -109,30 +107,29 @@ def likeness(a: str, b: str) -> Column:
     """Likeness of two columns of fingerprints, between 0 and 1."""
 
     def lanes(x: str) -> str:
-        at = 8 * SUMS + 1
-        read = f"cast(conv(substring({x}, {at} + 3 * i, 3), 16, 10) AS int)"
-        return f"transform(sequence(0, {SIGNS - 1}), i -> if({read} >= 2048, {read} - 4096, {read}))"
+        read = f"cast(conv(substring({x}, {8 * SUMS + 1} + 8 * i, 8), 16, 10) AS bigint)"
+        return f"transform(sequence(0, {SIGNS - 1}), i -> cast({read} AS double) - if({read} >= 2147483648L, 4294967296D, 0D))"
 
     def dot(x: str, y: str) -> str:
-        return f"aggregate(zip_with({lanes(x)}, {lanes(y)}, (m, n) -> cast(m * n AS double)), 0D, (t, m) -> t + m)"
+        return f"aggregate(zip_with({x}, {y}, (m, n) -> m * n), 0D, (t, m) -> t + m)"
 
-    norm = f"sqrt({dot(a, a)} * {dot(b, b)})"
-    return F.expr(f"CASE WHEN {a} = {b} THEN 1D WHEN {norm} = 0 THEN 0D ELSE greatest(0D, least(1D, {dot(a, b)} / {norm})) END")
+    # one-element arrays bind the lanes and the products, which are read once
+    sums = (
+        f"transform(array(struct({lanes(a)} AS x, {lanes(b)} AS y)), v -> "
+        f"struct({dot('v.x', 'v.y')} AS xy, sqrt({dot('v.x', 'v.x')}) * sqrt({dot('v.y', 'v.y')}) AS norm))"
+    )
+    cosine = f"transform({sums}, d -> if(d.norm = 0, 0D, greatest(0D, least(1D, d.xy / d.norm))))[0]"
+    return F.expr(f"CASE WHEN {a} = {b} THEN 1D ELSE {cosine} END")
 
 
 def _vectors(fingerprint: str, sign: int, other: str) -> str:
     """Lane by lane sum (or difference) of two fingerprints, as SQL."""
     plus = "+" if sign > 0 else "-"
-    sums = (
-        f"transform(sequence(0, {SUMS - 1}), i -> lpad(lower(hex(pmod(cast(conv(substring({fingerprint}, 1 + 8 * i, 8), 16, 10) AS bigint) {plus} "
+    lanes = (
+        f"transform(sequence(0, {SUMS + SIGNS - 1}), i -> lpad(lower(hex(pmod(cast(conv(substring({fingerprint}, 1 + 8 * i, 8), 16, 10) AS bigint) {plus} "
         f"cast(conv(substring({other}, 1 + 8 * i, 8), 16, 10) AS bigint), 4294967296L))), 8, '0'))"
     )
-    at = 8 * SUMS + 1
-    signs = (
-        f"transform(sequence(0, {SIGNS - 1}), i -> lpad(lower(hex(pmod(cast(conv(substring({fingerprint}, {at} + 3 * i, 3), 16, 10) AS bigint) {plus} "
-        f"cast(conv(substring({other}, {at} + 3 * i, 3), 16, 10) AS bigint), 4096L))), 3, '0'))"
-    )
-    return f"concat(array_join({sums}, ''), array_join({signs}, ''))"
+    return f"array_join({lanes}, '')"
 
 
 def insert(fingerprint: str, other: str) -> Column:

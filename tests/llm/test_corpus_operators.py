@@ -199,3 +199,17 @@ def test_short_and_periodic_passages(spark):
     of = dict(rows)
     for i, (first, p) in want.items():
         assert (of[i][got[i]["start"] : got[i]["stop"]], got[i]["words"], got[i]["kept_doc_id"]) == (p, len(p.split()), first)
+
+
+def test_fingerprints_of_many_repeats(spark):
+    line, other = "a b c d e f g h", " ".join(f"o{i}" for i in range(200))
+    texts = [f"{'\n'.join([line] * n)}\n{other}" for n in (2500, 5000, 150_000, 300_000)]
+    texts += ["\n".join([line] * n) for n in (2500, 150_000)] + ["z\n" * 40_000 + "z"]
+    parts = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    f = {r["k"]: r["fingerprint"] for r in op6_fingerprints.fingerprints(parts, ["k"], "t").collect()}
+    pairs = spark.createDataFrame([(f[0], f[1], f[4]), (f[2], f[3], f[5])], "x string, y string, z string")
+    for k, r in enumerate(pairs.select(op6_fingerprints.likeness("x", "y"), op6_fingerprints.insert("x", "z"), op6_fingerprints.delete("y", "z")).collect()):
+        assert r[0] > 0.99 and r[1] == f[2 * k + 1] and r[2] == f[2 * k]
+    # one triple, whose count is the text's number of lines
+    counts = [int(f[6][64 + 8 * i : 72 + 8 * i], 16) for i in range(64)]
+    assert sorted(min(c, 2**32 - c) for c in counts) == [0] * 63 + [40_001]
