@@ -66,15 +66,28 @@ def components(endpoints: DataFrame) -> DataFrame:
     return endpoints.groupBy("package", "component").agg(F.min("seq").alias("seq")).withColumn("id", node_id())
 
 
+def _of_kind(endpoints: DataFrame, kind: str) -> DataFrame:
+    return endpoints.withColumns({"rel": _by_role(0), "kind": _by_role(1)}).filter(F.col("kind") == kind)
+
+
+def _side(rel: str) -> Column:
+    rows = F.sort_array(F.collect_list(F.when(F.col("rel") == rel, F.struct("seq", "component"))))
+    return F.array_join(F.transform(rows, lambda r: r["component"]), ", ").alias(rel)
+
+
 def peers(endpoints: DataFrame, kind: str, one: str, other: str) -> DataFrame:
     """(name, <one>, <other>): per topic or service its components on either side, in the order seen."""
-    mine = endpoints.withColumns({"rel": _by_role(0), "kind": _by_role(1)}).filter(F.col("kind") == kind)
+    return _of_kind(endpoints, kind).groupBy("name").agg(_side(one), _side(other))
 
-    def side(rel: str) -> Column:
-        rows = F.sort_array(F.collect_list(F.when(F.col("rel") == rel, F.struct("seq", "component"))))
-        return F.array_join(F.transform(rows, lambda r: r["component"]), ", ").alias(rel)
 
-    return mine.groupBy("name").agg(side(one), side(other))
+def lacking(endpoints: DataFrame, kind: str, missing: str, there: str) -> DataFrame:
+    """(name, <there>): the topics or services without a component on the missing side, and those on the other one.
+
+    Counts tell the sides. Components are listed for these names only, and not at all where nobody reads the lists.
+    """
+    mine = _of_kind(endpoints, kind)
+    names = mine.groupBy(F.col("name").alias("_name")).agg(F.count_if(F.col("rel") == missing).alias("n")).filter("n = 0").select("_name")
+    return mine.join(names, F.col("name").eqNullSafe(F.col("_name")), "left_semi").groupBy("name").agg(_side(there))
 
 
 def kind_summary(endpoints: DataFrame, packages: DataFrame, interfaces: DataFrame) -> DataFrame:
@@ -113,9 +126,8 @@ def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 def connections(endpoints: DataFrame) -> DataFrame:
     """(package, component, name, rel, others): the other components at each topic of a component."""
     use = endpoints.withColumns({"rel": _by_role(0), "kind": _by_role(1)}).filter("kind = 'Topic'").select("package", "component", "name", "rel").distinct()
-    other = use.select(F.col("component").alias("peer"), F.col("package").alias("peer_package"), "name").distinct()
-    met = use.join(other, "name").filter("peer <> component OR peer_package <> package")
-    return met.groupBy("package", "component", "name", "rel").agg(F.count("*").alias("others"))
+    there = use.select("package", "component", "name").distinct().groupBy("name").agg((F.count("*") - 1).alias("others")).filter("others > 0")
+    return use.join(there, "name").select("package", "component", "name", "rel", "others")
 
 
 def parents(endpoints: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import has_email
-from .graph import closure, components, peers, simple_cycles
+from .graph import closure, components, lacking, simple_cycles
 from .health import workspace_score
 
 SYSTEM_TOPICS = ("/rosout", "/parameter_events", "/tf", "/tf_static", "/clock")
@@ -21,13 +21,13 @@ def _violations(rows: DataFrame, level: str | Column, rule: str, entity: str, me
 
 def topic_connectivity(endpoints: DataFrame, exclude: Sequence[str] = (), no_publisher: str = "warning", no_subscriber: str = "info") -> DataFrame:
     """Topics with subscribers only, and with publishers only."""
-    sides = peers(endpoints, "Topic", "publishes", "subscribes").filter(~F.col("name").isin(*SYSTEM_TOPICS, *exclude))
+    seen = endpoints.filter(~F.col("name").isin(*SYSTEM_TOPICS, *exclude))
     heard = _violations(
-        sides.filter("publishes = ''"), no_publisher, "topic_connectivity", "name",
+        lacking(seen, "Topic", "publishes", "subscribes"), no_publisher, "topic_connectivity", "name",
         F.concat(F.lit("Topic '"), "name", F.lit("' has no publisher; subscribers: "), "subscribes"),
     )
     said = _violations(
-        sides.filter("subscribes = ''"), no_subscriber, "topic_connectivity", "name",
+        lacking(seen, "Topic", "subscribes", "publishes"), no_subscriber, "topic_connectivity", "name",
         F.concat(F.lit("Topic '"), "name", F.lit("' has no subscriber; publishers: "), "publishes"),
     )
     return heard.unionByName(said)
@@ -36,9 +36,8 @@ def topic_connectivity(endpoints: DataFrame, exclude: Sequence[str] = (), no_pub
 def service_connectivity(endpoints: DataFrame, kind: str = "Service", unused: str = "info", missing: str = "warning") -> DataFrame:
     """Services (or actions) that are provided and never called, or called and never provided."""
     rule = f"{kind.lower()}_connectivity"
-    sides = peers(endpoints, kind, "provides", "calls")
-    idle = _violations(sides.filter("calls = ''"), unused, rule, "name", F.concat(F.lit(f"{kind} '"), "name", F.lit("' is never called; provided by "), "provides"))
-    lost = _violations(sides.filter("provides = ''"), missing, rule, "name", F.concat(F.lit(f"{kind} '"), "name", F.lit("' has no provider; called by "), "calls"))
+    idle = _violations(lacking(endpoints, kind, "calls", "provides"), unused, rule, "name", F.concat(F.lit(f"{kind} '"), "name", F.lit("' is never called; provided by "), "provides"))
+    lost = _violations(lacking(endpoints, kind, "provides", "calls"), missing, rule, "name", F.concat(F.lit(f"{kind} '"), "name", F.lit("' has no provider; called by "), "calls"))
     return idle.unionByName(lost)
 
 
