@@ -1,21 +1,21 @@
 """Links between classes that share keys, without the pairs of a crowded key.
 
-A key's rows are scanned in sorted order as a stream, so a key of any size needs no memory.
-Pairs come in waves. In the first each class is paired with one other: of the classes that come
-first in its keys, the one that it meets most often. Once those links are verified and merged
-into components, only pairs of a key that lie in two components can still change anything.
-While these are many more than the rows of their keys, further waves pair each class with one
-centre of its keys in another component: first the class that shares the most keys, as an
-original does with its copies, then one by hash. At last all pairs that still lie across two
-components are verified, each made at the first keys that it shares and not at all of them, and
-only where the parities of the two sets do not rule the link out: sets differ in no fewer
-shingles than their parity bits differ, so that test is exact.
+A key's rows are scanned in sorted order as a stream, so a key of any size needs no memory; keys
+that are known to be hot are dealt in pieces. Keys of one class alone vanish in that scan.
+
+Pairs come in waves. Each pairs every class with one centre of its keys in another component:
+first the class that shares the most keys, as an original does with its copies, then one by
+hash. Once those links are verified and merged into components, only pairs of a key that lie in
+two components can still change anything. When these are few for the rows of their keys, all of
+them are verified, each made at the first keys that it shares and not at all of them, and only
+where the parities of the two sets do not rule the link out: sets differ in no fewer shingles
+than their parity bits differ, so that test is exact.
 A group of many alike classes thus costs its size, and no link between components is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,35 +26,74 @@ from . import scratch
 from .components import connected_components
 from .shingles import mix
 
+#: Frequencies of keys are told apart up to so many classes.
+MOST = 4096
+LISTED = "key bigint, class bigint, place bigint, often int"
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and class, give each class after a key's first, with that first one."""
-    head = before = None  # (key, class, place) of the first row of the current key; (key, class) of the last row
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, class, place, hot) sorted by key and class: those of keys that two classes have, once each, with the number of classes.
+
+    From MOST classes on a key is given out as it comes, as one of MOST; so is a hot one, as one of MOST + hot.
+    """
+
+    def packed(cols: list[np.ndarray], often: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(often, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "class", "place", "often"])
+
+    held: list[np.ndarray] | None = None  # the rows of the last key
+    flowing: tuple[int, int] | None = None  # a key of MOST classes or more and its last class
     for batch in batches:
-        key, cls, place = (batch.column(c).to_numpy() for c in ("key", "class", "place"))
-        n = len(key)
-        if not n:
+        cols = [batch.column(c).to_numpy() for c in ("key", "class", "place", "hot")]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            held = None
+        if not len(cols[0]):
+            continue
+        fresh = np.ones(len(cols[0]), dtype=bool)
+        fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        if flowing and (cols[0][0], cols[1][0]) == flowing:
+            fresh[0] = False
+        cols = [c[fresh] for c in cols]
+        if flowing and len(cols[0]):
+            m = int(np.searchsorted(cols[0], flowing[0], "right"))
+            if m:
+                yield packed([c[:m] for c in cols], np.maximum(MOST, MOST + cols[3][:m]))
+                flowing = (flowing[0], int(cols[1][m - 1]))
+            cols = [c[m:] for c in cols]
+        if not len(cols[0]):
             continue
-        new, fresh = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        fresh[1:] = cls[1:] != cls[:-1]
-        if before is not None and before[0] == key[0]:
-            new[0], fresh[0] = False, before[1] != cls[0]
-        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-        first, first_place = cls[at], place[at]
-        if at[0] < 0:
-            goes_on = at < 0
-            first[goes_on], first_place[goes_on] = head[1], head[2]
-        pick = np.flatnonzero(fresh & ~new)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c[pick], pa.int64()) for c in (key, cls, place, first, first_place)],
-            ["key", "class", "place", "first", "first_place"],
-        )
-        head, before = (int(key[-1]), int(first[-1]), int(first_place[-1])), (int(key[-1]), int(cls[-1]))
+        flowing = None
+        new = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+        last = int(new[-1])
+        often = np.repeat(np.diff(new), np.diff(new))  # of all keys but the last
+        hot = cols[3][:last]
+        pick = np.flatnonzero((often > 1) | (hot > 0))
+        if len(pick):
+            yield packed([c[pick] for c in cols], np.where(hot > 0, MOST + hot, np.minimum(often, MOST))[pick])
+        held = [c[last:] for c in cols]
+        if len(held[0]) >= MOST:
+            yield packed(held, MOST + held[3])
+            flowing, held = (int(held[0][0]), int(held[1][-1])), None
+    if held is not None and len(held[0]) and (len(held[0]) > 1 or held[3][0] > 0):
+        n = len(held[0])
+        yield packed(held, np.where(held[3] > 0, MOST + held[3], np.full(n, n)))
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """LISTED rows of the keys that more than one class has. keys: (key, class, place, hot), repeats allowed.
+
+    hot is 0, or the number of pieces that a frequent key is dealt in; it is the same in all rows of a key.
+    """
+    dealt = F.when(F.col("hot") > 0, F.xxhash64("key", F.pmod("class", F.greatest("hot", F.lit(1))))).otherwise(F.col("key"))
+    return keys.repartition(dealt).sortWithinPartitions("key", "class").mapInArrow(_shared, LISTED)
 
 
 def verified_jaccard(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes with 100 * |A & B| >= percent * |A | B|; sets: (class, shingles)."""
+    """The pairs (a, b) of classes with 100 * |A & B| >= percent * |A | B|; sets: (class, shingles), one row each.
+
+    The set of b is joined last and moves once, however many pairs b has.
+    """
     one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
@@ -79,30 +118,29 @@ def class_sets(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBat
         ids.append(key)
         sets.append(values.view(np.int64))
         many += len(values)
-        if many > 1 << 18:
+        if many > 1 << 17:
             yield pack()
             ids, sets, many = [], [], 0
     if ids:
         yield pack()
 
 
-#: Waves after the first, at most, and how many pairs for each row of the keys are few enough to end them.
-WAVES, FEW = 5, 2
-#: A wave after the second is worth its while if one in so many of its pairs links.
+#: Waves at most, and how many pairs for each row of the keys are few enough to end them.
+WAVES, FEW = 6, 2
+#: A wave after the first is worth its while if one in so many of its pairs links.
 WORTH = 4
 #: Keys before one, in the order of a class, that are asked whether a pair met there already.
 BEFORE = 6
 
 
-def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, class, place, component) of the keys that more than one component has. rows: (key, class, place)."""
-    placed = scratch.save(
-        rows.select("key", "class", "place").join(found, "class", "left").select("key", "class", "place", F.coalesce("component", "class").alias("component")),
-        "listed",
-    )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    kept = scratch.save(placed.join(mixed, "key", "left_semi").distinct(), "open")
-    scratch.drop(placed)
+def _open(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(key, class, place, component) of the keys that more than one component has. found: (id, component) of components."""
+    if found is not None:
+        moved = found.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+        rows = scratch.save(rows.join(moved, "component", "left").select("key", "class", "place", F.coalesce("_to", "component").alias("component")), "placed")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    kept = scratch.save(rows.join(mixed, "key", "left_semi"), "open")
+    scratch.drop(rows)
     return kept
 
 
@@ -114,17 +152,19 @@ def _few(rows: DataFrame) -> bool:
 
 
 def _centred(rows: DataFrame, wave: int, may_link: str) -> DataFrame:
-    """(class, other, count): the classes of each key with the key's centre, where that is in another component."""
+    """(a, b): each class with the centre that it meets most, of the centres of its keys that are in another component."""
     if wave:
-        ranked = rows.withColumn("rank", F.xxhash64(F.lit(wave), "class"))
+        ranked = rows.withColumn("rank", F.xxhash64(F.lit(wave), "component", "class"))
     else:
         shared = rows.groupBy("class").agg((-F.count("*")).alias("rank"))
         ranked = rows.join(shared, "class")
     centre = ranked.groupBy("key").agg(F.min(F.struct("rank", "class", "place", "component")).alias("c"))
-    return (
+    met = (
         rows.join(centre, "key").filter(f"component <> c.component AND {may_link.format('place', 'c.place')}")
         .select("class", F.col("c.class").alias("other")).groupBy("class", "other").count()
     )
+    top = met.groupBy("class").agg(F.max(F.struct("count", "other")).alias("best"))
+    return top.select(F.col("class").alias("a"), F.col("best.other").alias("b"))
 
 
 #: Words of 64 parity bits of a set.
@@ -150,9 +190,9 @@ def _across(rows: DataFrame, may_link: str, parities: DataFrame, percent: int) -
     """(a, b) of all pairs that share a key, lie in two components and may link by the parities of their sets.
 
     A pair is left out at a key where one of the BEFORE keys ahead of it is the same in both
-    classes: it is made there. Keys of a class are ordered by place, so may_link holds there too.
+    classes: it is made there.
     """
-    by = Window.partitionBy("class").orderBy("place", "key")
+    by = Window.partitionBy("class").orderBy("key")
     seen = rows.withColumn("seen", F.array(*(F.lag("key", k).over(by) for k in range(1, BEFORE + 1)))).join(parities, "class")
 
     def side(name: str) -> DataFrame:
@@ -167,74 +207,59 @@ def _across(rows: DataFrame, may_link: str, parities: DataFrame, percent: int) -
     return met.select("a", "b").distinct()
 
 
-def link_classes(
-    keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, may_link: str = "true"
-) -> DataFrame:
+def link_classes(lists: DataFrame, sets: DataFrame, percent: int, may_link: str = "true") -> DataFrame:
     """(class, component) of the classes that link with others; component is its smallest class.
 
-    keys: (key, class, place), a row for each key of each class, repeats allowed.
-    sets_of(classes) returns (class, shingles) of these classes at least. may_link: a condition
-    on two places, as a format string, that every linked pair meets at one shared key at least,
-    and that holds at a place whenever it holds at a later one.
+    lists: a saved table (key, class, place), a row for each key of each class, each once; it is dropped.
+    sets: a saved table (class, shingles) of all these classes, each once. may_link: a condition
+    on two places, as a format string, that all linked pairs meet.
     """
-    lists = scratch.save(
-        keys.repartition("key").sortWithinPartitions("key", "class")
-        .mapInArrow(_scan, "key bigint, class bigint, place bigint, first bigint, first_place bigint"),
-        "lists",
-    )
-    # wave one: each class with the class that comes first in most of its keys
-    met = (
-        lists.filter(may_link.format("place", "first_place")).groupBy("class", F.col("first").alias("other")).count()
-    )
-
-    def best(met: DataFrame, tag: str) -> DataFrame:
-        top = met.groupBy("class").agg(F.max(F.struct("count", "other")).alias("best"))
-        return scratch.save(
-            top.select(F.least("class", "best.other").alias("a"), F.greatest("class", "best.other").alias("b")).distinct(), tag
-        )
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        classes = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "classes")
-        sets = scratch.save(sets_of(classes), "sets")
-        links = scratch.save(verified_jaccard(pairs, sets, percent), "links")
-        scratch.drop(sets)
-        scratch.drop(classes)
-        return links
-
-    def components(links: DataFrame) -> DataFrame:
-        return connected_components(links).withColumnRenamed("id", "class")
-
-    tried = best(met, "stars")
-    links = verify(tried)
-    found = components(links)
-    first = lists.select("key", F.col("first").alias("class"), F.col("first_place").alias("place"))
-    rows = _open(lists.select("key", "class", "place").unionAll(first), found)
+    found: DataFrame | None = None  # (id, component) of the classes that are linked so far
+
+    def merge(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components after these links too; and what the components of before have become."""
+        if found is None:
+            moved = connected_components(links)
+            return moved, moved
+        of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+        joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        moved = connected_components(joined)
+        to = moved.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+        old = found.join(to, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+        alone = moved.join(found.select("id"), "id", "left_anti").select("id", "component")
+        return scratch.save(old.unionAll(alone), "found"), moved
+
+    def some_sets(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
+        return scratch.save(sets.join(wanted, "class", "left_semi"), "some")
+
+    rows = _open(lists.select("key", "class", "place", F.col("class").alias("component")), None)
     scratch.drop(lists)
     for wave in range(WAVES):
         if _few(rows):
             break
-        met = _centred(rows, wave, may_link)
-        old = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("class"), F.col("b").alias("other"))
-        pairs = best(met.join(old, ["class", "other"], "left_anti"), "stars")
-        tried = tried.unionAll(pairs)
-        more = verify(pairs)
-        merged = more.count()
+        pairs = scratch.save(_centred(rows, wave, may_link), "stars")
+        chosen = some_sets(pairs) if wave else sets
+        links = scratch.save(verified_jaccard(pairs, chosen, percent), "links")
+        merged, asked = links.count(), pairs.count()
         if merged:
-            links = links.unionAll(more)
-            found = components(links)
-            later = _open(rows, found)
-            scratch.drop(rows)
-            rows = later
-        if wave and merged * WORTH < pairs.count():
-            break  # what is left does not link, or by few pairs only
-    left = scratch.save(rows.select("class").distinct(), "left")
-    # sets_of may bring a class twice
-    parities = scratch.save(sets_of(left).mapInArrow(_parities, "class bigint, n bigint, odd array<bigint>").dropDuplicates(["class"]), "parities")
-    across = scratch.save(_across(rows, may_link, parities, percent).join(tried, ["a", "b"], "left_anti"), "across")
+            found, moved = merge(links)
+            rows = _open(rows, moved)
+        scratch.drop(pairs)
+        scratch.drop(links)
+        if wave:
+            scratch.drop(chosen)
+            if merged * WORTH < asked:
+                break  # what is left does not link, or by few pairs only
+    left = rows.select("class").distinct()
+    parities = scratch.save(sets.join(left, "class", "left_semi").mapInArrow(_parities, "class bigint, n bigint, odd array<bigint>"), "parities")
+    across = scratch.save(_across(rows, may_link, parities, percent), "across")
     if not across.isEmpty():
-        more = verify(across)
-        if not more.isEmpty():
-            found = components(links.unionAll(more))
-    for table in (tried, rows, across, left, parities):
+        links = scratch.save(verified_jaccard(across, some_sets(across), percent), "links")
+        if not links.isEmpty():
+            found, _ = merge(links)
+    for table in (rows, across, parities):
         scratch.drop(table)
-    return found
+    if found is None:
+        found = sets.sparkSession.createDataFrame([], "id bigint, component bigint")
+    return found.withColumnRenamed("id", "class")

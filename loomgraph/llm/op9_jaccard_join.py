@@ -7,17 +7,18 @@ common order both sets have k in common.
 
 * Light sets (n at most a boundary) enumerate the subsets of fixed size two of their first
   n - c + 2 shingles; two light sets that link share a subset.
-* Heavy sets scan inverted lists: one entry for each of the first n - c + 1 shingles. Light
-  sets large enough to link with a heavy set are entered in these lists as well.
+* Heavy sets scan inverted lists: an entry for each of the first n - c + k shingles, with k half
+  of n - c + 1. Light sets large enough to link with a heavy set are entered in these lists as well.
 * The boundary is the one of least cost, from the measured sizes of the sets and of the
   inverted lists of short texts.
 
-The common order is rarest first. Frequencies of all shingles of all documents are summed in
-a sketch of fixed size (an order is valid however coarse it is, so its error costs time and
-never a link). Lists are scanned in one streaming pass over sorted partitions. Equal sets are
-one class from the start, so copies of a document are never paired. Pairs of classes come in
-two waves: every member of a list with the list's first member; then, once those links are
-merged into components, only pairs that cross components. All pairs are verified exactly.
+The common order is by hash, with hot shingles last: a sketch of fixed size tells which shingles
+stand out of the mean load of its counters. The scan of the lists counts each shingle exactly.
+Entries of one set alone vanish there, and a set with fewer than k shared entries links with
+nothing and vanishes too; of the others' m shared entries, the m - k + 1 rarest are kept, for
+two sets that link have one of these in common. Equal sets are one class from the start, so
+copies of a document are never paired. blocks.py makes pairs of what is left, and all pairs are
+verified exactly.
 
 Defined results: null and empty texts, and texts of spaces only, have 0 shingles and are their
 own component. Repeated rows are one row each in the result, in the same class. An empty table
@@ -31,11 +32,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .blocks import class_sets, link_classes
+from .blocks import class_sets, link_classes, shared_keys
 from .idfilter import semi_join
 from .shingles import mix, set_id, shingle_sets
 
@@ -44,6 +45,10 @@ LOG2_COUNTERS = 20
 CHUNK = 1 << 12
 #: Sets of more shingles than this are never light; it bounds the subsets of one set.
 MOST_LIGHT = 24
+#: A shingle is hot where its counter has so many times the mean load; it is dealt in pieces of half of that.
+HOT = 8
+#: Sets that a task remembers, so that copies of a document are entered once, before it starts anew.
+REMEMBERED = 200_000
 PERCENT = 75
 
 
@@ -180,68 +185,76 @@ def boundary_of(docs: DataFrame, sketch) -> int:
     return choose_boundary({r["n"]: (r["many"], r["met"] / r["many"]) for r in rows})
 
 
-def _keys(sketch, boundary: int) -> object:
-    """Emit (key, class, place) of each class once per task; place packs the set's size and the position in its order."""
+def more_entries(n: int) -> int:
+    """k of a set of n shingles: half as many entries as it needs at least."""
+    return max(1, (n - least_overlap(n) + 1) // 2)
+
+
+def _keys(sketch, boundary: int, mean: int) -> object:
+    """(key, class, place, hot) of each class; place is twice the set's size, and one more for subsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         seen: set[int] = set()
 
-        def flush(keys, classes, places):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(places))],
-                ["key", "class", "place"],
-            )
+        def flush(keys, classes, places, hots):
+            arrays = [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (classes, places, hots))]
+            return pa.RecordBatch.from_arrays(arrays, ["key", "class", "place", "hot"])
 
         for batch in batches:
-            keys, classes, places, many = [], [], [], 0
+            keys, classes, places, hots, many = [], [], [], [], 0
             for _, values in shingle_sets(batch.column("text")):
                 n = len(values)
                 if n < 2 or (key := set_id(values)) in seen:
                     continue  # a set of one shingle links with equal sets only
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(key)
-                k = 2 if n <= boundary else 1
-                p = n - least_overlap(n) + k
-                order = np.argsort((counts[_counter(values)].astype(np.uint64) << np.uint64(32)) | (mix(values) >> np.uint64(32)), kind="stable")
-                ranked = values[order[: min(p, n)]]
+                met = counts[_counter(values)].astype(np.int64)
+                met[met <= HOT * mean] = 0
+                order = np.lexsort((mix(values), met)) if met.any() else np.argsort(mix(values), kind="stable")
+                listed = n * 100 > PERCENT * boundary
                 if n <= boundary:
+                    ranked = values[order[: min(n - least_overlap(n) + 2, n)]]
                     left, right = np.array(list(combinations(range(len(ranked)), 2)), dtype=np.int64).T
                     # a subset is a set: combine its members in the common order, under another seed than single shingles
-                    subset = mix(ranked[left] * np.uint64(0x9E3779B97F4A7C15) + mix(ranked[right]) + np.uint64(2))
-                    keys.append(subset)
-                    places.append(np.full(len(subset), n << 24 << 8, dtype=np.int64))
-                    classes.append(np.full(len(subset), key, dtype=np.int64))
-                    many += len(subset)
-                if n * 100 > PERCENT * boundary:
-                    single = ranked[: n - least_overlap(n) + 1]
-                    keys.append(mix(single + np.uint64(1)))
-                    places.append((n << 32) + np.arange(len(single), dtype=np.int64))
-                    classes.append(np.full(len(single), key, dtype=np.int64))
-                    many += len(single)
+                    keys.append(mix(ranked[left] * np.uint64(0x9E3779B97F4A7C15) + mix(ranked[right]) + np.uint64(2)))
+                    hots.append(np.zeros(len(left), np.int32))
+                if listed:
+                    first = order[: min(n - least_overlap(n) + more_entries(n), n)]
+                    keys.append(mix(values[first] + np.uint64(1)))
+                    hots.append((met[first] * 2 // max(1, HOT * mean)).astype(np.int32))
+                for x, subset in zip(keys[-((n <= boundary) + listed) :], [True] * (n <= boundary) + [False] * listed, strict=True):
+                    places.append(np.full(len(x), 2 * n + subset, dtype=np.int64))
+                    classes.append(np.full(len(x), key, dtype=np.int64))
+                    many += len(x)
                 if many > 1 << 16:
-                    yield flush(keys, classes, places)
-                    keys, classes, places, many = [], [], [], 0
+                    yield flush(keys, classes, places, hots)
+                    keys, classes, places, hots, many = [], [], [], [], 0
             if many:
-                yield flush(keys, classes, places)
+                yield flush(keys, classes, places, hots)
 
     return run
 
 
-_SIZE, _POSITION = "shiftright({0}, 32)", "({0} & 4294967295L)"
+def _kept(shared: DataFrame) -> DataFrame:
+    """(key, class, place): the entries that matter, of sets that have enough shared ones.
 
+    A partner may be smaller by a quarter and have fewer entries, so k is that of the smallest partner.
+    """
+    least = lambda n: f"({n} - ({PERCENT} * {n} + 99) DIV 100)"
+    size = f"(({PERCENT} * (place DIV 2) + 99) DIV 100)"
+    need = F.expr(f"if(place % 2 = 1, 1L, greatest(1L, ({least(size)} + 1) DIV 2))")
+    own = Window.partitionBy("class", "place")
+    ranked = shared.withColumns({
+        "_m": F.count("*").over(own), "_k": need, "_rank": F.row_number().over(own.orderBy("often", "key")),
+    })
+    return ranked.filter("_m >= _k AND _rank <= _m - _k + 1").select("key", "class", "place")
 
-def _may_link(x: str, y: str) -> str:
-    """Can the places x and y of a shared key belong to sets that link: by size, and by what follows the key?
 
-    Exact for the first shingle that two sets share; each later one only adds to what came
-    before, so no pair is lost. Subset keys have position 0 and are tested by size alone.
-    """
-    nx, ny = _SIZE.format(x), _SIZE.format(y)
-    px, py = _POSITION.format(x), _POSITION.format(y)
-    return (
-        f"100 * least({nx}, {ny}) >= {PERCENT} * greatest({nx}, {ny}) AND "
-        f"(100 + {PERCENT}) * least({nx} - {px}, {ny} - {py}) >= {PERCENT} * ({nx} + {ny})"
-    )
+def _may_link(x: str, y: str) -> str:
+    """Can the places x and y of a shared key belong to sets that link, by size?"""
+    return f"100 * least({x} DIV 2, {y} DIV 2) >= {PERCENT} * greatest({x} DIV 2, {y} DIV 2)"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,30 +269,39 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     members, chunks = profile(docs)
-    sketch = spark.sparkContext.broadcast(frequency_sketch(chunks))
+    counts = frequency_sketch(chunks)
+    mean = max(1, int(counts.sum(dtype=np.int64)) >> LOG2_COUNTERS)
+    sketch = spark.sparkContext.broadcast(counts)
     boundary = boundary_of(docs, sketch)
-
-    keys = docs.select("text").mapInArrow(_keys(sketch, boundary), "key bigint, class bigint, place bigint")
-    def sets_of(classes: DataFrame) -> DataFrame:
-        one_each = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-        chosen = semi_join(docs.select(F.col("doc_id").cast("bigint"), "text"), scratch.save(one_each, "chosen"), "doc_id")
-        # repeated ids can bring sets of other classes or a set twice; neither adds a pair
-        return chosen.mapInArrow(_sets, "class bigint, shingles array<bigint>")
-
-    found = link_classes(keys, sets_of, PERCENT, _may_link("{0}", "{1}"))
+    keys = docs.select("text").mapInArrow(_keys(sketch, boundary, mean), "key bigint, class bigint, place bigint, hot int")
+    shared = scratch.save(shared_keys(keys), "shared")
+    lists = scratch.save(_kept(shared), "lists")
+    scratch.drop(shared)
     sketch.unpersist()
-    return members, found
+
+    # the sets of the classes that are left, each read from one of its documents
+    classes = scratch.save(lists.select("class").distinct(), "classes")
+    homes = scratch.save(members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "homes")
+    chosen = semi_join(docs.select(F.col("doc_id").cast("bigint"), "text"), homes, "doc_id")
+    # repeated and null ids bring other classes too, or one class twice
+    nameless = docs.filter("doc_id is null").select(F.col("doc_id").cast("bigint"), "text")
+    found = chosen.unionAll(nameless).mapInArrow(_sets, "class bigint, shingles array<bigint>")
+    sets = scratch.save(found.join(classes, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+    linked = link_classes(lists, sets, PERCENT, _may_link("{0}", "{1}"))
+    for table in (classes, homes, sets):
+        scratch.drop(table)
+    return members, linked
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id is the smallest doc_id of its component."""
     members, found = jaccard_links(docs)
+    placed = scratch.save(
+        members.join(found, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component")), "placed"
+    )
+    scratch.drop(members)
     # documents of no shingle link with nothing, not even with each other
-    placed = members.filter("n_shingles > 0").join(found, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "class").alias("component")
+    least = scratch.save(placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    return placed.join(least, "component", "left").select(
+        "doc_id", "n_shingles", F.expr("if(n_shingles = 0, doc_id, component_id)").alias("component_id")
     )
-    placed = scratch.save(placed, "placed")
-    least = scratch.save(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    joined = placed.join(least, "component").select("doc_id", "n_shingles", "component_id")
-    alone = members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.unionAll(alone)

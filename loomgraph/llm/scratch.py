@@ -6,16 +6,20 @@ costs a re-read and never a recomputation of the whole job.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK = "file:///tmp/checkpoints"
+_LOCAL = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK).rstrip("/")
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and all tasks run on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or _LOCAL).rstrip("/")
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-#: Text is hashed in slices of about so many bytes, which bounds a task's memory.
-SLICE_BYTES = 1 << 20
+#: Text is hashed in slices of about so many bytes, which bounds a task's memory; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 
@@ -76,7 +76,29 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of each word, and the word range of each text as offsets."""
+    """(hash, first byte, end byte) of each word, and the word range of each text as offsets.
+
+    One long text is taken in pieces that end at a space, so that only its words are held at once.
+    """
+    if len(data) <= 2 * SLICE_BYTES or len(offsets) != 2:
+        return _words(data, offsets)
+    parts, at, n = [], 0, len(data)
+    while at < n:
+        end = min(n, at + SLICE_BYTES)
+        while end < n:  # on to the next space, however long the word is
+            gap = np.flatnonzero(_SPACE[data[end : end + SLICE_BYTES]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(n, end + SLICE_BYTES)
+        word, first, stop, _ = _words(data[at:end], np.array([0, end - at]))
+        parts.append((word, first + at, stop + at))
+        at = end
+    word, first, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return word, first, stop, np.array([0, len(word)])
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
