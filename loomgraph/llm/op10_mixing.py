@@ -2,21 +2,23 @@
 
 The size of a document is its number of words. Sources, in code point order with null last,
 get shares of all sizes by weights; a target stops at MOST_COPIES times its source's size and
-the excess is shared again among the others. Rates of documents tilt exponentially away from
-one, rate = min(MOST_COPIES, exp(lambda_source)), and the multipliers solve the convex dual
-sum(size * rate integral) - lambda * target by Newton steps; each step is one pre-aggregated
-pass over the table of sizes that returns a gradient and a curvature per source.
-
-Rates become whole copies: all documents of a source take floor(rate), and those whose u, a
-fixed hash of id and text in [0, 1), lies below a cut take one more. The cut is near the rate's
-fraction: a histogram of u, weighted by size, gives the highest one that stays within the target.
-What is left is filled in the same way by documents no larger than the rest, round by round,
-so the words taken come near the target however uneven sizes are. Nothing depends on
-partitioning, so reruns agree.
+the excess is shared again among the others. Among all rates of documents whose words add up
+to the target, those nearest to 1 in relative entropy are exponentially tilted by the size:
+rate = min(MOST_COPIES, exp(lambda * size / mean size)), with one multiplier for each source. The
+multipliers are the root of the convex dual's gradient, sum(size * rate) - target, and are found
+by Newton steps between bounds; a step is one pass over the table of distinct sizes of each
+source, made once, and returns a gradient and a curvature for each source.
+
+Rates become whole copies: a document takes floor(rate), and one more if its key, a fixed hash
+in [0, 1) less the rate's fraction, lies below a cut near 0. A histogram of the keys, weighted by
+size, gives the highest cut that stays within the target; the bin in which it lies is divided
+again, until less than CLOSE of the target is open. What is left then is filled in the same way
+by documents no larger than the rest. Nothing depends on partitioning, so reruns agree.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a source of
-its own; repeated rows share their u and count each; an empty table gives an empty result; extra
-columns are ignored. Sources are a mixture's parts: more than MOST_SOURCES raise an error.
+its own; repeated rows count each and are told apart by a row number, so some of them may take one
+copy more than others; an empty table gives an empty result; extra columns are ignored. Sources
+are a mixture's parts: more than MOST_SOURCES raise an error.
 """
 
 from __future__ import annotations
@@ -32,11 +34,15 @@ from . import scratch
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 MOST_SOURCES = 500
-BINS = 4096
-ROUNDS = 5
+#: Keys have 63 bits: 24 of the hash less the fraction, 24 more of the document's hash, 15 of the row's.
+KEY_BITS, DOC_BITS, ROW_BITS = 63, 24, 15
+#: Bins of a histogram as a power of two; MOST_SOURCES times as many rows reach the driver at most.
+BIN_BITS = 10
+#: Passes that divide bins, at most.
+ROUNDS = 12
 #: Share of a target that may be left open.
-CLOSE = 0.001
-TOLERANCE = 1e-12
+CLOSE = 0.0005
+TOLERANCE = 1e-9
 
 
 def word_count(text: str = "text") -> Column:
@@ -71,80 +77,132 @@ def _with(sized: DataFrame, table: DataFrame) -> DataFrame:
     return sized.join(table, F.col("_part").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def balance(sized: DataFrame, goal: dict[str | None, float], sizes: dict[str | None, int], rounds: int = 100) -> dict[str | None, float]:
-    """Multipliers lambda by source. sized: (_part, size)."""
-    spark = sized.sparkSession
-    most = math.log(MOST_COPIES)
-    done: dict[str | None, float] = {}
+#: A rate by the multiplier and the scale of its source; the exponent is bounded, so that exp() never overflows.
+_LIMIT = math.log(MOST_COPIES)
+_RATE = f"if(tilt * size >= {_LIMIT!r}D * scale, {MOST_COPIES}D, exp(tilt * size / scale))"
+
+
+def balance(sizes: DataFrame, goal: dict[str | None, float], total: dict[str | None, int], rounds: int = 100) -> dict[str | None, tuple[float, float]]:
+    """(lambda, scale) by source. sizes: (_part, size, n), how many documents of each size; only sizes above 0.
+
+    Infinite multipliers: all documents at the bound, or none.
+    """
+    spark = sizes.sparkSession
+    means = {r["_part"]: r["mean"] for r in sizes.groupBy("_part").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+    done: dict[str | None, tuple[float, float]] = {}
+    at: dict[str | None, tuple[float, float, float]] = {}  # the multiplier and the bounds that it is known to lie in
     for s in goal:
-        if sizes[s] == 0 or goal[s] <= 0:
-            done[s] = -math.inf
-        elif goal[s] >= MOST_COPIES * sizes[s]:
-            done[s] = most  # at the bound, where the dual has no curvature beyond
-    at = {s: 0.0 for s in goal if s not in done}
+        if total[s] == 0 or goal[s] <= 0:
+            done[s] = (-math.inf, 1.0)
+        elif goal[s] >= MOST_COPIES * total[s]:
+            done[s] = (math.inf, 1.0)
+        else:
+            at[s] = (0.0, -math.inf, math.inf)
     for _ in range(rounds):
         if not at:
             break
-        table = _by_source(spark, {s: (v,) for s, v in at.items()}, "tilt double")
-        rate = F.exp("tilt")
-        rows = _with(sized, table).groupBy("_part").agg(F.sum(F.col("size") * rate).alias("taken"))
-        taken = {r["_part"]: r["taken"] for r in rows.collect()}
-        for s in list(at):
-            gradient = taken[s] - goal[s]
-            if abs(gradient) <= TOLERANCE * goal[s]:
-                done[s] = at.pop(s)
-            else:
-                # the curvature of sum(size * exp(lambda)) is its gradient; steps are damped to stay convergent
-                at[s] = min(most, at[s] - max(-1.0, min(1.0, gradient / taken[s])))
-    return done | at
+        table = _by_source(spark, {s: (x[0], means[s]) for s, x in at.items()}, "tilt double, scale double")
+        rated = _with(sizes, table).withColumn("taken", F.expr(f"size * double(n) * {_RATE}"))
+        slope = F.expr(f"if(tilt * size >= {_LIMIT!r}D * scale, 0D, taken * size / scale)")
+        for r in rated.groupBy("_part").agg(F.sum("taken").alias("taken"), F.sum(slope).alias("slope")).collect():
+            s = r["_part"]
+            tilt, low, high = at[s]
+            gradient = r["taken"] - goal[s]
+            if abs(gradient) <= TOLERANCE * goal[s] or high - low <= 1e-15 * max(1.0, abs(tilt)):
+                done[s] = (tilt, means[s])
+                del at[s]
+                continue
+            low, high = (low, tilt) if gradient > 0 else (tilt, high)
+            step = tilt - gradient / r["slope"] if r["slope"] > 0 else math.nan
+            if not low < step < high:  # Newton leaves the bounds, or there is no slope: halve them, or go out twice as far
+                step = (low + high) / 2 if math.isfinite(low + high) else (2 * max(1.0, tilt) if gradient < 0 else 2 * min(-1.0, tilt))
+            at[s] = (step, low, high)
+    return done | {s: (x[0], means[s]) for s, x in at.items()}
+
+
+_FIXED = "tilt double, scale double"
+_OPEN = "cuts array<struct<top: bigint, below: bigint>>, top bigint, low bigint, high bigint"
+_TAKEN = "exists(cuts, c -> size <= c.top AND key < c.below)"
+
+
+def _keyed(sized: DataFrame) -> DataFrame:
+    """Adds base, the copies that are certain, and key. sized: with tilt and scale, u in [0, 1), doc and row."""
+    least = MOST_COPIES - 1
+    rated = sized.withColumn("rate", F.expr(f"if(size = 0, 0D, {_RATE})")).withColumn("base", F.expr(f"least({least}, cast(floor(rate) AS int))"))
+    place = F.expr("cast(floor((u - (rate - base) + 1) * 8388607D) AS bigint)")  # 0 to 2^24 - 1
+    bits = DOC_BITS + ROW_BITS
+    return rated.withColumn("key", F.shiftleft(place, bits) + F.shiftleft("doc", ROW_BITS) + F.col("row")).drop("rate")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) and the columns named in keep."""
     spark = docs.sparkSession
-    place = (F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    wide = docs.select(F.col("doc_id").cast("bigint"), F.col("source").alias("_part"), word_count().alias("size"), place, *keep)
-    sized = scratch.save(wide.select("doc_id", "_part", "size", "u"), "sized")
-    rows = sized.groupBy("_part").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    known = F.xxhash64(F.lit(10), "doc_id", "text", "source")
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))
+    wide = docs.select(
+        F.col("doc_id").cast("bigint"), F.col("source").alias("_part"), word_count().alias("size"),
+        (F.pmod(known, F.lit(1 << 30)) / float(1 << 30)).alias("u"), F.pmod(F.shiftright(known, 30), F.lit(1 << DOC_BITS)).alias("doc"),
+        row.alias("row"), *(F.col(f"`{c}`").alias(f"_kept{k}") for k, c in enumerate(keep)),
+    )
+    sized = scratch.save(wide.select("doc_id", "_part", "size", "u", "doc", "row"), "sized")
+    sizes = scratch.save(sized.groupBy("_part", "size").agg(F.count("*").alias("n")), "sizes")
+    rows = sizes.groupBy("_part").agg(F.sum(F.col("size") * F.col("n")).alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["_part"]: r["size"] for r in rows}
-    goal = targets(sizes, weights)
-    tilt = balance(sized.select("_part", "size"), goal, sizes)
-    rate = {s: min(float(MOST_COPIES), math.exp(t)) for s, t in tilt.items()}
-    base = {s: min(MOST_COPIES - 1, math.floor(r)) for s, r in rate.items()}
-    fixed = {s: (sizes[s], goal[s], base[s]) for s in rate}
-    cuts: dict[str | None, list[tuple[float, float]]] = {s: [] for s in rate}
-    left = {s: goal[s] - base[s] * sizes[s] for s in rate}
-    for _ in range(ROUNDS):
-        if all(x < CLOSE * goal[s] or x < 1 for s, x in left.items()):
-            break
-        limits = {s: (max(0.0, left[s]) if cuts[s] else math.inf) for s in rate}
-        open_rows = _with(sized, _by_source(spark, {s: (cuts[s], limits[s]) for s in rate}, _CUTS)).filter(f"NOT {_TAKEN} AND size <= now")
-        # BINS rows per source at most
-        heights: dict[str | None, dict[int, int]] = {s: {} for s in rate}
-        for r in open_rows.groupBy("_part", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("size").alias("size")).collect():
-            heights[r["_part"]][r["bin"]] = r["size"]
-        for s in rate:
-            cut, words = _cut(left[s], heights[s])
-            cuts[s].append((limits[s], cut))
-            left[s] -= words
-    table = _by_source(spark, {s: (*fixed[s], cuts[s], 0.0) for s in rate}, f"source_size bigint, target double, base int, {_CUTS}")
+    total = {r["_part"]: r["size"] for r in rows}
+    goal = targets(total, weights)
+    tilts = balance(sizes.filter("size > 0"), goal, total)
+    cuts = _cuts(sized, sizes, goal, tilts)
+    table = _by_source(
+        spark, {s: (*tilts[s], total[s], goal[s], cuts[s]) for s in goal},
+        f"{_FIXED}, source_size bigint, target double, cuts array<struct<top: bigint, below: bigint>>",
+    )
     copies = F.col("base") + F.expr(f"cast({_TAKEN} AS int)")
-    return _with(wide if keep else sized, table).select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep
+    return _keyed(_with(wide if keep else sized, table)).select(
+        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        *(F.col(f"_kept{k}").alias(c) for k, c in enumerate(keep)),
     )
 
 
-_CUTS = "cuts array<struct<top: double, below: double>>, now double"
-_TAKEN = "exists(cuts, c -> size <= c.top AND u < c.below)"
-
-
-def _cut(left: float, heights: dict[int, int]) -> tuple[float, int]:
-    """The highest bin edge below which the documents' words do not exceed left, and those words."""
-    words = 0
-    for k in range(BINS):
-        if words + heights.get(k, 0) > left:
-            return k / BINS, words
-        words += heights.get(k, 0)
-    return 1.0, words
+def _cuts(sized: DataFrame, sizes: DataFrame, goal: dict[str | None, float], tilts: dict[str | None, tuple[float, float]]) -> dict[str | None, list[tuple[int, int]]]:
+    """By source, (top, below): documents of at most top words whose key is less than below take one more copy."""
+    spark = sized.sparkSession
+    most = MOST_COPIES - 1
+    fixed = _with(sizes, _by_source(spark, tilts, _FIXED)).withColumn("sure", F.expr(f"if(size = 0, 0D, size * double(n) * least({most}, floor({_RATE})))"))
+    sure = {r["_part"]: r["sure"] for r in fixed.groupBy("_part").agg(F.sum("sure").alias("sure")).collect()}
+    left = {s: goal[s] - sure.get(s, 0.0) for s in goal}
+    whole = ((1 << 63) - 1, 0, (1 << KEY_BITS) - 1)
+    cuts: dict[str | None, list[tuple[int, int]]] = {s: [] for s in goal}
+    # (top, low, high): what is below low is taken, and the cut lies between low and high
+    at = {s: whole for s, x in left.items() if x >= max(1.0, CLOSE * goal[s])}
+    for _ in range(ROUNDS):
+        if not at:
+            break
+        table = _by_source(spark, {s: (*tilts[s], cuts[s], *x) for s, x in at.items()}, f"{_FIXED}, {_OPEN}")
+        near = _keyed(_with(sized, table)).filter(f"size > 0 AND size <= top AND key >= low AND key < high AND NOT {_TAKEN}")
+        step = {s: max(1, (x[2] - x[1]) >> BIN_BITS) for s, x in at.items()}
+        bins = _with(near, _by_source(spark, {s: (n,) for s, n in step.items()}, "step bigint"))
+        heights: dict[str | None, dict[int, int]] = {s: {} for s in at}
+        many: dict[tuple[str | None, int], int] = {}
+        for r in bins.groupBy("_part", F.expr("(key - low) DIV step").alias("bin")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect():
+            heights[r["_part"]][r["bin"]], many[r["_part"], r["bin"]] = r["size"], r["n"]
+        for s in list(at):
+            top, low, high = at[s]
+            edge, alone = high, False
+            for k in sorted(heights[s]):
+                if heights[s][k] > left[s]:
+                    edge, alone = low + k * step[s], many[s, k] == 1
+                    break
+                left[s] -= heights[s][k]
+            if left[s] < max(1.0, CLOSE * goal[s]) or (edge == high and not heights[s]):
+                cuts[s].append((top, edge))
+                del at[s]
+            elif edge == high or alone or step[s] == 1:
+                # the next document is larger than the rest: fill with smaller ones
+                cuts[s].append((top, edge))
+                at[s] = (int(left[s]), 0, whole[2])
+            else:
+                at[s] = (top, edge, min(edge + step[s], high))
+    for s, (top, low, _) in at.items():
+        cuts[s].append((top, low))
+    return cuts
