@@ -18,8 +18,8 @@ or more; colliding paragraphs are verified by exact Jaccard (0.75 or more) and c
 connected components.
 
 Of equal runs and of each cluster the units of the smallest doc_id stay; those of other
-documents are removals. Removals of a document with a gap of at most GAP characters are joined
-into spans.
+documents are removals. Removals that overlap, or between which no word stands, are joined into
+spans, so a span holds nothing but text that is shown to repeat.
 
 Defined results: null and empty texts have no units; repeats inside one document, repeated
 rows of one doc_id included, are not repeats across documents and stay; an empty table gives
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .blocks import class_sets, link_classes
+from .blocks import class_sets, link_classes, shared_keys
 from .idfilter import semi_join
 from .shingles import WIDTH, mix, rolling, shingles_of, text_slices, words
 
@@ -47,7 +47,6 @@ PARAGRAPH_WORDS = 30
 #: Words of the shortest run that counts, and of the runs that its anchor is chosen from.
 RUN = 51
 SHINGLE = 16
-GAP = 120
 UNITS = "doc_id bigint, unit bigint, anchor bigint, start int, stop int, place int, words int, bands array<bigint>"
 RUNS = "doc_id bigint, run bigint, start int, stop int, place int, words int"
 
@@ -233,23 +232,26 @@ def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from class_sets(found(batch))
 
 
+def _alike(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(unit, component) of the paragraphs that link with others. paragraphs: (unit, doc_id, bands), equal ones too."""
+    each = scratch.save(paragraphs.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "paragraphs")
+    keys = each.select(F.explode("bands").alias("key"), F.col("unit").alias("class"), F.lit(0).cast("bigint").alias("place"), F.lit(0).alias("hot"))
+    lists = scratch.save(shared_keys(keys).select("key", "class", "place"), "lists")
+    classes = scratch.save(lists.select("class").distinct(), "classes")
+    homes = scratch.save(each.join(classes.withColumnRenamed("class", "unit"), "unit", "left_semi").select("doc_id").distinct(), "homes")
+    found = semi_join(docs, homes, "doc_id").mapInArrow(_paragraph_sets, "class bigint, shingles array<bigint>")
+    sets = scratch.save(found.join(classes, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+    linked = link_classes(lists, sets, PERCENT)
+    for table in (each, classes, homes, sets):
+        scratch.drop(table)
+    return linked.select(F.col("class").alias("unit"), "component")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, words, kept_doc_id): spans to remove, and a document that keeps the passage."""
+    """(doc_id, start, stop, words, kept_doc_id): spans to remove, and the smallest document that keeps text of it."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     units = scratch.save(docs.mapInArrow(_units, UNITS), "units")
-    paragraphs = units.filter("bands is not null")
-
-    # paragraphs that are alike but not equal
-    keys = paragraphs.select(F.explode("bands").alias("key"), F.col("unit").alias("class"), F.lit(0).cast("bigint").alias("place"))
-
-    def sets_of(classes: DataFrame) -> DataFrame:
-        wanted = classes.withColumnRenamed("class", "unit")
-        homes = paragraphs.join(wanted, "unit", "left_semi").groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
-        chosen = semi_join(docs, scratch.save(homes.select("doc_id").distinct(), "homes"), "doc_id")
-        sets = chosen.mapInArrow(_paragraph_sets, "class bigint, shingles array<bigint>")
-        return sets.join(classes, "class", "left_semi").dropDuplicates(["class"])
-
-    alike = link_classes(keys, sets_of, PERCENT).select(F.col("class").alias("unit"), "component")
+    alike = _alike(docs, units.filter("bands is not null").select("unit", "doc_id", "bands"))
 
     # equal units, by hash; a cluster is a component of paragraphs or a hash alone
     spread = scratch.save(units.groupBy("unit").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "spread")
@@ -290,15 +292,14 @@ def _shared_runs(docs: DataFrame, spread: DataFrame) -> DataFrame:
 
 
 def _spans(removed: DataFrame) -> DataFrame:
-    """Units to spans: overlapping and near ones are joined; words that units share count once."""
+    """Units to spans: those that overlap or follow at once are joined; words that units share count once."""
     order = Window.partitionBy("doc_id").orderBy("start", F.desc("stop"), "kept_doc_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     marked = (
-        removed.distinct().withColumn("reach", F.max("stop").over(before))
-        .withColumn("fresh", F.coalesce(F.col("start") > F.col("reach") + GAP, F.lit(True)))
+        removed.distinct().withColumn("past", F.max(F.expr("place + words")).over(before))
+        .withColumn("fresh", F.coalesce(F.col("place") > F.col("past"), F.lit(True)))
         .withColumn("run", F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         # the words of a unit that earlier units do not cover
-        .withColumn("past", F.max(F.expr("place + words")).over(before))
         .withColumn("own", F.expr("greatest(0, place + words - greatest(place, coalesce(past, 0)))"))
     )
     return (
@@ -309,15 +310,15 @@ def _spans(removed: DataFrame) -> DataFrame:
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
-    """The documents with their repeated passages cut out; n_chars, where it is a column, follows."""
-    keys = [c for c in docs.columns if c != "text"]
-    spans = repeated_passages(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
+    """The documents with their repeated passages cut out; n_chars, where it is a column, follows. Columns may have any name."""
+    cut = next(x for x in (f"_cut{k or ''}" for k in range(len(docs.columns) + 1)) if x not in {c.lower() for c in docs.columns})
+    spans = repeated_passages(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cut))
     joined = docs.join(scratch.save(spans, "cuts"), "doc_id", "left")
     parts = F.expr(
-        "transform(sequence(0, size(_cut)), i -> substring(text, if(i = 0, 1, _cut[i - 1].stop + 1), "
-        "if(i = size(_cut), length(text), _cut[i].start) - if(i = 0, 0, _cut[i - 1].stop)))"
+        f"transform(sequence(0, size({cut})), i -> substring(text, if(i = 0, 1, {cut}[i - 1].stop + 1), "
+        f"if(i = size({cut}), length(text), {cut}[i].start) - if(i = 0, 0, {cut}[i - 1].stop)))"
     )
-    out = joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
-    if "n_chars" in keys:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
