@@ -8,8 +8,8 @@ Only statistics of the text are inputs of a score.
 
 Defined results: null and empty texts have statistics of 0 and are scored like others; labels of
 null or unknown documents are not used; repeated rows are scored each; without labels, or with one class
-only, every score is the smoothed share of good labels; an empty table gives an empty table; extra columns
-pass through with_statistics().
+only, every score is the smoothed share of good labels; an empty table gives an empty table; extra columns,
+whatever their names, pass through good_documents() and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
+from .idfilter import semi_join
 from .shingles import text_slices, words
 
 STATISTICS = (
@@ -75,20 +76,18 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("_text"))
-        parts = [_statistics(data, offsets) for _, _, data, offsets in text_slices(column)]
+        parts = [_statistics(data, offsets) for _, _, data, offsets in text_slices(batch.column("text"))]
         values = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(values.ravel()))
-        names = [n for n in batch.schema.names if n != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), lists], [*names, "_stats"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "_stats"])
 
 
 def with_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns and _stats, an array in the order of STATISTICS, of each row's text."""
-    kept = docs.select(*(F.col(f"`{c}`") for c in columns))
-    wide = docs.select(*(F.col(f"`{c}`") for c in columns), F.coalesce("text", F.lit("")).alias("_text"))
-    schema = type(kept.schema)([*kept.schema.fields])
-    return wide.mapInArrow(_append, schema.add("_stats", T.ArrayType(T.DoubleType())))
+    """(row, _stats): the columns as one struct, whatever their names, and an array in the order of STATISTICS of each row's text."""
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+    wide = docs.select(row, F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField("row", wide.schema["row"].dataType)]).add("_stats", T.ArrayType(T.DoubleType()))
+    return wide.mapInArrow(_append, schema)
 
 
 @dataclass(frozen=True)
@@ -138,8 +137,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> QualityModel:
-    """stats: (doc_id, _stats); labels: (doc_id, quality). Held-out rows are not read."""
+def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> QualityModel:
+    """The model of labelled rows. docs: (doc_id, text); labels: (doc_id, quality). Held-out rows are not read.
+
+    Of the labels, at most about `most` ids are drawn by their hash, and statistics are computed for
+    their documents only; rows that repeat an id count once for each different text and label.
+    """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -147,7 +150,9 @@ def fit_quality(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
         "doc_id is not null AND label in (0, 1)"
     ).filter(~held_out())
     share = min(1.0, most / max(1, known.count()))
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    drawn = scratch.save(known.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).distinct(), "drawn")
+    texts = semi_join(docs.select(F.col("doc_id").cast("bigint"), "text"), drawn, "doc_id").dropDuplicates(["doc_id", "text"])
+    stats = with_statistics(texts, ["doc_id"]).select("row.doc_id", "_stats")
     sample = scratch.save(
         # in a fixed order, so that reruns fit the same model
         stats.join(drawn, "doc_id").repartition(max(1, min(8, most // 2500)), "doc_id").sortWithinPartitions("doc_id", "label", "_stats").select("label", "_stats"),
@@ -173,8 +178,8 @@ def fit_quality(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    stats = scratch.save(with_statistics(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), ["doc_id"]), "stats")
-    model = fit_quality(stats, labels)
+    model = fit_quality(docs, labels)
+    stats = with_statistics(docs.select(F.col("doc_id").cast("bigint"), "text"), ["doc_id"]).select("row.doc_id", "_stats")
     return stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
     )
@@ -182,7 +187,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected."""
-    own = [c for c in docs.columns if c != "_stats"]
-    stats = with_statistics(docs, own)
-    model = fit_quality(stats.select(F.col("doc_id").cast("bigint").alias("doc_id"), "_stats"), labels)
-    return stats.filter(model.score() >= THRESHOLD).select(*(F.col(f"`{c}`") for c in own))
+    model = fit_quality(docs, labels)
+    return with_statistics(docs, docs.columns).filter(model.score() >= THRESHOLD).select("row.*")
