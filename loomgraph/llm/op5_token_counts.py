@@ -6,9 +6,12 @@ into pre-tokens as the tokenizer's byte-level rule cuts it; those in the proved
 each, and only the rest are merged, each distinct one once per batch, by the library itself.
 
 The cut is written for the characters whose class the regex module and the library agree on
-(code points below 0x300 and general punctuation); a text with others is encoded whole by the library. Special
-strings inside a text count one token each, as the library's default has it. The proved set
-is broadcast; the vocabulary bounds its size.
+(code points below 0x300 and general punctuation). Texts with others are first cut where a plain
+character meets plain white space, where every pre-token ends; chunks of other characters are
+encoded by the library, each distinct one once, and the rest goes the short way. Special strings
+inside a text count one token each, as the library's default has it, and cut the text before
+anything else. The proof is made once for each vocabulary file; its set is broadcast, and the
+vocabulary bounds its size.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted
 each; an empty table gives an empty table; extra columns are ignored.
@@ -48,6 +51,7 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@cache
 def whole_tokens(path: str) -> frozenset[str]:
     """The strings of the vocabulary that, encoded alone, are one token and one pre-token."""
     import regex
@@ -67,7 +71,7 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 @cache
 def _plain_rule() -> tuple:
-    """PRE_TOKENS for plain texts with its classes written out, which the standard library runs faster, and a test for plain texts."""
+    """PRE_TOKENS for plain texts with its classes written out, which the standard library runs faster, a test for other characters, and where to cut texts that have them."""
     import regex
 
     def members(kind: str) -> str:
@@ -80,7 +84,8 @@ def _plain_rule() -> tuple:
         f"|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
     )
     plain = "".join(f"\\u{lo:04x}-\\u{hi:04x}" for lo, hi in PLAIN)
-    return re.compile(rule), re.compile(f"[^{plain}]")
+    # a pre-token ends where white space follows on any other plain character
+    return re.compile(rule), re.compile(f"[^{plain}]"), re.compile(f"(?<=[{members(r'\S')}])(?=[{spaces}])")
 
 
 @cache
@@ -105,33 +110,54 @@ def _merger(path: str):
     ranks = singles | {bytes(byte_of[c] for c in a + b): vocab[a + b] for a, b in pairs}
     if max(singles.values()) > min(ids, default=1 << 60):
         return None
-    return tiktoken.Encoding("merges", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    # one pre-token comes at a time, and is one piece whatever it holds
+    return tiktoken.Encoding("merges", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def _count(path: str, proved) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, whole, merge = _tokenizer(path), proved.value, _merger(path)
-        special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        rule, odd = _plain_rule()
-        cut = rule.findall
+        special = [t for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+        # tokens that take spaces along, or stand only as whole words, are left to the library
+        strict = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in special)
+        marks = re.compile("|".join(re.escape(t.content) for t in sorted(special, key=lambda t: -len(t.content))) or r"(?!)")
+        rule, odd, seams = _plain_rule()
         merged: dict[str, int] = {}
 
-        def tokens(text: str) -> int:
-            if merge is None or odd.search(text) or any(s in text for s in special):
-                return len(tokenizer.encode(text, add_special_tokens=False).ids)
+        def remembered(piece: str, count) -> int:
+            m = merged.get(piece)
+            if m is None:
+                if len(merged) > REMEMBERED:
+                    merged.clear()
+                m = merged[piece] = count(piece)
+            return m
+
+        def library(text: str) -> int:
+            return len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+        def plain(text: str) -> int:
             total = 0
-            for piece, n in Counter(cut(text)).items():
-                if piece in whole:
-                    total += n
-                    continue
-                m = merged.get(piece)
-                if m is None:
-                    if len(merged) > REMEMBERED:
-                        merged.clear()
-                    m = merged[piece] = len(merge(piece.encode()))
-                total += n * m
+            for piece, n in Counter(rule.findall(text)).items():
+                total += n if piece in whole else n * remembered(piece, lambda x: len(merge(x)))
             return total
 
+        def mixed(text: str) -> int:
+            total, run = 0, []
+            for chunk in seams.split(text):
+                if odd.search(chunk):
+                    total += remembered(chunk, library)
+                else:
+                    run.append(chunk)
+                    if len(run) > 1000:
+                        total, run = total + plain("".join(run)), []
+            return total + plain("".join(run))
+
+        def tokens(text: str) -> int:
+            if merge is None or strict and marks.search(text):
+                return library(text)
+            parts = marks.split(text)
+            return len(parts) - 1 + sum(mixed(x) if odd.search(x) else plain(x) for x in parts)
+
         for batch in batches:
             texts = batch.column("text").fill_null("")
             n_bytes, n_tokens = [], []
