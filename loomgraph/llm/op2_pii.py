@@ -35,7 +35,8 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"text rlike '[0-9](?:[\\x20-]?[0-9]){13}'"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "contains(text, '+')"),
     "secret": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", r"text rlike '[A-Za-z0-9_-]{20}'"),
-    "number": (r"(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?)?[0-9](?:[\x20.-]?[0-9]){6,}+(?![A-Za-z])", r"text rlike '[0-9](?:[\\x20.-]?[0-9]){6}'"),
+    # with the letter behind it, so that a run that fails for its letter is passed over whole
+    "number": (r"(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?)?[0-9](?:[\x20.-]?[0-9]){6,}+[A-Za-z]?", r"text rlike '[0-9](?:[\\x20.-]?[0-9]){6}'"),
 }
 LEARNED_KINDS = ("secret", "number")
 CONTEXT = 24
@@ -61,7 +62,7 @@ def _keeps(kind: str) -> str:
             f"aggregate(sequence(0, length({digits}) - 1), 0, (a, i) -> a + if(i % 2 = 0, {digit}, {digit} * 2 - if({digit} > 4, 9, 0))) % 10 = 0"
         )
         return f"if(length({digits}) BETWEEN 14 AND 19, {luhn}, false)"
-    return "true"
+    return "s.body rlike '[0-9]$'" if kind == "number" else "true"
 
 
 _BLOCK = 256
@@ -232,14 +233,14 @@ def _joined(spans: str) -> str:
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_learned) of every document."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_learned, n_spans) of every document."""
     found = with_spans(docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")))
     model = train(found)
     counts = [F.expr(f"cast(size(filter(_base, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in BASE_KINDS]
     out = found.withColumn("_spans", _all_spans(model))
     return out.select(
         "doc_id", *counts, F.sha2(F.expr(_joined("_base")), 256).alias("base_sha256"), F.expr(_joined("_spans")).alias("spans"),
-        (F.size("_spans") - F.size("_base")).cast("bigint").alias("n_learned"),
+        (F.size("_spans") - F.size("_base")).cast("bigint").alias("n_learned"), F.size("_spans").cast("bigint").alias("n_spans"),
     )
 
 
