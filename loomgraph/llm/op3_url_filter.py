@@ -3,8 +3,9 @@
 Rules name a host and a path prefix. A rule fits its host and all its subdomains when the
 url's path starts with the rule's, and the longest rule wins. Urls without a rule are judged by
 a logistic regression on hashed n-grams of host and path, trained on the driver from a small
-labelled table (LABELLED, or the caller's, at most MOST_LABELLED rows); its weights, of fixed size,
-are broadcast and urls are scored in Arrow batches.
+labelled table (LABELLED, or the caller's table of label and url, at most MOST_LABELLED rows; more
+raise an error); its weights, of fixed size, are broadcast and urls are scored in Arrow batches.
+accuracy() tells how the weights do on rows that they were not trained on.
 
 Defined results: a null url, and one without "://", has an empty host and path, fits no rule and
 is allowed; very long urls are scored whole; repeated rows are judged each; an empty table gives
@@ -13,6 +14,7 @@ an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -34,6 +36,7 @@ MOST_RULES = 1000
 MOST_LABELLED = 100_000
 LOG2_FEATURES = 16
 SIZES = (3, 4, 5)
+_LOWER = {65 + k: 97 + k for k in range(26)}
 
 #: A small labelled table: 1 is blocked.
 LABELLED = tuple(
@@ -121,8 +124,7 @@ def train(labelled: Sequence[tuple[int, str]] = LABELLED, rounds: int = 300, ste
     """Weights of the n-grams, the bias last, by gradient descent over a small table of (label, host/path)."""
     if len(labelled) > MOST_LABELLED:
         raise ValueError(f"more than {MOST_LABELLED} labelled urls")
-    hosts = [u.partition("/")[0].encode() for _, u in labelled]
-    paths = [("/" + u.partition("/")[2]).encode() for _, u in labelled]
+    hosts, paths = _parts(u for _, u in labelled)
     label = np.array([y for y, _ in labelled], dtype=float)
     parts = [_features(texts, seed) for seed, texts in ((1, hosts), (2, paths))]
     values, owners = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -136,6 +138,25 @@ def train(labelled: Sequence[tuple[int, str]] = LABELLED, rounds: int = 300, ste
     return weights
 
 
+def _parts(urls: Iterable[str]) -> tuple[list[bytes], list[bytes]]:
+    """Hosts and paths of the urls of a labelled table, which may leave the scheme out."""
+    bare = [u.partition("://")[2] if "://" in u else u for u in urls]
+    cut = [re.match(r"([^/?#]*)([^?#]*)", u) for u in bare]
+    return [m[1].translate(_LOWER).encode() for m in cut], [(m[2] or "/").encode() for m in cut]
+
+
+def labelled_rows(table: DataFrame) -> list[tuple[int, str]]:
+    """(label, url) of a labelled table, in a fixed order; null urls and labels other than 0 and 1 are left out."""
+    rows = table.select(F.col("label").cast("int"), "url").filter("url is not null AND label in (0, 1)").limit(MOST_LABELLED + 1).collect()
+    return sorted((r["label"], r["url"]) for r in rows)
+
+
+def accuracy(weights: np.ndarray, labelled: Sequence[tuple[int, str]]) -> float:
+    """The share of these urls that the weights judge as labelled."""
+    hosts, paths = _parts(u for _, u in labelled)
+    return float(np.mean((_logits(weights, hosts, paths) >= 0) == np.array([y == 1 for y, _ in labelled])))
+
+
 def _judge(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
@@ -151,11 +172,11 @@ def _judge(shared) -> object:
     return run
 
 
-def judged_urls(pages: DataFrame, labelled: Sequence[tuple[int, str]] = LABELLED, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+def judged_urls(pages: DataFrame, labelled: Sequence[tuple[int, str]] | DataFrame = LABELLED, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every page."""
     host, path = split_url(F.col("_url"))
     parts = pages.select(F.col("page_id").cast("bigint"), F.col("url").alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
-    weights = pages.sparkSession.sparkContext.broadcast(train(labelled))
+    weights = pages.sparkSession.sparkContext.broadcast(train(labelled_rows(labelled) if isinstance(labelled, DataFrame) else labelled))
     scored = parts.mapInArrow(_judge(weights), "page_id bigint, host string, path string, score double")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
