@@ -1,10 +1,11 @@
 """Chat formatting by schema fingerprints.
 
-A layout is the set of nested field paths of a record. Its fingerprint, the SHA-256 of these
-paths in canonical order, selects a declarative mapping that turns the layout into canonical
-turns (role, text). Typed tables are fingerprinted once, from their schema; JSON records one
-by one, from the schema of their variant. Optional fields of a mapping give it one fingerprint
-for each set of them that is present. All work is done by built-in functions.
+A layout is the set of nested field paths of a record: names joined by dots, [] after a list. Its
+fingerprint is the SHA-256 of these paths in canonical order. Every path is hashed, and so are the
+paths that a declarative mapping needs: of the mappings whose hashes a layout has all of, the one
+with the most paths is selected, and turns the layout into canonical turns (role, text). Fields
+that no mapping names change the fingerprint and nothing else. Typed tables are looked up once, from
+their schema; JSON records one by one, from their own fields. All work is done by built-in functions.
 
 Canonical turns are rendered as `<|role|>text<|end|>`. `~` escapes: `~` becomes `~0`, `<` `~1`,
 `[` `~2` and, in roles, `|` `~3`, so no control string of this or another template survives
@@ -12,18 +13,17 @@ inside a text, and unescaping gives the text back exactly. The loss mask is a li
 the formatted string, in code points: the texts of assistant turns.
 
 Defined results: null texts and roles are empty; turns order by turn (null first), then role
-and text; repeated rows are turns of their own; conversations with a null id form one group; records
-of an unknown layout, invalid JSON and null get no turns and are given back by unmapped(); an empty
-table gives an empty table; extra columns of a typed table are ignored, as long as the four of
-the layout are there.
+and text; repeated rows are turns of their own; conversations with a null id form one group; an
+empty list of messages gives no turns, as an empty array; records of an unknown layout, invalid
+JSON and null get null and are given back by unmapped(); an empty table gives an empty table;
+extra columns are ignored. A conversation is one string by nature and is built in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,21 +31,36 @@ from pyspark.sql import types as T
 
 TURNS = "array<struct<role: string, text: string>>"
 END = "<|end|>"
-_LEAF = "_"
+
+
+def path_hash(path: str) -> str:
+    """The hash of one nested path."""
+    return hashlib.md5(path.encode()).hexdigest()
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """How one layout becomes turns. turns: SQL over the variant column v."""
+    """How one layout becomes turns. turns: SQL over the variant column v; listed: the list that may be empty."""
 
     name: str
     paths: tuple[str, ...]
     turns: str
-    optional: tuple[str, ...] = ()
+    listed: str | None = None
+
+
+@dataclass(frozen=True)
+class RowMapping:
+    """How a table with a row for each turn becomes turns: the columns of these meanings."""
+
+    name: str
+    key: str
+    order: str
+    role: str
+    text: str
 
-    def fingerprints(self) -> list[str]:
-        some = chain.from_iterable(combinations(self.optional, n) for n in range(len(self.optional) + 1))
-        return [fingerprint_paths((*self.paths, *extra)) for extra in some]
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return (self.key, self.order, self.role, self.text)
 
 
 def _text(path: str) -> str:
@@ -69,37 +84,24 @@ _ASKED = f"concat({_text('instruction')}, if({_text('input')} = '', '', concat('
 
 #: Fixed layouts of public chat and instruction data.
 MAPPINGS = (
-    Mapping("messages", ("messages[].role", "messages[].content"), _listed("messages", "role", "content"), ("id",)),
-    Mapping("conversations", ("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value"), ("id",)),
-    Mapping("dialog", ("dialog[].speaker", "dialog[].text"), _listed("dialog", "speaker", "text"), ("id",)),
-    Mapping("prompt_response", ("prompt", "response"), _pair(_text("prompt"), "response"), ("id", "system")),
-    Mapping("prompt_completion", ("prompt", "completion"), _pair(_text("prompt"), "completion"), ("id", "system")),
-    Mapping("question_answer", ("question", "answer"), _pair(_text("question"), "answer"), ("id", "system")),
-    Mapping("instruction", ("instruction", "output"), _pair(_ASKED, "output"), ("input", "id", "system")),
+    Mapping("messages", ("messages[].role", "messages[].content"), _listed("messages", "role", "content"), "messages"),
+    Mapping("conversations", ("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value"), "conversations"),
+    Mapping("dialog", ("dialog[].speaker", "dialog[].text"), _listed("dialog", "speaker", "text"), "dialog"),
+    Mapping("prompt_response", ("prompt", "response"), _pair(_text("prompt"), "response")),
+    Mapping("prompt_completion", ("prompt", "completion"), _pair(_text("prompt"), "completion")),
+    Mapping("question_answer", ("question", "answer"), _pair(_text("question"), "answer")),
+    Mapping("instruction", ("instruction", "output"), _pair(_ASKED, "output")),
+)
+ROW_MAPPINGS = (
+    RowMapping("turns", "conv_id", "turn", "role", "text"),
+    RowMapping("messages", "conversation_id", "position", "role", "content"),
+    RowMapping("utterances", "dialog_id", "position", "speaker", "utterance"),
 )
-ROW_LAYOUT = ("conv_id", "turn", "role", "text")
-
-
-def _canonical(paths: Iterable[str]) -> str:
-    """Nested paths as one string: fields in code point order, [] for arrays, leaves without types."""
-    tree: dict = {}
-    for path in paths:
-        node = tree
-        for step in path.replace("[]", ".[]").split("."):
-            node = node.setdefault(step, {})
-
-    def write(node: dict) -> str:
-        if not node:
-            return _LEAF
-        if set(node) == {"[]"}:
-            return f"ARRAY<{write(node['[]'])}>"
-        return "OBJECT<" + ", ".join(f"{k}: {write(v)}" for k, v in sorted(node.items())) + ">"
-
-    return write(tree)
 
 
 def fingerprint_paths(paths: Iterable[str]) -> str:
-    return hashlib.sha256(_canonical(paths).encode()).hexdigest()
+    """The fingerprint of a layout with these paths."""
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -111,24 +113,50 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def fingerprint_variant(v: Column) -> Column:
-    """The fingerprint of one record, from its own fields."""
-    schema = F.regexp_replace(
-        F.schema_of_variant(v), r"(: |ARRAY<)(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|BINARY|DATE|TIMESTAMP(?:_NTZ)?|DECIMAL\([0-9]+,[0-9]+\))(?=[,>])", f"$1{_LEAF}"
+def select_row_mapping(schema: T.StructType) -> RowMapping | None:
+    """The mapping with the most paths of those that a table's layout has all paths of."""
+    have = {path_hash(p) for p in schema_paths(schema)}
+    fits = [m for m in ROW_MAPPINGS if have.issuperset(path_hash(p) for p in m.paths)]
+    return max(fits, key=lambda m: (len(m.paths), m.name), default=None)
+
+
+_OBJECT = "map<string, variant>"
+_KEYS = "coalesce(map_keys(try_variant_get({0}, '$', '" + _OBJECT + "')), cast(array() AS array<string>))"
+
+
+def record_paths(v: str) -> str:
+    """SQL: the sorted nested paths of a variant; objects are followed through one object or list of objects, and end in a leaf there.
+
+    An empty list has the path name[], one of plain values name[]. and a list of objects one for each field that any of them has.
+    """
+    value = f"try_variant_get({v}, '$', '{_OBJECT}')[k]"
+    listed = f"try_variant_get({value}, '$', 'array<variant>')"
+    inner = f"flatten(transform({listed}, e -> {_KEYS.format('e')}))"
+    own = _KEYS.format(value)
+    return (
+        f"array_sort(array_distinct(flatten(transform({_KEYS.format(v)}, k -> CASE "
+        f"WHEN {listed} IS NOT NULL AND size({inner}) > 0 THEN transform({inner}, x -> concat(k, '[].', x)) "
+        f"WHEN size({listed}) > 0 THEN array(concat(k, '[].')) WHEN {listed} IS NOT NULL THEN array(concat(k, '[]')) "
+        f"WHEN size({own}) > 0 THEN transform({own}, x -> concat(k, '.', x)) ELSE array(k) END))))"
     )
-    return F.sha2(schema, 256)
 
 
 def turns_of_records(records: DataFrame, key: str, record: str = "record") -> DataFrame:
     """(conv_id, fingerprint, layout, turns) of JSON records; turns is null for an unknown layout."""
-    read = records.select(F.col(key).cast("bigint").alias("conv_id"), F.try_parse_json(record).alias("v"))
-    read = read.withColumn("fingerprint", fingerprint_variant(F.col("v")))
+    read = records.select(F.col(f"`{key}`").cast("bigint").alias("conv_id"), F.try_parse_json(F.col(f"`{record}`")).alias("v"))
+    read = read.withColumn("paths", F.expr(record_paths("v"))).withColumn("hashes", F.expr("transform(paths, p -> md5(p))"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for m in MAPPINGS:
-        mine = F.col("fingerprint").isin(m.fingerprints())
-        layout = F.when(mine, m.name).otherwise(layout)
-        turns = F.when(mine, F.expr(m.turns).cast(TURNS)).otherwise(turns)
-    return read.select("conv_id", "fingerprint", layout.alias("layout"), turns.alias("turns"))
+    for m in sorted(MAPPINGS, key=lambda m: (len(m.paths), m.name)):  # later ones win: those with more paths
+        mine = _has(m.paths)
+        if m.listed:
+            mine = mine | _has((f"{m.listed}[]",))
+        layout, turns = F.when(mine, m.name).otherwise(layout), F.when(mine, F.expr(m.turns).cast(TURNS)).otherwise(turns)
+    fingerprint = F.when(F.col("v").isNotNull(), F.sha2(F.array_join("paths", "\n"), 256))
+    return read.select("conv_id", fingerprint.alias("fingerprint"), layout.alias("layout"), turns.alias("turns"))
+
+
+def _has(paths: Sequence[str]) -> Column:
+    return F.size(F.array_except(F.array(*(F.lit(path_hash(p)) for p in paths)), "hashes")) == 0
 
 
 def unmapped(records: DataFrame, key: str, record: str = "record") -> DataFrame:
@@ -138,15 +166,13 @@ def unmapped(records: DataFrame, key: str, record: str = "record") -> DataFrame:
 
 def turns_of_rows(table: DataFrame) -> DataFrame:
     """(conv_id, fingerprint, layout, turns) of a typed table with a row for each turn."""
-    own = table.select(*(c for c in table.columns if c in ROW_LAYOUT))
-    fingerprint = fingerprint_paths(schema_paths(own.schema))
-    if fingerprint != fingerprint_paths(ROW_LAYOUT):
-        raise ValueError(f"no mapping for the layout {_canonical(schema_paths(own.schema))}")
-    rows = own.select(
-        F.col("conv_id").cast("bigint"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m")
-    )
+    mapping = select_row_mapping(table.schema)
+    if mapping is None:
+        raise ValueError(f"no mapping for the layout {sorted(schema_paths(table.schema))}")
+    said = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(name) for c, name in ((mapping.role, "role"), (mapping.text, "text"))]
+    rows = table.select(F.col(f"`{mapping.key}`").cast("bigint").alias("conv_id"), F.struct(F.col(f"`{mapping.order}`").alias("turn"), *said).alias("m"))
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m")).select(
-        "conv_id", F.lit(fingerprint).alias("fingerprint"), F.lit("rows").alias("layout"),
+        "conv_id", F.lit(fingerprint_paths(schema_paths(table.schema))).alias("fingerprint"), F.lit(mapping.name).alias("layout"),
         F.expr("transform(m, x -> struct(x.role AS role, x.text AS text))").alias("turns"),
     )
 
@@ -159,30 +185,37 @@ def _unescape(x: str) -> str:
     return f"replace(replace(replace(replace({x}, '~3', '|'), '~2', '['), '~1', '<'), '~0', '~')"
 
 
+#: Lengths are added up by blocks of so many turns, so that a long conversation does not cost its square.
+_BLOCK = 256
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """Adds formatted and loss_mask, the spans (start from 0, chars) of the assistant texts."""
-    role = _escape("t.role").replace("replace(", "replace(", 1)
     parts = turns.withColumn("_parts", F.expr(
-        f"transform(turns, t -> struct(t.role = 'assistant' AS trained, concat('<|', replace({role}, '|', '~3'), '|>') AS mark, {_escape('t.text')} AS body))"
+        f"transform(turns, t -> struct(t.role = 'assistant' AS trained, concat('<|', replace({_escape('t.role')}, '|', '~3'), '|>') AS mark, {_escape('t.text')} AS body))"
+    ))
+    sizes = parts.withColumn("_n", F.expr(f"transform(_parts, p -> length(p.mark) + length(p.body) + {len(END)})"))
+    blocks = sizes.withColumn("_b", F.expr(
+        f"transform(sequence(0, size(_n) DIV {_BLOCK}), b -> aggregate(slice(_n, 1, cast({_BLOCK} * b AS int)), 0, (a, x) -> a + x))"
     ))
+    start = f"_b[cast(i DIV {_BLOCK} AS int)] + aggregate(slice(_n, cast(i DIV {_BLOCK} AS int) * {_BLOCK} + 1, i % {_BLOCK}), 0, (a, x) -> a + x)"
     spans = F.expr(
-        "aggregate(_parts, struct(0 AS at, cast(array() AS array<struct<start: int, chars: int>>) AS spans), (a, p) -> struct("
-        f"a.at + length(p.mark) + length(p.body) + {len(END)} AS at, "
-        "if(p.trained, array_append(a.spans, struct(a.at + length(p.mark) AS start, length(p.body) AS chars)), a.spans) AS spans)).spans"
+        f"transform(filter(transform(_parts, (p, i) -> struct(p.trained AS trained, {start} + length(p.mark) AS start, length(p.body) AS chars)), "
+        "s -> s.trained), s -> struct(s.start AS start, s.chars AS chars))"
     )
     text = F.expr(f"array_join(transform(_parts, p -> concat(p.mark, p.body, '{END}')), '')")
-    return parts.withColumns({"formatted": text, "loss_mask": spans}).drop("_parts")
+    return blocks.withColumns({"formatted": text, "loss_mask": spans}).drop("_parts", "_n", "_b")
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """Reads turns and the text under the loss mask back from formatted and loss_mask alone: adds turns_read and loss_text."""
-    segment = f"slice(split(formatted, '{END.replace('|', '[|]')}', -1), 1, size(split(formatted, '{END.replace('|', '[|]')}', -1)) - 1)"
+    split = formatted.withColumn("_segments", F.expr(f"split(formatted, '{END.replace('|', '[|]')}', -1)"))
     turns = (
-        f"transform({segment}, s -> struct({_unescape("substring(s, 3, locate('|>', s) - 3)")} AS role, "
+        f"transform(slice(_segments, 1, size(_segments) - 1), s -> struct({_unescape("substring(s, 3, locate('|>', s) - 3)")} AS role, "
         f"{_unescape("substring(s, locate('|>', s) + 2)")} AS text))"
     )
     loss = f"array_join(transform(loss_mask, m -> {_unescape('substring(formatted, m.start + 1, m.chars)')}), '')"
-    return formatted.withColumns({"turns_read": F.expr(turns), "loss_text": F.expr(loss)})
+    return split.withColumns({"turns_read": F.expr(turns), "loss_text": F.expr(loss)}).drop("_segments")
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

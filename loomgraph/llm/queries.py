@@ -74,7 +74,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_ESCAPED = "(length(x) + length(regexp_replace(x, '[^~<[]', '', 'g')))"
+
+
+def _escaped(column: str, signs: str) -> str:
+    """SQL: the length of a column after escaping, which doubles these signs."""
+    return f"(length({column}) + length(regexp_replace({column}, '[^{signs}]', '', 'g')))"
+
 
 _SETS = r"""
 w AS (
@@ -96,7 +101,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(4 + {_ESCAPED.replace('x', 'role').replace("[^~<[]", "[^~<[|]")} + {_ESCAPED.replace('x', 'text')} + 7)::BIGINT AS formatted_chars
+  sum(4 + {_escaped('role', '~<[|')} + {_escaped('text', '~<[')} + 7)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
     "op8_decontamination_hits": f"""
 WITH {_SETS},
