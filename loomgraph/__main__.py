@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import sys
 
@@ -27,10 +28,12 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     for name in ("scan", "packages", "nodes", "graph", "viz", "audit", "validate"):
         c = commands.add_parser(name)
         c.add_argument("path", nargs="?", default=".")
-        c.add_argument("-f", "--format", default="table", choices=("table", "json", "mermaid", "dot"))
+        c.add_argument("-f", "--format", default="mermaid" if name == "graph" else "table", choices=("mermaid", "dot", "json") if name == "graph" else ("table", "json"))
+        c.add_argument("-o", "--output", help="a file on this machine instead of the standard output")
         if name == "packages":
             c.add_argument("-t", "--filter", choices=sorted(FILTERS))
             c.add_argument("-s", "--sort", default="name", choices=sorted(SORTS))
+            c.add_argument("--show-deps", action="store_true")
         if name in ("nodes", "graph"):
             c.add_argument("-p", "--package")
         if name == "nodes":
@@ -51,6 +54,9 @@ def main(argv: list[str] | None = None) -> int:
     args = _arguments(argv)
     spark = SparkSession.builder.getOrCreate()
     try:
+        if args.output:
+            with open(args.output, "w", encoding="utf-8") as out, contextlib.redirect_stdout(out):
+                return _run(spark, args)
         return _run(spark, args)
     except policy.PolicyError as e:
         print(e, file=sys.stderr)
@@ -66,11 +72,15 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "scan":
         _print(m.packages.select("name", "version", "package_type", "path").orderBy("name"), args.format)
     elif args.command == "packages":
-        _print(listed(m.packages.join(m.scores.withColumnRenamed("score", "health_score"), "name", "left"), args.filter, args.sort), args.format)
+        rows = listed(m.packages.join(m.scores.withColumnRenamed("score", "health_score"), "name", "left"), args.filter, args.sort)
+        _print(rows if args.show_deps else rows.drop("deps"), args.format)
     elif args.command == "nodes":
-        rows = graph.connection_records(m.endpoints) if args.show_connections else m.components
-        rows = rows.filter(F.col("package") == args.package) if args.package else rows
-        _print(rows.orderBy("package", "seq").drop("seq"), args.format)
+        rows = m.components.filter(F.col("package") == args.package) if args.package else m.components
+        if args.show_connections:
+            met = graph.connection_rows(m.endpoints, rows.select("package", F.col("name").alias("component")))
+            _print(met.orderBy("package", "seq", "peer_rel", "peer_seq").drop("seq", "peer_seq"), args.format)
+        else:
+            _print(rows.orderBy("package", "seq").drop("seq"), args.format)
     elif args.command == "graph":
         made = {"dot": render.dot, "json": render.graph_json}.get(args.format, render.mermaid)
         for line in made(m, args.view, args.package):
@@ -82,7 +92,7 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         rules = asked or [r | ({"exclude": [x for x in args.exclude.split(",") if x]} if r["type"] == "topic_connectivity" else {}) for r in policy.AUDIT]
         found = policy.evaluate(m, rules)
         if args.format == "json":
-            print(render.report_json(found))
+            print(render.report_json(found, m))
         else:
             _print(policy.ordered(found).drop("rule_seq"), args.format)
         return exit_code(found, "warning" if getattr(args, "strict", False) else args.fail_on)

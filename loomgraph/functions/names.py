@@ -55,3 +55,10 @@ def health_bar(score: Column) -> Column:
 
 def has_email(maintainers: Column) -> Column:
     return F.exists(maintainers, lambda m: m.contains("<") & m.contains("@"))
+
+
+def short_label(kind: Column, name: Column) -> Column:
+    """A vertex's label: of a topic, service or action with more than two parts the last two, with the leading slash of an absolute name."""
+    parts = F.split(F.ltrim(name, F.lit("/")), "/")
+    tail = F.concat(F.when(name.startswith("/"), "/").otherwise(""), F.array_join(F.slice(parts, -2, 2), "/"))
+    return F.when(kind.isin("Topic", "Service", "Action") & (F.size(parts) > 2), tail).otherwise(name)

@@ -59,6 +59,13 @@ def match_launch(components: DataFrame, launch_nodes: DataFrame) -> DataFrame:
     )
 
 
+def launch_remaps(launch_nodes: DataFrame) -> DataFrame:
+    """(owner_package, executable, name, remap_from, remap_to, seq): each launch node's remaps, or one row with nulls; a missing name is empty."""
+    return launch_nodes.select(
+        "owner_package", "executable", F.coalesce("name", F.lit("")).alias("name"), F.explode_outer("remaps").alias("remap_from", "remap_to"), "seq"
+    )
+
+
 def effective_endpoints(endpoints: DataFrame, launched: DataFrame) -> DataFrame:
     """The endpoints under the names they have once launched; adds original_name and remapped."""
     known = launched.select("package", "component", "namespace", "remaps")

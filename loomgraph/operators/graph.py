@@ -6,12 +6,11 @@ are seen; whatever the first one decides is decided by the least seq.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import UNKNOWN
+from ..functions.names import UNKNOWN, short_label
+from ..shared import drop, save
 
 #: role: (relation, kind of the vertex it points at, prefix of its id)
 ROLES = {
@@ -76,8 +75,17 @@ def _side(rel: str) -> Column:
 
 
 def peers(endpoints: DataFrame, kind: str, one: str, other: str) -> DataFrame:
-    """(name, <one>, <other>): per topic or service its components on either side, in the order seen."""
-    return _of_kind(endpoints, kind).groupBy("name").agg(_side(one), _side(other))
+    """(name, msg_type, <one>, <other>): per topic, service or action its type and its components on either side, in the order seen.
+
+    The lists are as long as a name is crowded; peer_rows() has the same as rows.
+    """
+    known = F.min_by("msg_type", F.when(F.col("msg_type") != UNKNOWN, F.col("seq")))
+    return _of_kind(endpoints, kind).groupBy("name").agg(F.coalesce(known, F.lit(UNKNOWN)).alias("msg_type"), _side(one), _side(other))
+
+
+def peer_rows(endpoints: DataFrame) -> DataFrame:
+    """(kind, name, rel, package, component, seq): who is at each topic, service and action, a row for each endpoint."""
+    return endpoints.select(_by_role(1).alias("kind"), "name", _by_role(0).alias("rel"), "package", "component", "seq")
 
 
 def lacking(endpoints: DataFrame, kind: str, missing: str, there: str) -> DataFrame:
@@ -139,25 +147,17 @@ def parents(endpoints: DataFrame) -> DataFrame:
     )
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder."""
-    spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{base}/loomgraph/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of all pairs with a path of one step or more, semi-naively: only new pairs are extended."""
-    steps = _written(edges.select("src", "dst").distinct())
+    """(src, dst) of all pairs with a path of one step or more, semi-naively: only new pairs are extended, and each is written once."""
+    steps = save(edges.select("src", "dst").distinct(), "graph")
     reached = frontier = steps
     while True:
         longer = frontier.select("src", F.col("dst").alias("mid")).join(steps.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        frontier = _written(longer.join(reached, ["src", "dst"], "left_anti"))
+        frontier = save(longer.join(reached, ["src", "dst"], "left_anti"), "graph")
         if frontier.isEmpty():
+            drop(frontier)
             return reached
-        reached = _written(reached.unionAll(frontier))
+        reached = reached.unionAll(frontier)
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
@@ -166,15 +166,15 @@ def cyclic(edges: DataFrame) -> DataFrame:
 
 def simple_cycles(edges: DataFrame, longest: int = 50) -> DataFrame:
     """(cycle): every simple cycle once, from its least member on, as an array; longer ones than `longest` raise an error."""
-    steps = _written(edges.select("src", "dst").distinct())
+    steps = save(edges.select("src", "dst").distinct(), "graph")
     found = steps.filter("src = dst").select(F.array("src").alias("cycle"))
-    paths = _written(steps.filter("dst > src").select(F.array("src", "dst").alias("path")))
+    paths = save(steps.filter("dst > src").select(F.array("src", "dst").alias("path")), "graph")
     for _ in range(longest):
         if paths.isEmpty():
             return found
         ends = paths.withColumn("src", F.element_at("path", -1)).join(steps, "src")
         found = found.unionAll(ends.filter("dst = path[0]").select(F.col("path").alias("cycle")))
-        paths = _written(ends.filter("dst > path[0] AND NOT array_contains(path, dst)").select(F.array_append("path", F.col("dst")).alias("path")))
+        paths = save(ends.filter("dst > path[0] AND NOT array_contains(path, dst)").select(F.array_append("path", F.col("dst")).alias("path")), "graph")
     if not paths.isEmpty():
         raise ValueError(f"a path is longer than {longest}")
     return found
@@ -236,28 +236,51 @@ def edge_bundles(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
 
 
-def connection_records(endpoints: DataFrame) -> DataFrame:
-    """(package, component, role, name, publishers, subscribers, callers): for each endpoint of a component who else is there.
+def connection_rows(endpoints: DataFrame, chosen: DataFrame) -> DataFrame:
+    """For each endpoint of the chosen components (package, component): who else is there, a row for each, or one with null peers.
 
-    At topics these are the other publishers and subscribers; at services and actions the other callers only.
-    Peers are counted in one row per endpoint name, so a crowded name costs its size once.
+    (package, component, kind, name, role, msg_type, seq, peer_rel, peer_package, peer_component, peer_seq). At topics these
+    are the other publishers and subscribers; at services and actions the other callers only. Endpoints of the
+    chosen ones meet the rows of their names; nothing is collected, and a crowded name costs its size for each of them.
     """
-    use = endpoints.withColumns({"rel": _by_role(0), "kind": _by_role(1), "node": node_id()})
+    picked = chosen.select("package", "component").distinct()
+    mine = endpoints.join(picked, ["package", "component"], "left_semi").select(
+        "package", "component", _by_role(1).alias("kind"), "name", _by_role(0).alias("role"), "msg_type", "seq"
+    )
+    there = peer_rows(endpoints).filter("kind = 'Topic' OR rel = 'calls'").select(
+        "kind", "name", F.col("rel").alias("peer_rel"), F.col("package").alias("peer_package"), F.col("component").alias("peer_component"), F.col("seq").alias("peer_seq")
+    )
+    other = (mine["package"] != there["peer_package"]) | (mine["component"] != there["peer_component"])
+    met = mine.join(there, (mine["kind"] == there["kind"]) & (mine["name"] == there["name"]) & other, "left")
+    return met.select(
+        "package", "component", mine["kind"], mine["name"], "role", "msg_type", "seq", "peer_rel", "peer_package", "peer_component", "peer_seq"
+    )
 
-    def side(rel: str) -> Column:
-        rows = F.sort_array(F.collect_list(F.when(F.col("rel") == rel, F.struct("seq", "node", "component"))))
-        return rows.alias(f"_{rel}")
 
-    sides = use.groupBy("kind", "name").agg(side("publishes"), side("subscribes"), side("calls"))
+#: Relations that the nesting of a compound view already shows.
+NESTED_RELATIONS = ("defined_in", "uses_interface")
 
-    def others(rel: str, topic: bool) -> Column:
-        names = F.transform(F.filter(f"_{rel}", lambda r: r["node"] != F.col("node")), lambda r: r["component"])
-        return F.when((F.col("kind") == "Topic") == F.lit(topic), F.array_join(names, ", ")).otherwise("")
 
-    return use.join(sides, ["kind", "name"]).select(
-        "package", "component", "role", "name", "msg_type", "seq",
-        others("publishes", True).alias("publishers"), others("subscribes", True).alias("subscribers"), others("calls", False).alias("callers"),
+def compound(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A view as nested elements: (id, kind, name, label, parent), and the edges that the nesting does not show.
+
+    vertices: (id, kind, name, package); edges: (src, dst, rel, key, seq). Components and interfaces lie in their package, topics,
+    services and actions in the first component that publishes or provides them, else in the package of the
+    first other one. Packages that are parents and no vertices of the view are added.
+    """
+    nodes = vertices.filter("kind = 'Node'").select(F.col("id").alias("src"), F.col("package").alias("_pkg"))
+    ends = edges.filter(F.col("rel").isin(*COMM_RELATIONS)).join(nodes, "src")
+    source = F.col("rel").isin("publishes", "provides")
+    homes = ends.groupBy(F.col("dst").alias("id")).agg(
+        F.coalesce(F.min_by("src", F.when(source, F.col("seq"))), F.concat(F.lit("pkg:"), F.min_by("_pkg", "seq"))).alias("_home")
     )
+    inside = F.when(F.col("kind").isin("Node", "Interface") & (F.col("package") != ""), F.concat(F.lit("pkg:"), "package"))
+    parent = F.when(F.col("kind").isin("Topic", "Service", "Action"), F.col("_home")).otherwise(inside)
+    placed = vertices.join(homes, "id", "left").select("id", "kind", "name", short_label(F.col("kind"), F.col("name")).alias("label"), parent.alias("parent"))
+    missing = placed.filter(F.col("parent").startswith("pkg:")).select(F.col("parent").alias("id")).distinct().join(placed.select("id"), "id", "left_anti")
+    name = F.substring("id", 5, 1 << 30)
+    packages = missing.select("id", F.lit("Package").alias("kind"), name.alias("name"), name.alias("label"), F.lit(None).cast("string").alias("parent"))
+    return placed.unionByName(packages), edges.filter(~F.col("rel").isin(*NESTED_RELATIONS))
 
 
 MERMAID_ARROWS = {"publishes": "-->|pub|", "subscribes": "-->|sub|", "depends_on": "-.->", "provides": "-->|srv|", "calls": "-.->|call|"}

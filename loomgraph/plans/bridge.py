@@ -12,12 +12,15 @@ SELECT concat('pkg_', user_id % 7) AS package, concat('user_', user_id) AS compo
   event_id AS seq
 FROM {events}"""
 
-_DEPS = """
-SELECT sn AS src, cn AS dst FROM (
-  SELECT sn, cn, row_number() OVER (PARTITION BY sn ORDER BY q DESC, cn) AS r FROM (
-    SELECT concat('nation_', s.s_nationkey) AS sn, concat('nation_', c.c_nationkey) AS cn, sum(cast(l.l_quantity AS BIGINT)) AS q
-    FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
-    JOIN {supplier} s ON l.l_suppkey = s.s_suppkey GROUP BY s.s_nationkey, c.c_nationkey) x) y WHERE r <= 2"""
+_PAIRS = """
+SELECT concat('nation_', s.s_nationkey) AS src, concat('nation_', c.c_nationkey) AS dst, sum(cast(l.l_quantity AS BIGINT)) AS q
+FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
+JOIN {supplier} s ON l.l_suppkey = s.s_suppkey GROUP BY s.s_nationkey, c.c_nationkey"""
+
+_DEPS = f"SELECT src, dst FROM ({_PAIRS}) p"
+
+# Cycles are enumerated over each nation's two strongest edges: over all pairs there are more simple cycles than atoms.
+_STRONG = f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY q DESC, dst) AS r FROM ({_PAIRS}) p) y WHERE r <= 2"
 
 _SIGNALS = """
 SELECT source AS name, bool_or(length(text) > 5) AS has_description, bool_or(text LIKE '%icensed under%') AS has_license,
@@ -30,7 +33,9 @@ _PACKAGES = """
 SELECT concat('nation_', n_nationkey) AS name, CASE WHEN n_nationkey % 5 = 0 THEN '' WHEN n_nationkey % 5 = 1 THEN NULL ELSE concat('License-', n_nationkey % 3) END AS license,
   CASE WHEN n_nationkey % 4 = 0 THEN '0.0.0' ELSE concat('1.', n_nationkey, '.0') END AS version, n_name AS label FROM {nation}"""
 
-_INTERFACES = """SELECT concat('pkg_', p_partkey % 7) AS package, concat('k', p_partkey % 97) AS name FROM {part} WHERE p_partkey % 5 = 0"""
+# The first parts have a name of their own, all others share 41 names.
+_INTERFACES = """
+SELECT concat('pkg_', p_partkey % 7) AS package, concat('k', CASE WHEN p_partkey < 60 THEN p_partkey ELSE 60 + p_partkey % 41 END) AS name, p_partkey AS seq FROM {part}"""
 
 _LAUNCH = """
 SELECT concat('pkg_', c_custkey % 7) AS owner_package, concat('user_', c_custkey) AS executable, concat('pkg_', c_custkey % 7) AS package,
@@ -39,16 +44,12 @@ SELECT concat('pkg_', c_custkey % 7) AS owner_package, concat('user_', c_custkey
 
 _COMPONENTS = """SELECT concat('pkg_', c_custkey % 7) AS package, concat('user_', c_custkey) AS name, c_custkey AS seq FROM {customer}"""
 
-_CLEAR_INTERFACES = """
-SELECT concat('pkg_', p_partkey % 7) AS package, concat('k', p_partkey % 97) AS name, p_partkey AS seq FROM {part}
-WHERE p_partkey % 5 = 0 AND (p_partkey < 485 OR p_partkey % 97 < 40)"""
-
 _BUILDS = """
 SELECT s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 'ament_cmake' WHEN 1 THEN 'ament_python' WHEN 2 THEN 'cmake' WHEN 3 THEN 'python' ELSE 'meta' END AS package_type,
   CASE WHEN s_suppkey % 3 > 0 THEN cast(s_suppkey % 101 AS INT) END AS health_score, concat('1.', s_suppkey % 12, '.0') AS version,
   concat('person ', s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE ' <p@x.org>' END) AS maintainer, concat('pkg_', s_suppkey % 60) AS short_name FROM {supplier}"""
 
-SQL = {"launch": _LAUNCH, "components": _COMPONENTS, "clear_interfaces": _CLEAR_INTERFACES, "builds": _BUILDS, "endpoints": _ENDPOINTS, "deps": _DEPS, "signals": _SIGNALS, "packages": _PACKAGES, "interfaces": _INTERFACES}
+SQL = {"launch": _LAUNCH, "components": _COMPONENTS, "builds": _BUILDS, "endpoints": _ENDPOINTS, "deps": _DEPS, "strong_deps": _STRONG, "signals": _SIGNALS, "packages": _PACKAGES, "interfaces": _INTERFACES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ def _query(sql: str):
     return add
 
 
-E, D, P, S, I = (oracle(n) for n in ("endpoints", "deps", "packages", "signals", "interfaces"))
+E, D, P, S, I, T = (oracle(n) for n in ("endpoints", "deps", "packages", "signals", "interfaces", "strong_deps"))
 _REL = "CASE role WHEN 'serves' THEN 'provides' WHEN 'requests' THEN 'calls' ELSE role END"
 _TOPIC, _SERVICE = "role IN ('publishes', 'subscribes')", "role IN ('provides', 'calls')"
 _ID = f"CASE WHEN {_TOPIC} THEN concat('topic:', name) ELSE concat('svc:', name) END"
@@ -35,7 +35,8 @@ def _sides(which: str, one: str, other: str) -> str:
     def side(rel: str) -> str:
         return f"coalesce(string_agg(component, ', ' ORDER BY seq) FILTER (role = '{rel}'), '') AS {rel}"
 
-    return f"(SELECT name, {side(one)}, {side(other)} FROM {E} WHERE {which} GROUP BY name)"
+    known = "coalesce(min_by(msg_type, seq) FILTER (msg_type <> 'unknown'), 'unknown') AS msg_type"
+    return f"(SELECT name, {known}, {side(one)}, {side(other)} FROM {E} WHERE {which} GROUP BY name)"
 
 
 @_query(f"SELECT * FROM {_sides(_TOPIC, 'publishes', 'subscribes')}")
@@ -123,11 +124,11 @@ def cyclic_members(spark, d):
     return graph.cyclic(table(spark, d, "deps"))
 
 
-@_query(f"""WITH RECURSIVE p AS (SELECT [src] AS path, dst FROM {D} UNION ALL
-  SELECT list_append(p.path, p.dst), d.dst FROM p JOIN {D} d ON d.src = p.dst WHERE p.dst > p.path[1] AND NOT list_contains(p.path, p.dst))
+@_query(f"""WITH RECURSIVE p AS (SELECT [src] AS path, dst FROM {T} UNION ALL
+  SELECT list_append(p.path, p.dst), d.dst FROM p JOIN {T} d ON d.src = p.dst WHERE p.dst > p.path[1] AND NOT list_contains(p.path, p.dst))
 SELECT array_to_string(path, ' > ') AS cycle FROM p WHERE dst = path[1]""")
 def simple_cycles(spark, d):
-    return graph.simple_cycles(table(spark, d, "deps")).select(F.array_join("cycle", " > ").alias("cycle"))
+    return graph.simple_cycles(table(spark, d, "strong_deps")).select(F.array_join("cycle", " > ").alias("cycle"))
 
 
 _TOPIC_RULE = f"""(SELECT 'warning' AS severity, 'topic_connectivity' AS rule_type, name AS entity, concat('Topic ''', name, ''' has no publisher; subscribers: ', subscribes) AS message
@@ -247,7 +248,7 @@ def interface_fields(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(field_lines(F.col("text")), " / ").alias("fields"))
 
 
-L, C, N, B = (oracle(n) for n in ("launch", "components", "clear_interfaces", "builds"))
+L, C, B = (oracle(n) for n in ("launch", "components", "builds"))
 
 
 def _launch_nodes(spark, d):
@@ -277,11 +278,11 @@ def effective_names(spark, d):
 _GUESSED = f"""(SELECT v.id, v.name, CASE WHEN v.msg_type = 'unknown' THEN coalesce(o.t, 'unknown') ELSE v.msg_type END AS msg_type,
   CASE WHEN v.msg_type <> 'unknown' THEN 'explicit' WHEN o.t IS NULL THEN 'unknown' ELSE 'inferred_name_match' END AS type_source,
   CASE WHEN v.msg_type = 'unknown' THEN 'low' ELSE 'high' END AS confidence FROM {_TYPED} v
-  LEFT JOIN (SELECT lower(name) AS bare, min(concat(package, '/', name)) AS t FROM {N} GROUP BY lower(name) HAVING count(*) = 1) o ON o.bare = lower(regexp_extract(v.name, '[^/]*$')))"""
+  LEFT JOIN (SELECT lower(name) AS bare, min(concat(package, '/', name)) AS t FROM {I} GROUP BY lower(name) HAVING count(*) = 1) o ON o.bare = lower(regexp_extract(v.name, '[^/]*$')))"""
 
 
 def _typed(spark, d):
-    return assembly.infer_types(graph.comm_vertices(table(spark, d, "endpoints")), table(spark, d, "clear_interfaces"))
+    return assembly.infer_types(graph.comm_vertices(table(spark, d, "endpoints")), table(spark, d, "interfaces"))
 
 
 @_query(f"SELECT id, msg_type, type_source, confidence FROM {_GUESSED}")
@@ -289,9 +290,9 @@ def inferred_types(spark, d):
     return _typed(spark, d).select("id", "msg_type", "type_source", "confidence")
 
 
-@_query(f"SELECT e.src, concat('iface:', g.msg_type) AS dst, min(e.seq) AS seq FROM {_EDGES} e JOIN {_GUESSED} g ON g.id = e.dst WHERE g.msg_type IN (SELECT concat(package, '/', name) FROM {N}) GROUP BY e.src, g.msg_type")
+@_query(f"SELECT e.src, concat('iface:', g.msg_type) AS dst, min(e.seq) AS seq FROM {_EDGES} e JOIN {_GUESSED} g ON g.id = e.dst WHERE g.msg_type IN (SELECT concat(package, '/', name) FROM {I}) GROUP BY e.src, g.msg_type")
 def uses_interface(spark, d):
-    return assembly.uses_interface(graph.comm_edges(table(spark, d, "endpoints")), _typed(spark, d), table(spark, d, "clear_interfaces")).select("src", "dst", "seq")
+    return assembly.uses_interface(graph.comm_edges(table(spark, d, "endpoints")), _typed(spark, d), table(spark, d, "interfaces")).select("src", "dst", "seq")
 
 
 @_query(f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM {_EDGES} GROUP BY least(src, dst), greatest(src, dst)")
@@ -359,11 +360,11 @@ def rule_maintainer(spark, d):
     return rules.maintainer_required(table(spark, d, "builds").withColumn("maintainers", F.array("maintainer")), True)
 
 
-@_query(f"""WITH RECURSIVE p AS (SELECT [src] AS path, dst FROM {D} UNION ALL
-  SELECT list_append(p.path, p.dst), d.dst FROM p JOIN {D} d ON d.src = p.dst WHERE p.dst > p.path[1] AND NOT list_contains(p.path, p.dst))
+@_query(f"""WITH RECURSIVE p AS (SELECT [src] AS path, dst FROM {T} UNION ALL
+  SELECT list_append(p.path, p.dst), d.dst FROM p JOIN {T} d ON d.src = p.dst WHERE p.dst > p.path[1] AND NOT list_contains(p.path, p.dst))
 SELECT 'error' AS severity, 'no_circular_deps' AS rule_type, path[1] AS entity, concat('Dependency cycle: ', array_to_string(path, ' > ')) AS message FROM p WHERE dst = path[1]""")
 def rule_no_circular(spark, d):
-    return rules.no_circular_deps(table(spark, d, "deps"))
+    return rules.no_circular_deps(table(spark, d, "strong_deps"))
 
 
 @_query(f"SELECT name, package_type, health_score FROM {B} WHERE package_type IN ('ament_cmake', 'cmake') ORDER BY coalesce(health_score, 0) DESC, name")
@@ -387,3 +388,74 @@ def dot_lines(spark, d):
 def exit_gate(spark, d):
     return _all_findings(spark, d).agg(F.bool_or(names.severity_rank(F.col("severity")) <= 1).alias("fails"))
 
+
+
+_ACTIONS = f"(SELECT name, msg_type, provides, calls FROM {_sides(_SERVICE, 'provides', 'calls')})"
+
+
+@_query(f"SELECT * FROM {_ACTIONS}")
+def actions(spark, d):
+    return graph.peers(table(spark, d, "endpoints").withColumn("role", F.expr(_ACTION_ROLE)), "Action", "provides", "calls")
+
+
+@_query(f"SELECT owner_package, executable, coalesce(name, '') AS name, remap_from, remap_to FROM {L}")
+def launch_remaps(spark, d):
+    return assembly.launch_remaps(_launch_nodes(spark, d)).drop("seq")
+
+
+@_query(f"""SELECT DISTINCT name, CASE WHEN len(string_split(ltrim(name, '/'), '/')) > 2
+  THEN concat('/', array_to_string(list_slice(string_split(ltrim(name, '/'), '/'), -2, -1), '/')) ELSE name END AS label
+  FROM (SELECT CASE WHEN seq % 2 = 0 THEN concat('/fleet', name) ELSE name END AS name FROM {E} WHERE {_TOPIC})""")
+def short_labels(spark, d):
+    rows = table(spark, d, "endpoints").filter("role IN ('publishes', 'subscribes')").select(F.expr("if(seq % 2 = 0, concat('/fleet', name), name)").alias("name")).distinct()
+    return rows.select("name", names.short_label(F.lit("Topic"), F.col("name")).alias("label"))
+
+
+@_query(f"""{_CLOSURE.replace(D, T)} SELECT name, cast(greatest(0, score - CASE WHEN name IN (SELECT src FROM c WHERE src = dst) THEN 10 ELSE 0 END) AS INTEGER) AS score
+  FROM (SELECT concat('nation_', n_nationkey) AS name, n_nationkey * 4 AS score FROM nation)""")
+def health_with_cycles(spark, d):
+    scores = spark.read.parquet(f"{d}/nation.parquet").selectExpr("concat('nation_', n_nationkey) AS name", "n_nationkey * 4 AS score")
+    return health.deduct_cycles(scores, table(spark, d, "strong_deps"))
+
+
+_KIND = f"CASE WHEN {_TOPIC} THEN 'Topic' ELSE 'Service' END"
+
+
+@_query(f"""SELECT m.package, m.component, {_KIND.replace('role', 'm.role')} AS kind, m.name, {_REL.replace('role', 'm.role')} AS role, m.msg_type, m.seq,
+  p.role AS peer_rel, p.package AS peer_package, p.component AS peer_component, p.seq AS peer_seq
+  FROM (SELECT * FROM {E} WHERE package = 'pkg_3') m LEFT JOIN {E} p ON p.name = m.name AND (p.role IN ('publishes', 'subscribes')) = (m.role IN ('publishes', 'subscribes'))
+    AND p.role <> 'provides' AND (p.package <> m.package OR p.component <> m.component)""")
+def node_connections(spark, d):
+    e = table(spark, d, "endpoints")
+    return graph.connection_rows(e, e.filter("package = 'pkg_3'"))
+
+
+_HOME = f"coalesce(min_by({_NODE}, seq) FILTER (role IN ('publishes', 'provides')), concat('pkg:', min_by(package, seq)))"
+_SHORT = "CASE WHEN len(string_split(ltrim(name, '/'), '/')) > 2 THEN concat('/', array_to_string(list_slice(string_split(ltrim(name, '/'), '/'), -2, -1), '/')) ELSE name END"
+
+
+@_query(f"""SELECT {_ID} AS id, {_KIND} AS kind, name, {_SHORT} AS label, {_HOME} AS parent FROM {E} GROUP BY {_ID}, {_KIND}, name
+  UNION ALL SELECT DISTINCT {_NODE}, 'Node', component, component, concat('pkg:', package) FROM {E}
+  UNION ALL SELECT DISTINCT concat('pkg:', package), 'Package', package, package, NULL FROM {E}""")
+def compound_elements(spark, d):
+    e = table(spark, d, "endpoints")
+    nodes = graph.components(e).select("id", F.lit("Node").alias("kind"), F.col("component").alias("name"), "package")
+    vertices = nodes.unionByName(graph.comm_vertices(e).select("id", "kind", "name", F.lit(None).cast("string").alias("package")))
+    return graph.compound(vertices, graph.comm_edges(e))[0]
+
+
+@_query(f"SELECT src, dst, key FROM {_EDGES}")
+def subgraph_comms(spark, d):
+    e = table(spark, d, "endpoints")
+    nodes = graph.components(e).select("id", F.lit("Node").alias("kind"))
+    vertices = nodes.unionByName(graph.comm_vertices(e).select("id", "kind")).unionByName(table(spark, d, "packages").select(F.concat(F.lit("pkg:"), "name").alias("id"), F.lit("Package").alias("kind")))
+    return graph.subgraph(vertices, graph.comm_edges(e), "comms")[1].select("src", "dst", "key")
+
+
+@_query("SELECT lang AS package, sha256(string_agg(concat(lpad(cast(doc_id AS VARCHAR), 12, '0'), ' ', sha256(coalesce(text, ''))), chr(10) ORDER BY lpad(cast(doc_id AS VARCHAR), 12, '0'))) AS fingerprint FROM documents GROUP BY lang")
+def content_fingerprint(spark, d):
+    from ..sources.workspace import fingerprints_of
+
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    path = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    return fingerprints_of(docs.select(F.col("lang").alias("package"), path.alias("rel_path"), F.coalesce("text", F.lit("")).alias("text")))

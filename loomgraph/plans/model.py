@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import DYNAMIC, has_email
 from ..operators import assembly, graph, health
+from ..shared import save
 from ..sources import cpp, launch, workspace
 
 
@@ -70,20 +71,39 @@ class Model:
         )
         return clash if self.unresolved is None else clash.unionByName(self.unresolved)
 
+    def kind_rows(self, kind: str, one: str, other: str) -> DataFrame:
+        """(name, msg_type, <one>, <other>) of the topics, services or actions, with types inferred by name too."""
+        types = self.typed.filter(F.col("kind") == kind).select("name", F.col("msg_type").alias("_type"))
+        return graph.peers(self.endpoints, kind, one, other).join(types, "name").select("name", F.col("_type").alias("msg_type"), one, other)
+
+    def tables(self) -> dict[str, DataFrame]:
+        """Everything that the model says, table by table."""
+        return {
+            "packages": self.packages.join(self.scores.withColumnRenamed("score", "health_score"), "name", "left"), "nodes": self.components,
+            "endpoints": self.endpoints, "interfaces": self.interfaces, "topics": self.kind_rows("Topic", "publishes", "subscribes"),
+            "services": self.kind_rows("Service", "provides", "calls"), "actions": self.kind_rows("Action", "provides", "calls"),
+            "launch_remaps": assembly.launch_remaps(self.launch_nodes), "diagnostics": self.diagnostics, "summary": assembly.summary(self.vertices),
+            "vertices": self.vertices, "edges": self.edges,
+        }
+
 
 def read(spark: SparkSession, path: str) -> Model:
     """The model of the workspace at or above a path that all executors can read."""
     listing = workspace.files(spark, workspace.source_root(workspace.workspace_root(path)))
+    listing = save(listing, "listing")
+    broken = workspace.broken_manifests(listing)
     manifests = assembly.checked(workspace.packages(listing))
     named = manifests.select(F.col("path").alias("root"), F.col("name").alias("package"))
     listing = listing.drop("package").join(named, "root")
+    # what is parsed is written once: every table of the model reads it again
+    manifests = save(manifests, "manifests")
     packages = manifests.withColumn("seq", F.col("name"))
     deps = manifests.select(F.col("name").alias("src"), F.posexplode("deps").alias("at", "d")).select(
         "src", F.col("d.dep_name").alias("dst"), F.col("d.dep_type").alias("dep_type"), F.struct("src", "at").alias("seq")
     )
-    found = (
+    found = save(
         workspace.python_records(listing).withColumn("language", F.lit("python"))
-        .unionByName(cpp.cpp_records(listing).withColumn("language", F.lit("cpp")))
+        .unionByName(cpp.cpp_records(listing).withColumn("language", F.lit("cpp"))), "declared",
     )
     rank = F.when(F.col("language") == "python", 0).otherwise(1).alias("lang")
     dynamic = found.groupBy("package", "component", "file_path").agg(F.coalesce(F.bool_or(F.col("name") == DYNAMIC), F.lit(False)).alias("has_dynamic_names"))
@@ -95,10 +115,10 @@ def read(spark: SparkSession, path: str) -> Model:
     declared = found.filter("role is not null").withColumn(
         "seq", F.struct("package", rank, "file_path", "component", assembly.role_rank().alias("role"), "line", F.col("name").alias("at"))
     )
-    records = launch.launch_records(listing)
+    records = save(launch.launch_records(listing), "launch")
     return Model(
-        packages, deps, components, declared, workspace.interfaces(listing), launch.launch_nodes(records), signals_of(manifests, workspace.facts(listing)),
-        launch.unresolved(records),
+        packages, deps, components, declared, save(workspace.interfaces(listing), "interfaces"), launch.launch_nodes(records), signals_of(manifests, workspace.facts(listing)),
+        launch.unresolved(records).unionByName(broken),
     )
 
 

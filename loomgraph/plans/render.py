@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import slug
 from ..operators import graph
+from ..operators.health import workspace_score
 from ..operators.rules import findings_by_rule, violation_summary
 from .model import Model
 from .policy import ordered
@@ -65,14 +66,23 @@ def page(model: Model, title: str) -> Iterator[str]:
     yield "document.getElementById('out').textContent=g.map(x=>x.id?x.kind+' '+x.name:'  '+x.src+' '+x.rel+' '+x.dst).join('\\n');</script>"
 
 
-def report(violations: DataFrame) -> dict:
-    """Counts and findings of an audit or a policy."""
-    return {
+def export(model: Model, path: str) -> None:
+    """Every table of the model as JSON lines, in a folder of its name below path; tasks write them, at any size."""
+    for name, table in model.tables().items():
+        table.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def report(violations: DataFrame, model: Model | None = None) -> dict:
+    """Counts and findings of an audit or a policy, and of a model its packages and health."""
+    out = {
         "violations": violation_summary(violations).first().asDict(),
         "by_rule": {r["rule_type"]: r["n"] for r in findings_by_rule(violations).collect()},
         "findings": [r.asDict() for r in ordered(violations).toLocalIterator()],
     }
+    if model is not None:
+        out |= {"total_packages": model.packages.count(), "workspace_health": workspace_score(model.scores).first()["score"]}
+    return out
 
 
-def report_json(violations: DataFrame) -> str:
-    return json.dumps(report(violations), ensure_ascii=False, indent=2)
+def report_json(violations: DataFrame, model: Model | None = None) -> str:
+    return json.dumps(report(violations, model), ensure_ascii=False, indent=2)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,8 @@ from .workspace import _parsed
 SUFFIXES = (".cpp", ".cxx", ".cc", ".hpp", ".h")
 _TOKEN = re.compile(r'R"(?P<mark>[^(\s]*)\((?P<raw>.*?)\)(?P=mark)"|"(?P<text>(?:[^"\\\n]|\\.)*)"|\'(?:[^\'\\\n]|\\.)+\'|//[^\n]*|/\*.*?\*/', re.S)
 _CLASS = re.compile(r"\bclass\s+(?:[A-Z_]+\s+)?(\w+)\s*(?:final\s*)?:([^;{]*)\{")
-_BASE = re.compile(r"\brclcpp(?:_lifecycle)?::(?:LifecycleNode|Node)\b")
+_BASES = {"rclcpp::Node", "rclcpp::LifecycleNode", "rclcpp_lifecycle::LifecycleNode", "rclcpp_lifecycle::Node"}
+_QUALIFIED = re.compile(r"\w+(?:\s*::\s*\w+)*")
 _CALL = re.compile(r"(?:\brclcpp_action::(?P<free>create_server|create_client)|\b(?P<member>create_\w+))\s*(?=[<(])")
 _ROLES = {
     "create_publisher": "publishes", "create_subscription": "subscribes", "create_service": "provides", "create_client": "calls",
@@ -64,13 +64,10 @@ def _type(raw: str) -> str:
     return parts[-1] if parts else UNKNOWN
 
 
-def _parse(root: str, rel: str, package: str) -> Iterator[tuple]:
-    try:
-        code, literals = _plain(Path(root, rel).read_text(encoding="utf-8", errors="replace"))
-    except OSError:
-        return
+def _parse(text: str, rel: str, package: str) -> Iterator[tuple]:
+    code, literals = _plain(text)
     for cls in _CLASS.finditer(code):
-        if not _BASE.search(cls[2]):
+        if not any(re.sub(r"\s", "", m[0]) in _BASES for m in _QUALIFIED.finditer(cls[2])):
             continue
         start, end = cls.end() - 1, _close(code, cls.end() - 1, "{", "}")
         yield package, cls[1], None, None, None, rel, code.count("\n", 0, cls.start()) + 1, None
@@ -91,6 +88,11 @@ def _parse(root: str, rel: str, package: str) -> Iterator[tuple]:
 
 def cpp_records(listing: DataFrame) -> DataFrame:
     """A row for each component class (role null) and each of its endpoints."""
+    return cpp_texts(listing.filter(F.col("suffix").isin(*SUFFIXES) & ~F.col("is_dir")))
+
+
+def cpp_texts(rows: DataFrame) -> DataFrame:
+    """The same of C++ files: (root, rel_path, package), or (text, rel_path, package)."""
     names = ["package", "component", "role", "name", "msg_type", "file_path", "line", "evidence"]
     schema = "package string, component string, role string, name string, msg_type string, file_path string, line long, evidence string"
-    return _parsed(listing.filter(F.col("suffix").isin(*SUFFIXES) & ~F.col("is_dir")), _parse, schema, names)
+    return _parsed(rows, _parse, schema, names)

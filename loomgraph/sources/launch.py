@@ -6,7 +6,6 @@ import ast
 import os
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,10 +72,10 @@ def _from_yaml(text: str) -> Iterator[tuple]:
             yield "node", node.get("executable") or UNSET, node.get("package") or UNSET, node.get("name"), {}, None, None
 
 
-def _parse(root: str, rel: str, owner: str) -> Iterator[tuple]:
+def _parse(text: str, rel: str, owner: str) -> Iterator[tuple]:
     read = {".py": _from_python, ".xml": _from_xml}.get(os.path.splitext(rel)[1].lower(), _from_yaml)
     try:
-        found = list(read(Path(root, rel).read_text(encoding="utf-8")))
+        found = list(read(text))
     except Exception:  # whatever is wrong with a file of a user, it is reported as unresolved
         found = [("unresolved", None, None, None, None, None, None)]
     for place, (kind, executable, package, name, remaps, namespace, target) in enumerate(found):
@@ -84,7 +83,12 @@ def _parse(root: str, rel: str, owner: str) -> Iterator[tuple]:
 
 
 def launch_records(listing: DataFrame) -> DataFrame:
-    return _parsed(launch_files(listing), _parse, _SCHEMA, _NAMES).withColumn("seq", F.struct("file_path", "place"))
+    return launch_texts(launch_files(listing))
+
+
+def launch_texts(rows: DataFrame) -> DataFrame:
+    """The same of launch files: (root, rel_path, package), or (text, rel_path, package); the suffix tells the language."""
+    return _parsed(rows, _parse, _SCHEMA, _NAMES).withColumn("seq", F.struct("file_path", "place"))
 
 
 def launch_nodes(records: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 import ast
 import os
 import sys
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
@@ -87,52 +87,89 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _parsed(rows: DataFrame, parse, schema: str, columns: list[str]) -> DataFrame:
+    """What parse(text, rel_path, package) gives for each file.
+
+    rows: (root, rel_path, package) of files that the tasks read, or (text, rel_path, package). An unreadable file has no text.
+    """
+    stored = "text" in rows.columns
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [r for root, rel, package in zip(batch["root"], batch["rel_path"], batch["package"], strict=True) for r in parse(root, rel, package)]
+            texts = batch["text"] if stored else (_read(root, rel) for root, rel in zip(batch["root"], batch["rel_path"], strict=True))
+            out = [r for text, rel, package in zip(texts, batch["rel_path"], batch["package"], strict=True) if text is not None for r in parse(text, rel, package)]
             yield pd.DataFrame(out, columns=columns)
 
-    return rows.select("root", "rel_path", "package").mapInPandas(run, schema)
+    return rows.select("text" if stored else "root", "rel_path", "package").mapInPandas(run, schema)
+
 
+def _read(root: str, rel: str) -> str | None:
+    try:
+        return Path(root, rel).read_text(encoding="utf-8", errors="replace")
+    except OSError:
+        return None
 
-DEPENDENCY_TAGS = {"build_depend": "build", "exec_depend": "exec", "test_depend": "test", "build_export_depend": "build_export", "depend": "depend"}
-BUILD_TYPES = {"ament_cmake": "ament_cmake", "ament_python": "ament_python", "cmake": "cmake", "python": "python"}
 
+#: Dependency tags of a manifest and the build types that are known.
+DEPENDENCY_TAGS = {"depend": "depend", "build_depend": "build", "exec_depend": "exec", "test_depend": "test", "build_export_depend": "build_export"}
+BUILD_TYPES = ("ament_cmake", "ament_python", "cmake", "python")
 
-def _manifest(root: str, rel: str, package: str):
-    try:
-        top = ET.parse(os.path.join(root, rel)).getroot()
-    except (ET.ParseError, OSError):
-        return  # a broken manifest is no package
-
-    def text(tag: str) -> str | None:
-        return (top.findtext(tag) or "").strip() or None
-
-    deps = [(DEPENDENCY_TAGS[e.tag], (e.text or "").strip()) for e in top if e.tag in DEPENDENCY_TAGS]
-    people = [f"{m.text} <{m.get('email', '')}>" for m in top.findall("maintainer") if m.text]
-    kind = "unknown"
-    export = top.find("export")
-    built = (export.findtext("build_type") or "").strip() if export is not None else ""
-    build_deps = {n for t, n in deps if t == "build"}
-    if export is not None and export.find("metapackage") is not None:
-        kind = "meta"
-    elif built:
-        kind = BUILD_TYPES.get(built, "unknown")
-    else:
-        kind = next((k for k in ("ament_cmake", "ament_python") if k in build_deps), "unknown")
-    yield (
-        text("name") or package, text("version") or "0.0.0", kind, people, text("license"), text("description"), root,
-        [{"dep_type": t, "dep_name": n} for t, n in deps],
+_MANIFEST = (
+    "name array<string>, version array<string>, description array<string>, license array<string>, "
+    "maintainer array<struct<_VALUE: string, _email: string>>, "
+    + "".join(f"{tag} array<string>, " for tag in DEPENDENCY_TAGS)
+    + "export array<struct<build_type: array<string>, metapackage: array<string>>>, broken string"
+)
+
+
+def _manifests(texts: DataFrame) -> DataFrame:
+    """Adds m, the manifest as a struct; m.broken is the text where it is no XML. texts: with a column text."""
+    return texts.withColumn("m", F.from_xml("text", _MANIFEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreSurroundingSpaces": "true"}))
+
+
+def _first(tag: str) -> Column:
+    return F.nullif(F.btrim(F.get(F.col(f"m.{tag}"), F.lit(0))), F.lit(""))
+
+
+def package_records(texts: DataFrame) -> DataFrame:
+    """(name, version, package_type, maintainers, license, description, path, deps) of manifests (text, root, package); broken ones are left out."""
+    read = _manifests(texts).filter("m.broken IS NULL")
+    dep = lambda tag: F.transform(
+        F.filter(F.coalesce(F.col(f"m.{tag}"), F.array().cast("array<string>")), lambda x: F.length(F.btrim(x)) > 0),
+        lambda x: F.struct(F.lit(DEPENDENCY_TAGS[tag]).alias("dep_type"), F.btrim(x).alias("dep_name")),
     )
+    deps = F.concat(*(dep(tag) for tag in DEPENDENCY_TAGS))
+    # the first export that says anything decides; a metapackage mark goes before a build type
+    said = F.expr("get(filter(coalesce(m.export, array()), e -> e.metapackage IS NOT NULL OR exists(e.build_type, t -> length(t) > 0)), 0)")
+    built = F.expr("btrim(get(filter(_said.build_type, t -> length(t) > 0), 0))")
+    needed = F.expr("transform(filter(_deps, d -> d.dep_type = 'build'), d -> d.dep_name)")
+    kind = (
+        F.when(F.col("_said.metapackage").isNotNull(), "meta")
+        .when(F.col("_said").isNotNull(), F.when(built.isin(*BUILD_TYPES), built).otherwise("unknown"))
+        .when(F.array_contains(needed, "ament_cmake"), "ament_cmake").when(F.array_contains(needed, "ament_python"), "ament_python").otherwise("unknown")
+    )
+    people = F.expr("transform(filter(coalesce(m.maintainer, array()), p -> length(p._VALUE) > 0), p -> concat(p._VALUE, ' <', coalesce(p._email, ''), '>'))")
+    return read.withColumns({"_deps": deps, "_said": said}).select(
+        F.coalesce(_first("name"), "package").alias("name"), F.coalesce(_first("version"), F.lit("0.0.0")).alias("version"), kind.alias("package_type"),
+        people.alias("maintainers"), _first("license").alias("license"), _first("description").alias("description"), F.col("root").alias("path"),
+        F.col("_deps").alias("deps"),
+    )
+
+
+def _listed_manifests(listing: DataFrame) -> DataFrame:
+    own = listing.filter("rel_path = 'package.xml' AND NOT is_dir")
+    return own.join(contents(own), ["root", "rel_path"]).select("root", "rel_path", "package", "text")
 
 
 def packages(listing: DataFrame) -> DataFrame:
-    names = ["name", "version", "package_type", "maintainers", "license", "description", "path", "deps"]
-    schema = (
-        "name string, version string, package_type string, maintainers array<string>, license string, description string, "
-        "path string, deps array<struct<dep_type: string, dep_name: string>>"
+    return package_records(_listed_manifests(listing))
+
+
+def broken_manifests(listing: DataFrame) -> DataFrame:
+    """Diagnostics (severity, code, message, file, entity) of manifests that are no XML."""
+    return _manifests(_listed_manifests(listing)).filter("m.broken IS NOT NULL").select(
+        F.lit("warning").alias("severity"), F.lit("manifest_unreadable").alias("code"), F.lit("the manifest is left out").alias("message"),
+        F.concat("root", F.lit("/"), "rel_path").alias("file"), F.col("package").alias("entity"),
     )
-    return _parsed(listing.filter("rel_path = 'package.xml' AND NOT is_dir"), _manifest, schema, names)
 
 
 def package_deps(pkgs: DataFrame) -> DataFrame:
@@ -150,17 +187,14 @@ def field_lines(text: Column) -> Column:
 INTERFACE_KINDS = {".msg": "msg", ".srv": "srv", ".action": "action"}
 
 
-def _content(root: str, rel: str, package: str):
-    try:
-        text = Path(root, rel).read_text(encoding="utf-8", errors="replace")
-    except OSError:
-        text = ""
-    yield root, rel, text
-
-
 def contents(listing: DataFrame) -> DataFrame:
     """(root, rel_path, text) of files; an unreadable one is empty."""
-    return _parsed(listing.filter("NOT is_dir"), _content, "root string, rel_path string, text string", ["root", "rel_path", "text"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(text=[_read(root, rel) or "" for root, rel in zip(batch["root"], batch["rel_path"], strict=True)])
+
+    return listing.filter("NOT is_dir").select("root", "rel_path").mapInPandas(run, "root string, rel_path string, text string")
 
 
 def interfaces(listing: DataFrame) -> DataFrame:
@@ -189,7 +223,12 @@ def facts(listing: DataFrame) -> DataFrame:
 def fingerprints(listing: DataFrame) -> DataFrame:
     """(package, fingerprint): SHA-256 over the relative paths and contents of all files that are parsed, in path order."""
     parsed = listing.filter(F.col("suffix").isin(*PARSED) & ~F.col("is_dir"))
-    each = parsed.join(contents(parsed), ["root", "rel_path"]).select("package", "rel_path", F.sha2("text", 256).alias("digest"))
+    return fingerprints_of(parsed.join(contents(parsed), ["root", "rel_path"]))
+
+
+def fingerprints_of(texts: DataFrame) -> DataFrame:
+    """The same over (package, rel_path, text); a line of path and digest for each file is what a package holds at once."""
+    each = texts.select("package", "rel_path", F.sha2("text", 256).alias("digest"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("rel_path", "digest"))), lambda r: F.concat(r["rel_path"], F.lit(" "), r["digest"]))
     return each.groupBy("package").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
 
@@ -204,34 +243,77 @@ _CALLS = {
 }
 
 
-def _python(root: str, rel: str, package: str):
-    try:
-        tree = ast.parse(Path(root, rel).read_text(encoding="utf-8", errors="replace"))
-    except (SyntaxError, OSError, ValueError):
-        return
-    types = {
-        a.asname or a.name: f"{n.module.split('.')[0]}/{a.name}"
-        for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) and n.module and any(m in n.module for m in (".msg", ".srv", ".action"))
-        for a in n.names
-    }
-    for cls in (n for n in ast.walk(tree) if isinstance(n, ast.ClassDef) and any(ast.unparse(b) in _BASES for b in n.bases)):
-        known = {}
-        for n in ast.walk(cls):
-            if isinstance(n, ast.Assign) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str):
-                known |= {ast.unparse(t).removeprefix("self."): n.value.value for t in n.targets}
-
-        def name_of(call: ast.Call, at: int, keywords: tuple[str, ...], known=known) -> str:
-            value = call.args[at] if len(call.args) > at else next((k.value for w in keywords for k in call.keywords if k.arg == w), None)
-            if isinstance(value, ast.Constant) and isinstance(value.value, str):
-                return value.value
-            return known.get(ast.unparse(value).removeprefix("self."), "<dynamic>") if value is not None else "<dynamic>"
-
-        yield package, cls.name, None, None, None, rel, cls.lineno, None
-        for n in sorted((n for n in ast.walk(cls) if isinstance(n, ast.Call)), key=lambda n: (n.lineno, n.col_offset)):
-            called = n.func.attr if isinstance(n.func, ast.Attribute) else getattr(n.func, "id", "")
+@dataclass
+class _Scope:
+    """A component class that is being read: its constants so far, its own name and what it declares."""
+
+    name: str
+    line: int
+    constants: dict[str, str]
+    endpoints: list[tuple] = field(default_factory=list)
+
+
+def _constant(node: ast.expr) -> str | None:
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+
+
+def _own(node: ast.expr) -> str | None:
+    """x of self.x."""
+    return node.attr if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name) and node.value.id == "self" else None
+
+
+def _assigned(node: ast.Assign, key) -> dict[str, str]:
+    """The string that an assignment gives to each target that key() names."""
+    value = _constant(node.value)
+    return {} if value is None else {key(t): value for t in node.targets if key(t)}
+
+
+def _python(text: str, rel: str, package: str) -> list[tuple]:
+    """A component row for each component class, inner ones before the class around them, and its endpoints behind it.
+
+    Code is walked in order. A name is a literal, or self.x or a bare x whose string the class body or
+    an assignment to self.x has given before; a class inside another has names of its own.
+    """
+    types: dict[str, str] = {}
+    done: list[_Scope] = []
+
+    def name_of(call: ast.Call, at: int, keywords: tuple[str, ...], known: dict[str, str]) -> str:
+        value = call.args[at] if len(call.args) > at else next((k.value for k in call.keywords if k.arg in keywords), None)
+        said = _constant(value) if value is not None else None
+        return said if said is not None else known.get(_own(value) or getattr(value, "id", ""), "<dynamic>")
+
+    def walk(node: ast.AST, scope: _Scope | None) -> None:
+        if isinstance(node, ast.ImportFrom):
+            mark = next((m for m in (".msg", ".srv", ".action") if m in (node.module or "")), None)
+            if mark:
+                types.update({a.asname or a.name: f"{node.module.partition(mark)[0]}/{a.name}" for a in node.names})
+        elif isinstance(node, ast.ClassDef) and any(ast.unparse(b) in _BASES for b in node.bases):
+            inner = _Scope(node.name, node.lineno, {})
+            for said in (n for n in node.body if isinstance(n, ast.Assign)):
+                inner.constants |= _assigned(said, lambda t: getattr(t, "id", None))
+            for child in ast.iter_child_nodes(node):
+                walk(child, inner)
+            done.append(inner)
+            return
+        elif scope and isinstance(node, ast.Assign):
+            scope.constants |= _assigned(node, _own)
+        elif scope and isinstance(node, ast.Call):
+            called = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", "")
             if called in _CALLS:
                 role, at, kind_at, keywords = _CALLS[called]
-                yield package, cls.name, role, name_of(n, at, keywords), _type_of(n.args[kind_at : kind_at + 1], types), rel, n.lineno, called
+                scope.endpoints.append((role, name_of(node, at, keywords, scope.constants), _type_of(node.args[kind_at : kind_at + 1], types), rel, node.lineno, called))
+        for child in ast.iter_child_nodes(node):
+            walk(child, scope)
+
+    try:
+        walk(ast.parse(text), None)
+    except (SyntaxError, ValueError, RecursionError):
+        return []  # what Python cannot read declares nothing
+    rows = []
+    for scope in done:
+        rows.append((package, scope.name, None, None, None, rel, scope.line, None))
+        rows += [(package, scope.name, *e) for e in scope.endpoints]
+    return rows
 
 
 def _type_of(arg: list[ast.expr], types: dict[str, str]) -> str:
@@ -248,6 +330,11 @@ def _type_of(arg: list[ast.expr], types: dict[str, str]) -> str:
 
 def python_records(listing: DataFrame) -> DataFrame:
     """A row for each component class of the Python files (role null) and each of its endpoints."""
+    return python_texts(listing.filter("suffix = '.py' AND NOT is_dir"))
+
+
+def python_texts(rows: DataFrame) -> DataFrame:
+    """The same of Python files: (root, rel_path, package), or (text, rel_path, package)."""
     names = ["package", "component", "role", "name", "msg_type", "file_path", "line", "evidence"]
     schema = "package string, component string, role string, name string, msg_type string, file_path string, line long, evidence string"
-    return _parsed(listing.filter("suffix = '.py' AND NOT is_dir"), _python, schema, names)
+    return _parsed(rows, _python, schema, names)

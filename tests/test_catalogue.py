@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from loomgraph.plans.catalogue import ORACLE, QUERIES
+from loomgraph.plans import catalogue, extractors
+
+ORACLE, QUERIES = catalogue.ORACLE | extractors.ORACLE, catalogue.QUERIES | extractors.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -4,6 +4,7 @@ import json
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import assembly, graph
 from loomgraph.operators.packages import listed
@@ -103,7 +104,7 @@ def test_launch(spark, root, made):
         ("launch/go.py", "speaker", "<unknown>"), ("launch/x.launch.xml", "hearer", "Hearer"), ("launch/ok.launch.yaml", "other", None)
     }
     assert [r["target_file"] for r in launch.launch_includes(records).collect()] == ["y.xml"]
-    assert {r["code"] for r in made.diagnostics.collect()} == {"launch_unresolved", "type_conflict"}
+    assert {r["code"] for r in made.diagnostics.collect()} == {"launch_unresolved", "type_conflict", "manifest_unreadable"}
 
 
 def test_graph(made):
@@ -117,8 +118,64 @@ def test_graph(made):
     lines = list(render.mermaid(made, "deps"))
     assert lines[0] == "graph LR" and len(lines) == 5 and len(list(render.dot(made, "comms"))) > 10
     assert all(json.loads(x) for x in render.graph_json(made)) and "<h1>" in next(render.page(made, "ws"))
-    seen = {(r["component"], r["name"]): r["subscribers"] for r in graph.connection_records(made.endpoints).filter("role = 'publishes'").collect()}
-    assert seen["Speaker", "/quiet"] == "Hearer"
+    met = graph.connection_rows(made.endpoints, made.endpoints.filter("role = 'publishes'").select("package", "component"))
+    assert ("Speaker", "/quiet", "subscribes", "Hearer") in {(r["component"], r["name"], r["peer_rel"], r["peer_component"]) for r in met.collect()}
+
+
+def test_compound(made):
+    elements, edges = graph.compound(made.vertices, made.edges.withColumn("seq", F.col("key")))
+    got = {r["id"]: r for r in elements.collect()}
+    assert got["node:beta/Hearer"]["parent"] == "pkg:beta" and got["pkg:beta"]["parent"] is None
+    assert got["topic:/quiet"]["parent"] == "node:alpha/Speaker"
+    assert not {r["rel"] for r in edges.select("rel").distinct().collect()} & {"defined_in", "uses_interface"}
+
+
+def test_export(made, tmp_path):
+    render.export(made, str(tmp_path))
+    names = {p.name for p in tmp_path.iterdir()}
+    assert names >= {"packages", "nodes", "interfaces", "topics", "services", "actions", "launch_remaps", "diagnostics", "summary", "vertices", "edges"}
+    written = [json.loads(x) for f in (tmp_path / "topics").glob("part-*") for x in f.read_text().splitlines()]
+    assert {"/quiet"} <= {r["name"] for r in written} and all("msg_type" in r for r in written)
+
+
+def test_commands(spark, root, tmp_path, capsys):
+    from loomgraph.__main__ import main
+
+    assert main(["packages", root, "--show-deps", "-f", "json"]) == 0
+    assert {json.loads(x)["name"] for x in capsys.readouterr().out.splitlines() if x.startswith("{")} == {"alpha", "beta"}
+    out = tmp_path / "graph.dot"
+    assert main(["graph", root, "-f", "dot", "--view", "comms", "-o", str(out)]) == 0
+    assert out.read_text().startswith("digraph")
+    assert main(["nodes", root, "-p", "alpha", "--show-connections"]) == 0
+    assert "Hearer" in capsys.readouterr().out
+    assert main(["audit", root, "-f", "json", "--fail-on", "info"]) == 1
+    told = json.loads(capsys.readouterr().out)
+    assert told["total_packages"] == 2 and told["violations"]["info"] + told["violations"]["warning"] > 0
+    assert main(["scan", str(tmp_path / "nowhere")]) == 3
+
+
+def test_python_scopes(spark):
+    """Constants seen so far, names of the class body, and classes inside classes."""
+    text = """
+class A(Node):
+    X = "/x"
+    def one(self):
+        self.create_publisher(T, self.y, 1)
+        self.y = "/y"
+        self.create_publisher(T, self.y, 1)
+    class B(Node):
+        def two(self):
+            self.create_publisher(T, self.X, 1)
+            self.create_publisher(T, topic="/b")
+    def three(self):
+        y = "/local"
+        self.create_publisher(T, y, 1)
+        self.create_publisher(T, X, 1)
+"""
+    rows = workspace.python_texts(spark.createDataFrame([(text, "a.py", "p"), ("def (", "b.py", "p")], "text string, rel_path string, package string")).collect()
+    assert [(r["component"], r["name"]) for r in rows] == [
+        ("B", None), ("B", "<dynamic>"), ("B", "/b"), ("A", None), ("A", "<dynamic>"), ("A", "/y"), ("A", "/y"), ("A", "/x"),
+    ]
 
 
 def test_inferred(spark):
