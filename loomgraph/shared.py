@@ -22,11 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or _LOCAL).rstrip("/")
 
 
+#: Rows of the Arrow batches while a table is written, at most: rows can be whole texts, and a batch is held several times over.
+BATCH_ROWS = 2500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before))))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
