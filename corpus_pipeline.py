@@ -8,20 +8,26 @@ but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm import op2_pii, op4_quality, op8_decontamination, op9_jaccard_join, op10_mixing, scratch
 from loomgraph.llm.idfilter import anti_join
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects go."""
+    """Documents that the rule ensemble rejects go.
+
+    Null and empty texts are scored as texts without words; repeated rows are scored alike; rows without a doc_id are
+    scored too and never learned from.
+    """
     return op4_quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that link, the one with the smallest doc_id stays; repeated rows of one doc_id count as one.
+    """Of each group of documents that link, the one with the smallest doc_id stays.
 
-    Documents without a doc_id, or without words, are in no group and stay.
+    Documents without a doc_id, or without words, are in no group and stay. Rows of one doc_id share their fate: equal
+    ones stay or go together, and where different texts bear one doc_id all of them go with the one that goes.
     """
     placed = op9_jaccard_join.jaccard_components(docs.select("doc_id", "text"))
     gone = scratch.save(placed.filter("component_id <> doc_id AND n_shingles > 0").select("doc_id").distinct(), "gone")
@@ -29,19 +35,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of the benchmark go."""
+    """Documents that contain an item of the benchmark go, whatever their doc_id is; rows of equal texts go or stay together.
+
+    Null and empty texts contain nothing and stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = scratch.save(op8_decontamination.contained_items(docs, items).select("doc_id").distinct(), "hit")
-    return anti_join(docs, hit, "doc_id")
+    taken = {c.lower() for c in docs.columns}
+    key = next(x for x in (f"_said{k or ''}" for k in range(len(taken) + 1)) if x not in taken)
+    said = F.xxhash64(F.lit(8), "text")
+    found = op8_decontamination.contained_items(docs.select(said.alias("doc_id"), "text"), items)
+    hit = scratch.save(found.select(F.col("doc_id").alias(key)).distinct(), "hit")
+    return anti_join(docs.withColumn(key, said), hit, key).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind."""
+    """Personal data are replaced by their kind, row by row; null texts stay null, and nothing goes."""
     return op2_pii.redacted(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with size, source_size, target, copies (0: not in the mix) and taken."""
+    """The documents with size, source_size, target, copies (0: not in the mix) and taken.
+
+    Null and empty texts have size 0 and take nothing; a null source is a source; repeated rows count each.
+    """
     own = [c for c in ("text", "lang", "source", "n_chars") if c in docs.columns]
     return op10_mixing.mix(docs, keep=own)
 

@@ -1,41 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables of the corpus operators: the helper of the library."""
 
-Lineage is cut by writing a table and reading it back, so a lost executor
-costs a re-read and never a recomputation of the whole job.
-"""
+from ..shared import drop, save, shared_dir
 
-from __future__ import annotations
-
-import re
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL = "file:///tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and all tasks run on this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (named or _LOCAL).rstrip("/")
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that save() returned and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/loomgraph/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["drop", "save", "shared_dir"]

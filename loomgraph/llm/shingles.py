@@ -59,13 +59,14 @@ def _grow(n: int) -> None:
 
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about SLICE_BYTES; null is empty."""
-    column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    """(first row, end row, bytes, offsets) of runs of rows of about SLICE_BYTES; null is empty. Nothing is copied but texts with nulls among them."""
     n = len(column)
     if not n:
         return
-    raw = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
+    if column.null_count:
+        column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    raw = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if raw[-1] > raw[0] else np.zeros(0, np.uint8)
     at = 0
     while at < n:
@@ -73,6 +74,9 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         end = min(end, n)
         yield at, end, data[raw[at] : raw[end]], raw[at : end + 1] - raw[at]
         at = end
+    del column, data
+    # workers live on between tasks; what Arrow keeps for later is given back
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
