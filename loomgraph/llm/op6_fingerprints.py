@@ -68,12 +68,11 @@ def _with_next(rows: DataFrame, first: Column, ranges: int, order: list[str], va
 
 
 def _sums(text: str) -> Column:
-    """The sum lanes of a text, in hex."""
+    """The sum lanes of a text, each from 0 to 2**32 - 1."""
     lanes = [
-        f"lpad(hex(aggregate(split({text}, '\\n'), 0L, (a, p) -> (a + (xxhash64({j}, p) & 4294967295L)) & 4294967295L)), 8, '0')"
-        for j in range(SUMS)
+        f"aggregate(split({text}, '\\n'), 0L, (a, p) -> (a + (xxhash64({j}, p) & 4294967295L)) & 4294967295L)" for j in range(SUMS)
     ]
-    return F.expr(f"lower(concat({', '.join(lanes)}))")
+    return F.expr(f"array({', '.join(lanes)})")
 
 
 def _triples(text: str) -> Column:
@@ -84,41 +83,54 @@ def _triples(text: str) -> Column:
     )
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """The keys and fingerprint; keys must tell the rows apart."""
+def lanes(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The keys, sums and signs, the lanes of the fingerprint as numbers; keys must tell the rows apart."""
     # both in a projection of their own: beside explode() the sums would be worked out again for every triple
-    units = texts.select(*keys, _sums(text).alias("_sums"), _triples(text).alias("_hs")).select(*keys, "_sums", F.explode_outer("_hs").alias("_h"))
+    units = texts.select(*keys, _sums(text).alias("sums"), _triples(text).alias("_hs")).select(*keys, "sums", F.explode_outer("_hs").alias("_h"))
     # two lanes of 32 bits share a long while they are summed; the low sum carries into the high one, and is told apart first
     units = units.select(
-        *keys, "_sums", F.expr(f"cast(pmod(_h, {SIGNS // _PACKED}) AS int)").alias("_word"),
+        *keys, "sums", F.expr(f"cast(pmod(_h, {SIGNS // _PACKED}) AS int)").alias("_word"),
         F.expr(f"shiftleft(1L - 2L * (shiftrightunsigned(_h, 20) & 1L), {_BITS} * cast(shiftrightunsigned(_h, 30) & {_PACKED - 1}L AS int))").alias("_unit"),
     )
     packed = [F.sum(F.when(F.col("_word") == k, F.col("_unit")).otherwise(F.lit(0))).alias(f"_p{k}") for k in range(SIGNS // _PACKED)]
-    summed = units.groupBy(*keys, "_sums").agg(*packed)
+    summed = units.groupBy(*keys, "sums").agg(*packed)
     words = ", ".join(f"_p{k}" for k in range(SIGNS // _PACKED))
-    low = "(p & 4294967295L)"
-    # the high lane: the balanced low one is taken off first
-    lanes = f"flatten(transform(array({words}), p -> array({low}, (shiftright(p, {_BITS}) + if({low} >= 2147483648L, 1L, 0L)) & 4294967295L)))"
-    signs = F.expr(f"array_join(transform({lanes}, s -> lpad(lower(hex(s)), 8, '0')), '')")
-    return summed.select(*keys, F.concat("_sums", signs).alias("fingerprint"))
+    # the balanced low lane, and the high one once that is taken off
+    low = "cast(cast((p & 4294967295L) - if((p & 4294967295L) >= 2147483648L, 4294967296L, 0L) AS bigint) AS int)"
+    high = "cast(shiftright(p, 32) + if((p & 4294967295L) >= 2147483648L, 1L, 0L) AS int)"
+    return summed.select(*keys, "sums", F.expr(f"flatten(transform(array({words}), p -> array({low}, {high})))").alias("signs"))
+
+
+def _hex(sums: str, signs: str) -> str:
+    """SQL: a fingerprint, eight digits a lane."""
+    each = f"concat({sums}, transform({signs}, s -> cast(s AS bigint) & 4294967295L))"
+    return f"lower(array_join(transform({each}, s -> lpad(hex(s), 8, '0')), ''))"
+
+
+def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The keys and fingerprint; keys must tell the rows apart."""
+    return lanes(texts, keys, text).select(*keys, F.expr(_hex("sums", "signs")).alias("fingerprint"))
+
+
+def _cosine(a: str, b: str) -> str:
+    """SQL: the cosine of two arrays of sign lanes, from 0 to 1."""
+
+    def dot(x: str, y: str) -> str:
+        return f"aggregate(zip_with({x}, {y}, (m, n) -> cast(m AS double) * n), 0D, (t, m) -> t + m)"
+
+    # a one-element array binds the products, which are read more than once
+    bound = f"array(struct({dot(a, b)} AS xy, sqrt({dot(a, a)}) * sqrt({dot(b, b)}) AS norm))"
+    return f"transform({bound}, d -> if(d.norm = 0, 0D, greatest(0D, least(1D, d.xy / d.norm))))[0]"
 
 
 def likeness(a: str, b: str) -> Column:
     """Likeness of two columns of fingerprints, between 0 and 1."""
 
-    def lanes(x: str) -> str:
+    def signs(x: str) -> str:
         read = f"cast(conv(substring({x}, {8 * SUMS + 1} + 8 * i, 8), 16, 10) AS bigint)"
-        return f"transform(sequence(0, {SIGNS - 1}), i -> cast({read} AS double) - if({read} >= 2147483648L, 4294967296D, 0D))"
+        return f"transform(transform(sequence(0, {SIGNS - 1}), i -> {read}), s -> s - if(s >= 2147483648L, 4294967296L, 0L))"
 
-    def dot(x: str, y: str) -> str:
-        return f"aggregate(zip_with({x}, {y}, (m, n) -> m * n), 0D, (t, m) -> t + m)"
-
-    # one-element arrays bind the lanes and the products, which are read once
-    sums = (
-        f"transform(array(struct({lanes(a)} AS x, {lanes(b)} AS y)), v -> "
-        f"struct({dot('v.x', 'v.y')} AS xy, sqrt({dot('v.x', 'v.x')}) * sqrt({dot('v.y', 'v.y')}) AS norm))"
-    )
-    cosine = f"transform({sums}, d -> if(d.norm = 0, 0D, greatest(0D, least(1D, d.xy / d.norm))))[0]"
+    cosine = f"transform(array(struct({signs(a)} AS x, {signs(b)} AS y)), v -> {_cosine('v.x', 'v.y')})[0]"
     return F.expr(f"CASE WHEN {a} = {b} THEN 1D ELSE {cosine} END")
 
 
@@ -164,15 +176,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "_range", "_row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         F.posexplode_outer(F.array("text", "edited")).alias("_which", "_text"),
     )
-    marked = fingerprints(both, ["_range", "_row", "doc_id", "n_chars", "edited_sha256", "_which"], "_text")
+    marked = lanes(both, ["_range", "_row", "doc_id", "n_chars", "edited_sha256", "_which"], "_text")
+    own, other = (F.max(F.when(F.col("_which") == k, F.struct("sums", "signs"))).alias(name) for k, name in ((0, "own"), (1, "other")))
     one = marked.groupBy("_range", "_row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("edited_sha256").alias("edited_sha256"),
-        F.max(F.expr("if(_which = 0, fingerprint, null)")).alias("fingerprint"),
-        F.max(F.expr("if(_which = 1, fingerprint, null)")).alias("edited_fingerprint"),
+        F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("edited_sha256").alias("edited_sha256"), own, other
     )
     one = scratch.save(one, "fingerprints")
-    chained = _with_next(one.withColumnRenamed("_row", "_at"), F.col("_at") == 1, n, ["_at"], ["fingerprint"])
+    chained = _with_next(one.withColumnRenamed("_row", "_at"), F.col("_at") == 1, n, ["_at"], ["own"])
+
+    def near(x: str) -> Column:
+        return F.expr(f"CASE WHEN own.sums = {x}.sums AND own.signs = {x}.signs THEN 1D ELSE {_cosine('own.signs', f'{x}.signs')} END")
+
     return chained.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", F.expr(_hex("own.sums", "own.signs")).alias("fingerprint"),
+        F.expr(_hex("other.sums", "other.signs")).alias("edited_fingerprint"), near("other").alias("near_edited"), near("next_own").alias("near_next"),
     )
