@@ -24,10 +24,11 @@ def _print(table: DataFrame, form: str) -> None:
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="loomgraph")
+    top.add_argument("-C", "--workspace", help="the workspace, where the command names none")
     commands = top.add_subparsers(dest="command", required=True)
     for name in ("scan", "packages", "nodes", "graph", "viz", "audit", "validate"):
         c = commands.add_parser(name)
-        c.add_argument("path", nargs="?", default=".")
+        c.add_argument("path", nargs="?")
         c.add_argument("-f", "--format", default="mermaid" if name == "graph" else "table", choices=("mermaid", "dot", "json") if name == "graph" else ("table", "json"))
         c.add_argument("-o", "--output", help="a file on this machine instead of the standard output")
         if name == "packages":
@@ -47,7 +48,9 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
             c.add_argument("--exclude", default="")
         if name == "validate":
             c.add_argument("--policy", required=True)
-    return top.parse_args(argv)
+    args = top.parse_args(argv)
+    args.path = args.path or args.workspace or "."
+    return args
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -94,7 +97,7 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         if args.format == "json":
             print(render.report_json(found, m))
         else:
-            _print(policy.ordered(found).drop("rule_seq"), args.format)
+            _print(policy.ordered(found, by_rule=args.command == "audit").drop("rule_seq"), args.format)
         return exit_code(found, "warning" if getattr(args, "strict", False) else args.fail_on)
     return 0
 

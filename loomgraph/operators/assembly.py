@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import UNKNOWN, in_namespace, last_segment, remapped, snake_symbol
+from ..functions.names import DYNAMIC, UNKNOWN, in_namespace, last_segment, remapped, snake_symbol
 from .graph import ROLES, node_id
 
 
@@ -59,6 +59,15 @@ def match_launch(components: DataFrame, launch_nodes: DataFrame) -> DataFrame:
     )
 
 
+def with_confidence(endpoints: DataFrame) -> DataFrame:
+    """Adds type_source, explicit where a type is known, and confidence, high where the type and the name are."""
+    typed = F.col("msg_type") != UNKNOWN
+    return endpoints.withColumns({
+        "type_source": F.when(typed, "explicit").otherwise(UNKNOWN),
+        "confidence": F.when(typed & (F.col("name") != DYNAMIC), "high").otherwise("low"),
+    })
+
+
 def launch_remaps(launch_nodes: DataFrame) -> DataFrame:
     """(owner_package, executable, name, remap_from, remap_to, seq): each launch node's remaps, or one row with nulls; a missing name is empty."""
     return launch_nodes.select(

@@ -283,6 +283,23 @@ def compound(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return placed.unionByName(packages), edges.filter(~F.col("rel").isin(*NESTED_RELATIONS))
 
 
+def visible_counts(vertices: DataFrame, edges: DataFrame, hidden_kinds: list[str] = (), hidden_relations: list[str] = ()) -> DataFrame:
+    """(part, what, n): what a view shows once kinds and relations are hidden; an edge is shown if both its ends are."""
+    shown = vertices.filter(~F.col("kind").isin(*hidden_kinds)) if hidden_kinds else vertices
+    left = edges.filter(~F.col("rel").isin(*hidden_relations)) if hidden_relations else edges
+    count = lambda table, part, what: table.groupBy(F.lit(part).alias("part"), F.col(what).alias("what")).agg(F.count("*").alias("n"))
+    return count(shown, "vertices", "kind").unionAll(count(induced(left, shown), "edges", "rel"))
+
+
+def selection(elements: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id) of the seeds, their neighbours, and the containers of all of these. elements: (id, parent) of a compound view."""
+    near = neighbourhood(edges, seeds)
+    up = elements.select("id", "parent").filter("parent IS NOT NULL")
+    first = near.join(up, "id").select(F.col("parent").alias("id"))
+    second = first.join(up, "id").select(F.col("parent").alias("id"))
+    return near.unionAll(first).unionAll(second).distinct()
+
+
 MERMAID_ARROWS = {"publishes": "-->|pub|", "subscribes": "-->|sub|", "depends_on": "-.->", "provides": "-->|srv|", "calls": "-.->|call|"}
 
 

@@ -459,3 +459,48 @@ def content_fingerprint(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     path = F.lpad(F.col("doc_id").cast("string"), 12, "0")
     return fingerprints_of(docs.select(F.col("lang").alias("package"), path.alias("rel_path"), F.coalesce("text", F.lit("")).alias("text")))
+
+
+@_query(f"""SELECT package, component, role, name, seq, CASE WHEN msg_type <> 'unknown' THEN 'explicit' ELSE 'unknown' END AS type_source,
+  CASE WHEN msg_type <> 'unknown' AND name <> '<dynamic>' THEN 'high' ELSE 'low' END AS confidence
+  FROM (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN '<dynamic>' ELSE name END AS name) FROM {E})""")
+def endpoint_confidence(spark, d):
+    rows = table(spark, d, "endpoints").withColumn("name", F.expr("if(seq % 5 = 0, '<dynamic>', name)"))
+    return assembly.with_confidence(rows).drop("msg_type")
+
+
+@_query(f"SELECT name, concat(repeat('█', n), repeat('░', 10 - n)) AS bar FROM (SELECT name, cast(greatest(0, least(10, round_even(coalesce(health_score, 0) / 10.0, 0))) AS INTEGER) AS n FROM {B})")
+def health_bars(spark, d):
+    return table(spark, d, "builds").select("name", names.health_bar(F.coalesce("health_score", F.lit(0))).alias("bar"))
+
+
+_RAW = "CASE p_partkey % 5 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'Warning' WHEN 2 THEN 'info' WHEN 3 THEN 'fatal' END"
+
+
+@_query(f"SELECT p_partkey, CASE WHEN lower(raw) IN ('error', 'warning', 'info') THEN lower(raw) ELSE 'warning' END AS severity FROM (SELECT p_partkey, {_RAW} AS raw FROM part)")
+def severity_names(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(_RAW).alias("raw"))
+    return part.select("p_partkey", names.severity(F.col("raw")).alias("severity"))
+
+
+@_query(f"""SELECT 'vertices' AS part, kind AS what, count(*) AS n FROM (SELECT DISTINCT {_ID} AS id, {_KIND} AS kind FROM {E} WHERE {_TOPIC} UNION SELECT DISTINCT {_NODE}, 'Node' FROM {E}) GROUP BY kind
+  UNION ALL SELECT 'edges', rel, count(*) FROM {_EDGES} WHERE rel = 'publishes' GROUP BY rel""")
+def visible_counts(spark, d):
+    e = table(spark, d, "endpoints")
+    vertices = graph.components(e).select("id", F.lit("Node").alias("kind")).unionByName(graph.comm_vertices(e).select("id", "kind"))
+    return graph.visible_counts(vertices, graph.comm_edges(e), ["Service"], ["subscribes"])
+
+
+_ONE = "node:pkg_3/user_3"
+
+
+@_query(f"""WITH near AS (SELECT '{_ONE}' AS id UNION SELECT dst FROM {_EDGES} WHERE src = '{_ONE}' UNION SELECT src FROM {_EDGES} WHERE dst = '{_ONE}'),
+  up AS (SELECT {_ID} AS id, {_HOME} AS parent FROM {E} GROUP BY {_ID} UNION SELECT DISTINCT {_NODE}, concat('pkg:', package) FROM {E}),
+  one AS (SELECT up.parent AS id FROM near JOIN up USING (id))
+  SELECT id FROM near UNION SELECT id FROM one UNION SELECT up.parent FROM one JOIN up USING (id)""")
+def selection(spark, d):
+    e = table(spark, d, "endpoints")
+    nodes = graph.components(e).select("id", F.lit("Node").alias("kind"), F.col("component").alias("name"), "package")
+    vertices = nodes.unionByName(graph.comm_vertices(e).select("id", "kind", "name", F.lit(None).cast("string").alias("package")))
+    edges = graph.comm_edges(e)
+    return graph.selection(graph.compound(vertices, edges)[0], edges, spark.createDataFrame([(_ONE,)], "id string"))

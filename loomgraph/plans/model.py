@@ -112,7 +112,7 @@ def read(spark: SparkSession, path: str) -> Model:
         .join(dynamic, ["package", "component", "file_path"])
         .select("package", F.col("component").alias("name"), "language", "file_path", "line", "has_dynamic_names", "seq")
     )
-    declared = found.filter("role is not null").withColumn(
+    declared = assembly.with_confidence(found.filter("role is not null")).withColumn(
         "seq", F.struct("package", rank, "file_path", "component", assembly.role_rank().alias("role"), "line", F.col("name").alias("at"))
     )
     records = save(launch.launch_records(listing), "launch")

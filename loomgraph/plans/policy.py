@@ -168,8 +168,10 @@ def evaluate(model: Model, policy: list[dict]) -> DataFrame:
     return _union(parts)
 
 
-def ordered(violations: DataFrame) -> DataFrame:
-    """Most severe first, then by rule."""
+def ordered(violations: DataFrame, by_rule: bool = False) -> DataFrame:
+    """Most severe first, then by rule; or by rule, in the order of the rules, and then most severe first."""
+    if by_rule:
+        return violations.orderBy("rule_seq", severity_rank(F.col("severity")), "entity", "message")
     return violations.orderBy(severity_rank(F.col("severity")), "rule_seq", "entity", "message")
 
 

@@ -150,7 +150,7 @@ def test_commands(spark, root, tmp_path, capsys):
     assert "Hearer" in capsys.readouterr().out
     assert main(["audit", root, "-f", "json", "--fail-on", "info"]) == 1
     told = json.loads(capsys.readouterr().out)
-    assert told["total_packages"] == 2 and told["violations"]["info"] + told["violations"]["warning"] > 0
+    assert told["total_packages"] == 2 and told["violations"]["info"] + told["violations"]["warnings"] > 0
     assert main(["scan", str(tmp_path / "nowhere")]) == 3
 
 
@@ -228,3 +228,43 @@ def test_fingerprints(spark, root):
     listing = workspace.files(spark, root + "/src")
     one = {r["package"]: r["fingerprint"] for r in workspace.fingerprints(listing).collect()}
     assert set(one) == {"alpha", "beta", "broken"} and len(set(one.values())) == 3
+
+
+def test_cache(spark, tmp_path):
+    """What is read from the cache is what would be parsed, and only changed packages are parsed."""
+    from loomgraph.sources.cache import cached
+
+    src = tmp_path / "ws" / "src"
+    for name, topic in (("one", "/a"), ("two", "/b"), ("none", None)):
+        (src / name).mkdir(parents=True)
+        (src / name / "package.xml").write_text(f"<package><name>{name}</name></package>")
+        if topic:
+            (src / name / "n.py").write_text(f"class N(Node):\n    def f(self):\n        self.create_publisher(T, '{topic}', 1)\n")
+    parsed = []
+
+    def parse(listing):
+        parsed.append({r["package"] for r in listing.select("package").distinct().collect()})
+        return workspace.python_records(listing)
+
+    def run():
+        listing = workspace.files(spark, str(src))
+        got = cached(listing, parse, f"file://{tmp_path}/cache")
+        assert sorted(map(str, got.collect())) == sorted(map(str, workspace.python_records(listing).collect()))
+
+    run()
+    run()
+    (src / "two" / "n.py").write_text("class M(Node):\n    pass\n")
+    run()
+    assert parsed == [{"one", "two", "none"}, set(), {"two"}]
+
+
+def test_stream(spark, tmp_path):
+    from loomgraph.streaming.observations import topic_activity
+
+    rows = [("2024-01-01 00:10:00", "/a", "publishes"), ("2024-01-01 00:20:00", "/a", "publishes"), ("2024-01-01 01:05:00", "/a", "subscribes"), ("2024-01-01 09:00:00", "/b", "calls")]
+    spark.createDataFrame(rows, "ts string, name string, role string").selectExpr("cast(ts AS timestamp) AS ts", "name", "role").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, name string, role string").parquet(f"{tmp_path}/in")
+    query = topic_activity(stream).writeStream.outputMode("complete").format("memory").queryName("activity").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = {(str(r["window"]["start"]), r["name"], r["role"]): r["n"] for r in spark.table("activity").collect()}
+    assert got == {("2024-01-01 00:00:00", "/a", "publishes"): 2, ("2024-01-01 01:00:00", "/a", "subscribes"): 1, ("2024-01-01 09:00:00", "/b", "calls"): 1}
