@@ -78,15 +78,17 @@ def _append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [_statistics(data, offsets) for _, _, data, offsets in text_slices(batch.column("text"))]
         values = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(values.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "_stats"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(values[:, k]) for k in range(len(STATISTICS)))], ["row", *STATISTICS])
 
 
 def with_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(row, _stats): the columns as one struct, whatever their names, and an array in the order of STATISTICS of each row's text."""
+    """row, the columns as one struct, whatever their names, and a column for each of STATISTICS of the row's text.
+
+    Statistics are columns of their own, so that the code compiled for a few hundred conditions on them stays small.
+    """
     row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
     wide = docs.select(row, F.coalesce("text", F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("row", wide.schema["row"].dataType)]).add("_stats", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([T.StructField("row", wide.schema["row"].dataType), *(T.StructField(name, T.DoubleType()) for name in STATISTICS)])
     return wide.mapInArrow(_append, schema)
 
 
@@ -97,8 +99,8 @@ class Rule:
     parts: tuple[tuple[int, bool, float], ...]
     weight: float
 
-    def sql(self, stats: str) -> str:
-        return " AND ".join(f"{stats}[{k}] {'>' if above else '<='} {bound!r}D" for k, above, bound in self.parts)
+    def sql(self) -> str:
+        return " AND ".join(f"{STATISTICS[k]} {'>' if above else '<='} {bound!r}D" for k, above, bound in self.parts)
 
 
 @dataclass(frozen=True)
@@ -106,9 +108,9 @@ class QualityModel:
     bias: float
     rules: tuple[Rule, ...]
 
-    def score(self, stats: str = "_stats") -> Column:
+    def score(self) -> Column:
         """The probability of label 1, as an expression over the statistics."""
-        terms = [f"if({r.sql(stats)}, {r.weight!r}D, 0D)" for r in self.rules]
+        terms = [f"if({r.sql()}, {r.weight!r}D, 0D)" for r in self.rules]
         return 1 / (1 + F.exp(-F.expr(" + ".join([f"({self.bias!r}D)", *terms]))))
 
 
@@ -137,6 +139,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
+def _hits(rules: list[tuple[tuple[int, bool, float], ...]]) -> object:
+    """(label, hits): which of the rules hold for each row of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(name).to_numpy() for name in STATISTICS]
+            held = np.ones((batch.num_rows, len(rules)))
+            for j, rule in enumerate(rules):
+                for k, above, bound in rule:
+                    held[:, j] *= columns[k] > bound if above else columns[k] <= bound
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(rules))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(ends, pa.array(held.ravel()))], ["label", "hits"])
+
+    return run
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> QualityModel:
     """The model of labelled rows. docs: (doc_id, text); labels: (doc_id, quality). Held-out rows are not read.
 
@@ -152,23 +170,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
     share = min(1.0, most / max(1, known.count()))
     drawn = scratch.save(known.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).distinct(), "drawn")
     texts = semi_join(docs.select(F.col("doc_id").cast("bigint"), "text"), drawn, "doc_id").dropDuplicates(["doc_id", "text"])
-    stats = with_statistics(texts, ["doc_id"]).select("row.doc_id", "_stats")
+    stats = with_statistics(texts, ["doc_id"]).select("row.doc_id", *STATISTICS)
     sample = scratch.save(
         # in a fixed order, so that reruns fit the same model
-        stats.join(drawn, "doc_id").repartition(max(1, min(8, most // 2500)), "doc_id").sortWithinPartitions("doc_id", "label", "_stats").select("label", "_stats"),
+        stats.join(drawn, "doc_id").repartition(max(1, min(8, most // 2500)), "doc_id").sortWithinPartitions("doc_id", "label", *STATISTICS).select("label", *STATISTICS),
         "sample",
     )
     seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     good, bad = seen.get(1.0, 0), seen.get(0.0, 0)
     if not good or not bad:
         return QualityModel(math.log((good + 1) / (bad + 1)), ())
-    rows = sample.select("label", array_to_vector("_stats").alias("features"))
+    rows = sample.select("label", array_to_vector(F.array(*STATISTICS)).alias("features"))
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=4, maxBins=64).fit(rows)
     rules = sorted(set().union(*(tree_rules(t.toDebugString) for t in trees.trees)))
     if not rules:
         return QualityModel(math.log((good + 1) / (bad + 1)), ())
-    hits = F.array(*(F.expr(f"if({Rule(r, 0).sql('_stats')}, 1D, 0D)") for r in rules))
-    binary = scratch.save(sample.select("label", hits.alias("hits")), "rules").select("label", array_to_vector("hits").alias("features"))
+    hits = scratch.save(sample.mapInArrow(_hits(rules), "label double, hits array<double>"), "rules")
+    binary = hits.select("label", array_to_vector("hits").alias("features"))
     lasso = LogisticRegression(
         featuresCol="features", labelCol="label", elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=60
     ).fit(binary)
@@ -179,7 +197,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     model = fit_quality(docs, labels)
-    stats = with_statistics(docs.select(F.col("doc_id").cast("bigint"), "text"), ["doc_id"]).select("row.doc_id", "_stats")
+    stats = with_statistics(docs.select(F.col("doc_id").cast("bigint"), "text"), ["doc_id"]).select("row.doc_id", *STATISTICS)
     return stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
     )

@@ -330,7 +330,7 @@ def test_rules_compiled(spark, docs):
     rules = (op4_quality.Rule(((0, True, 1.5), (2, False, 0.25)), 0.75), op4_quality.Rule(((9, False, 0.5),), -1.25))
     model = op4_quality.QualityModel(0.3, rules)
     for r in op4_quality.with_statistics(docs, ["doc_id"]).withColumn("score", model.score()).collect():
-        z = 0.3 + sum(rule.weight for rule in rules if all((r["_stats"][k] > b) == above for k, above, b in rule.parts))
+        z = 0.3 + sum(rule.weight for rule in rules if all((r[op4_quality.STATISTICS[k]] > b) == above for k, above, b in rule.parts))
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)))
 
 
