@@ -7,9 +7,9 @@ Pairs come in waves. Each pairs every class with one centre of its keys in anoth
 first the class that shares the most keys, as an original does with its copies, then one by
 hash. Once those links are verified and merged into components, only pairs of a key that lie in
 two components can still change anything. When these are few for the rows of their keys, all of
-them are verified, each made at the first keys that it shares and not at all of them, and only
-where the parities of the two sets do not rule the link out: sets differ in no fewer shingles
-than their parity bits differ, so that test is exact.
+them are verified, each made at the first keys that it shares and not at all of them. No pair is
+made where the parities of the two sets rule the link out: sets differ in no fewer shingles than
+their parity bits differ, so that test is exact.
 A group of many alike classes thus costs its size, and no link between components is lost.
 """
 
@@ -127,7 +127,7 @@ def class_sets(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBat
 
 #: Waves at most, and how many pairs for each row of the keys are few enough to end them.
 WAVES, FEW = 6, 2
-#: A wave after the first is worth its while if one in so many of its pairs links.
+#: A wave after the first is worth its while if more than one in so many of its pairs links.
 WORTH = 4
 #: Keys before one, in the order of a class, that are asked whether a pair met there already.
 BEFORE = 6
@@ -151,22 +151,6 @@ def _few(rows: DataFrame) -> bool:
     return (total["pairs"] or 0) <= FEW * (total["rows"] or 0)
 
 
-def _centred(rows: DataFrame, wave: int, may_link: str) -> DataFrame:
-    """(a, b): each class with the centre that it meets most, of the centres of its keys that are in another component."""
-    if wave:
-        ranked = rows.withColumn("rank", F.xxhash64(F.lit(wave), "component", "class"))
-    else:
-        shared = rows.groupBy("class").agg((-F.count("*")).alias("rank"))
-        ranked = rows.join(shared, "class")
-    centre = ranked.groupBy("key").agg(F.min(F.struct("rank", "class", "place", "component")).alias("c"))
-    met = (
-        rows.join(centre, "key").filter(f"component <> c.component AND {may_link.format('place', 'c.place')}")
-        .select("class", F.col("c.class").alias("other")).groupBy("class", "other").count()
-    )
-    top = met.groupBy("class").agg(F.max(F.struct("count", "other")).alias("best"))
-    return top.select(F.col("class").alias("a"), F.col("best.other").alias("b"))
-
-
 #: Words of 64 parity bits of a set.
 PARITY = 8
 
@@ -186,6 +170,30 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(np.diff(ends).astype(np.int64)), odd], ["class", "n", "odd"])
 
 
+def _near(one: str, two: str, percent: int) -> str:
+    """SQL: can sets with these suffixes of n and odd link?"""
+    apart = " + ".join(f"bit_count(odd_{one}[{k}] ^ odd_{two}[{k}])" for k in range(PARITY))
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * (n_{one} + n_{two})"
+
+
+def _centred(rows: DataFrame, wave: int, may_link: str, parities: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the centre that it meets most, of the centres of its keys that are in another component and may link with it."""
+    if wave:
+        ranked = rows.withColumn("rank", F.xxhash64(F.lit(wave), "component", "class"))
+    else:
+        shared = rows.groupBy("class").agg((-F.count("*")).alias("rank"))
+        ranked = rows.join(shared, "class")
+    centre = ranked.groupBy("key").agg(F.min(F.struct("rank", "class", "place", "component")).alias("c"))
+    met = (
+        rows.join(centre, "key").filter(f"component <> c.component AND {may_link.format('place', 'c.place')}")
+        .select("class", F.col("c.class").alias("other")).groupBy("class", "other").count()
+    )
+    side = lambda key, name: parities.select(F.col("class").alias(key), F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}"))
+    able = met.join(side("other", "b"), "other").join(side("class", "a"), "class").filter(_near("a", "b", percent))
+    top = able.groupBy("class").agg(F.max(F.struct("count", "other")).alias("best"))
+    return top.select(F.col("class").alias("a"), F.col("best.other").alias("b"))
+
+
 def _across(rows: DataFrame, may_link: str, parities: DataFrame, percent: int) -> DataFrame:
     """(a, b) of all pairs that share a key, lie in two components and may link by the parities of their sets.
 
@@ -199,8 +207,7 @@ def _across(rows: DataFrame, may_link: str, parities: DataFrame, percent: int) -
         return seen.select("key", F.col("class").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("place", "component", "seen", "n", "odd")))
 
     again = "coalesce(arrays_overlap(seen_a, seen_b), false)"
-    apart = " + ".join(f"bit_count(odd_a[{k}] ^ odd_b[{k}])" for k in range(PARITY))
-    near = f"{100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b)"
+    near = _near("a", "b", percent)
     met = side("a").join(side("b"), "key").filter(
         f"a < b AND component_a <> component_b AND {may_link.format('place_a', 'place_b')} AND {near} AND NOT {again}"
     )
@@ -235,11 +242,12 @@ def link_classes(lists: DataFrame, sets: DataFrame, percent: int, may_link: str
 
     rows = _open(lists.select("key", "class", "place", F.col("class").alias("component")), None)
     scratch.drop(lists)
+    parities = scratch.save(sets.mapInArrow(_parities, "class bigint, n bigint, odd array<bigint>"), "parities")
     for wave in range(WAVES):
         if _few(rows):
             break
-        pairs = scratch.save(_centred(rows, wave, may_link), "stars")
-        chosen = some_sets(pairs) if wave else sets
+        pairs = scratch.save(_centred(rows, wave, may_link, parities, percent), "stars")
+        chosen = some_sets(pairs)
         links = scratch.save(verified_jaccard(pairs, chosen, percent), "links")
         merged, asked = links.count(), pairs.count()
         if merged:
@@ -247,12 +255,9 @@ def link_classes(lists: DataFrame, sets: DataFrame, percent: int, may_link: str
             rows = _open(rows, moved)
         scratch.drop(pairs)
         scratch.drop(links)
-        if wave:
-            scratch.drop(chosen)
-            if merged * WORTH < asked:
-                break  # what is left does not link, or by few pairs only
-    left = rows.select("class").distinct()
-    parities = scratch.save(sets.join(left, "class", "left_semi").mapInArrow(_parities, "class bigint, n bigint, odd array<bigint>"), "parities")
+        scratch.drop(chosen)
+        if wave and merged * WORTH <= asked:
+            break  # what is left does not link, or by few pairs only
     across = scratch.save(_across(rows, may_link, parities, percent), "across")
     if not across.isEmpty():
         links = scratch.save(verified_jaccard(across, some_sets(across), percent), "links")

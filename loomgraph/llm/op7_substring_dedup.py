@@ -265,8 +265,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "kept",
     )
     where = scratch.save(clusters.join(kept, "cluster").select("unit", "kept_doc_id"), "where")
+    placed = units.select("doc_id", "unit", "start", "stop", "place", "words")
     whole = (
-        units.select("doc_id", "unit", "start", "stop", "place", "words").join(where, "unit")
+        semi_join(placed, where, "unit").join(where, "unit")
         .filter("doc_id > kept_doc_id").select("doc_id", "start", "stop", "place", "words", "kept_doc_id")
     )
     return _spans(whole.unionAll(_shared_runs(docs, spread)))
