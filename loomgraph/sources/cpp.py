@@ -18,6 +18,7 @@ from .workspace import _parsed
 SUFFIXES = (".cpp", ".cxx", ".cc", ".hpp", ".h")
 _TOKEN = re.compile(r'R"(?P<mark>[^(\s]*)\((?P<raw>.*?)\)(?P=mark)"|"(?P<text>(?:[^"\\\n]|\\.)*)"|\'(?:[^\'\\\n]|\\.)+\'|//[^\n]*|/\*.*?\*/', re.S)
 _CLASS = re.compile(r"\bclass\s+(?:[A-Z_]+\s+)?(\w+)\s*(?:final\s*)?:([^;{]*)\{")
+#: Base classes of components.
 _BASES = {"rclcpp::Node", "rclcpp::LifecycleNode", "rclcpp_lifecycle::LifecycleNode", "rclcpp_lifecycle::Node"}
 _QUALIFIED = re.compile(r"\w+(?:\s*::\s*\w+)*")
 _CALL = re.compile(r"(?:\brclcpp_action::(?P<free>create_server|create_client)|\b(?P<member>create_\w+))\s*(?=[<(])")

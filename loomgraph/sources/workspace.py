@@ -233,6 +233,8 @@ def fingerprints_of(texts: DataFrame) -> DataFrame:
     return each.groupBy("package").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
 
 
+#: Suffixes of parsed files, base classes of components, and the calls that declare endpoints:
+#: (role, place of the name, place of the type, keywords of the name).
 PARSED = (".py", ".cpp", ".cxx", ".cc", ".hpp", ".h", ".msg", ".srv", ".action", ".xml", ".yaml", ".yml")
 _BASES = ("Node", "rclpy.node.Node", "LifecycleNode", "rclpy_lifecycle.LifecycleNode")
 _CALLS = {
