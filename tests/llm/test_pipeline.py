@@ -116,3 +116,27 @@ def test_clashing_columns(spark, sf_dir):
     assert corpus_pipeline.mixture(spark, docs, sf_dir).count() == 5
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_shared_keys_in_any_batches(monkeypatch):
+    """The scan of sorted keys gives the same rows however they are cut into batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "MOST", 5)
+    rng = random.Random(6)
+    for _ in range(60):
+        rows = sorted((rng.randrange(6) if rng.random() < 0.7 else rng.randrange(1000), rng.randrange(9)) for _ in range(rng.randrange(0, 120)))
+        hot = {k: rng.choice([0, 0, 0, 3]) for k, _ in rows}
+        of = {}
+        for k, c in rows:
+            of.setdefault(k, set()).add(c)
+        want = sorted((k, c, 10 * c, 5 + hot[k] if hot[k] else min(5, len(of[k]))) for k in of for c in of[k] if len(of[k]) > 1 or hot[k])
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(0, 12)))
+        batches = []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            part = rows[a:b]
+            cols = [[k for k, _ in part], [c for _, c in part], [10 * c for _, c in part]]
+            batches.append(pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array([hot[k] for k, _ in part], pa.int32())], ["key", "class", "place", "hot"]))
+        got = [tuple(r.values()) for batch in blocks._shared(iter(batches)) for r in batch.to_pylist()]
+        assert sorted(got) == want and np.all(np.diff([g[0] for g in got]) >= 0)
