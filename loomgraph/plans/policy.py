@@ -36,6 +36,7 @@ def _license(m: Model, r: dict) -> DataFrame:
     return rules.license_rule(m.packages, r.get("allowed", []), _level(r, "severity", "error"))
 
 
+#: Default patterns and severities of the naming rule.
 _SNAKE, _PATH = r"^[a-z][a-z0-9_]*$", r"^/?[a-z][a-z0-9_/]*$"
 _SECTIONS = {"packages": ("Package", _SNAKE, "warning"), "nodes": ("Node", _SNAKE, "warning"), "topics": ("Topic", _PATH, "info"), "services": ("Service", _PATH, "info")}
 
