@@ -27,10 +27,15 @@ BATCH_ROWS = 2500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before))))
     try:
