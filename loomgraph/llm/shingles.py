@@ -79,36 +79,36 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     pa.default_memory_pool().release_unused()
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of each word, and the word range of each text as offsets.
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte) of each word, and the word range of each text as offsets. space: which bytes end a word.
 
     One long text is taken in pieces that end at a space, so that only its words are held at once.
     """
     if len(data) <= 2 * SLICE_BYTES or len(offsets) != 2:
-        return _words(data, offsets)
+        return _words(data, offsets, space)
     parts, at, n = [], 0, len(data)
     while at < n:
         end = min(n, at + SLICE_BYTES)
         while end < n:  # on to the next space, however long the word is
-            gap = np.flatnonzero(_SPACE[data[end : end + SLICE_BYTES]])
+            gap = np.flatnonzero(space[data[end : end + SLICE_BYTES]])
             if len(gap):
                 end += int(gap[0])
                 break
             end = min(n, end + SLICE_BYTES)
-        word, first, stop, _ = _words(data[at:end], np.array([0, end - at]))
+        word, first, stop, _ = _words(data[at:end], np.array([0, end - at]), space)
         parts.append((word, first + at, stop + at))
         at = end
     word, first, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
     return word, first, stop, np.array([0, len(word)])
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
     _grow(n)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
