@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     op1_chat, op2_pii, op3_url_filter, op4_quality, op5_token_counts, op6_fingerprints, op7_substring_dedup, op8_decontamination,
-    op9_jaccard_join, op10_mixing,
+    op9_jaccard_join, op10_mixing, op11_hard_negatives, op12_collocations, op13_secrets,
 )
 
 
@@ -60,6 +61,20 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return op11_hard_negatives.hard_negatives(vectors.select("vec_id", moved.alias("label"), "embedding"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_secrets.secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_pii_spans, op3_url_filter_verdicts, op4_quality_scores, op5_token_count, op6_fingerprint,
-        op7_substring_dedup_spans, op8_decontamination_hits, op9_ngram_jaccard, op10_mixture, pipeline,
+        op7_substring_dedup_spans, op8_decontamination_hits, op9_ngram_jaccard, op10_mixture, op11_hard_negatives_mined,
+        op12_phrase_collocations, op13_secret_spans, pipeline,
     )
 }
 
@@ -121,4 +137,35 @@ e AS (
   GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT s.doc_id, any_value(len(s.sh))::BIGINT AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id""",
+    "op11_hard_negatives_mined": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS u
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.u, b.u)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) <= 3""",
+    "op12_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece
+  FROM documents),
+ws AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS g FROM ws, range(1, 5) t(m)),
+f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM ws GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM f WHERE f >= 30 AND len(g) > 1),
+cuts AS (SELECT c.*, unnest(range(1, len(g))) AS k FROM c),
+s AS (
+  SELECT cuts.lang, cuts.g, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1:k] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[k + 1:]),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+subs AS (SELECT lang, a AS longer, len(g) AS size, unnest(flatten(list_transform(range(2, len(g)), lambda m: list_transform(range(1, len(g) - m + 2), lambda i: g[i:i + m - 1])))) AS g FROM c),
+most AS (SELECT lang, g, max(longer) AS most FROM subs GROUP BY lang, g),
+kept AS (SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN most USING (lang, g) WHERE coalesce(100::HUGEINT * most.most < 80::HUGEINT * a, true))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
