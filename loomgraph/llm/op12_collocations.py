@@ -5,11 +5,11 @@ window of LONGEST words, padded where the piece ends, and only these windows are
 (lang, w1, ..., w4) sums them to the counts of all shorter prefixes, which are the counts of all shorter phrases, and at the level of
 the language to the number of words. No n-grams of other lengths are made.
 
-A window ends, too, before a pair of words that occurs less than `least` times: no phrase that counts goes on there, so
+A window ends, too, before a run of two or three words that occurs less than `least` times: no phrase that counts goes on there, so
 the counts of all phrases that occur `least` times stay exact, and what is shuffled shrinks to the windows that can matter. Such
-pairs and words are told by exact sums of 64-bit hashes; hashes that agree only add up, so nothing frequent is lost. A
-bitmap of at most MOST_BITS bits of the frequent ones is broadcast; where it fills up at large scale, fewer windows
-are cut short and results are the same.
+runs and rare words are told by sums over keys of KEY_BITS bits, first of words and pairs, then of the triples of two frequent
+pairs; keys that agree only add up, so nothing frequent is lost. Bitmaps of at most MOST_BITS bits of the frequent ones are
+broadcast; where they fill up at large scale, fewer windows are cut short and results are the same.
 
 Null texts are empty; a null lang is `und`; documents without an id, repeated documents and texts of any length count like all others; other columns are
 ignored. An empty table gives no rows.
@@ -18,7 +18,7 @@ ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,9 @@ from . import scratch
 from .shingles import mix, text_slices, words
 
 LONGEST = 4
-#: Bits of the bitmap of frequent words and pairs: sixteen for each of them, within these bounds; at most 16 MB.
+#: Bits of the key of a run of words.
+KEY_BITS = 36
+#: Bits of a bitmap of frequent runs: 64 for each of them, within these bounds; at most 16 MB.
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Parts of a language that rank their phrases on their own before the best of all are ranked.
 PARTS = 64
@@ -38,6 +40,7 @@ _GAP[[*b" \t.,;:!?\n\v\f\r"]] = True
 _CUT = _GAP.copy()
 _CUT[[32, 9]] = False
 _W = [f"w{k + 1}" for k in range(LONGEST)]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "lang string, rank int, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
 
 
@@ -48,7 +51,6 @@ class _Slice:
         self.data = data
         word, self.first, self.end, spans = words(data, offsets, _GAP)
         self.lang = np.repeat(langs, np.diff(spans))
-        self.hash = mix(word ^ seeds[self.lang])
         n = len(word)
         self.next = np.zeros(n, dtype=bool)
         if n > 1:
@@ -56,9 +58,11 @@ class _Slice:
             apart = np.searchsorted(cuts, self.first[1:]) > np.searchsorted(cuts, self.end[:-1])
             self.next[:-1] = ~apart
             self.next[spans[1:-1][(spans[1:-1] > 0) & (spans[1:-1] < n)] - 1] = False
-        self.pair = np.zeros(n, np.uint64)
-        if n > 1:
-            self.pair[:-1] = mix(self.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hash[1:])
+        # keys of the runs of one to three words from each word on; next says which of them lie in a piece
+        one = mix(word ^ seeds[self.lang])
+        two = mix(one * _STEP + np.append(one[1:], one[:1]))
+        three = mix(two * _STEP + np.append(one[2:], one[:2]))
+        self.keys = [x >> np.uint64(64 - KEY_BITS) for x in (one, two, three)]
 
     def texts(self, at: np.ndarray) -> pa.Array:
         """Words, lower-cased, as an Arrow column; -1 gives the empty word."""
@@ -83,19 +87,33 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Slice, list[st
             yield _Slice(data, offsets, codes[at:end], seeds), names
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, n) of the words, and of the pairs of words inside a piece, of each slice."""
+def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+    seen, n = np.unique(np.concatenate(parts), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+
+def _short_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of the words, and of the pairs of words inside a piece, of each slice."""
     for part, _ in _slices(batches):
-        seen, n = np.unique(np.concatenate([part.hash, part.pair[part.next]]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+        yield _counted([part.keys[0], part.keys[1][part.next]])
+
+
+def _triples(sent) -> Callable:
+    """(key, n) of the triples of two frequent pairs of each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _ in _slices(batches):
+            pair = part.next & _marked(sent.value, part.keys[1])
+            yield _counted([part.keys[2][pair & np.append(pair[1:], np.zeros(min(1, len(pair)), bool))]])
+
+    return run
 
 
-def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
-    """A bitmap in which all words and pairs that occur `least` times are marked, as 64-bit words of a power of two in number."""
-    counted = texts.mapInArrow(_hashes, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    found = scratch.save(counted.filter(F.col("n") >= least).select("hash"), "frequent")
-    size = max(FEWEST_BITS, min(MOST_BITS, 1 << (max(1, 16 * found.count()) - 1).bit_length()))
-    bit = F.col("hash").bitwiseAND(size - 1)
+def frequent_bits(counted: DataFrame, least: int) -> np.ndarray:
+    """A bitmap, of a power of two of 64-bit words, in which the keys with a sum of `least` or more are marked. counted: (key, n)."""
+    found = scratch.save(counted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
+    size = max(FEWEST_BITS, min(MOST_BITS, 1 << (max(1, 64 * found.count()) - 1).bit_length()))
+    bit = F.col("key").bitwiseAND(size - 1)
     packed = found.select(F.shiftright(bit, 6).alias("word"), F.expr("1L").alias("one"), bit.bitwiseAND(63).cast("int").alias("at"))
     rows = packed.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, at)")).alias("bits")).toArrow()  # bounded by MOST_BITS
     out = np.zeros(size // 64, np.int64)
@@ -104,29 +122,32 @@ def frequent_bits(texts: DataFrame, least: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(64 * len(bits) - 1)
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(64 * len(bits) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _windows(sent) -> object:
+def _windows(short, triples) -> Callable:
     """(lang, w1, ..., w4, n): the windows that words lead, each as often as a slice has it; a word that is rare leads an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for part, names in _slices(batches):
-            n = len(part.hash)
+            n = len(part.next)
             if not n:
                 continue
-            on = np.append(part.next & _marked(bits, part.pair), np.zeros(LONGEST, bool))
+            pad = np.zeros(LONGEST, bool)
+            pair = np.append(part.next & _marked(short.value, part.keys[1]), pad)
+            triple = np.append(_marked(triples.value, part.keys[2]), pad)
             # the words of a slice by number: equal texts, equal numbers
             code = part.texts(np.arange(n)).dictionary_encode().indices.to_numpy().astype(np.int64)
             lead = np.arange(n)
             at = np.full((LONGEST, n), -1)
-            goes = _marked(bits, part.hash)
+            goes = _marked(short.value, part.keys[0])
             for k in range(LONGEST):
                 at[k, goes] = lead[goes] + k
-                goes = goes & on[lead + k]
+                goes = goes & pair[lead + k]
+                if k:
+                    goes &= triple[lead + k - 1]
             key = np.where(at >= 0, code[np.maximum(at, 0)], -1)
             order = np.lexsort((*key[::-1], part.lang))
             sorted_keys = np.vstack([part.lang[order][None], key[:, order]])
@@ -146,9 +167,11 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    sent = spark.sparkContext.broadcast(frequent_bits(texts, least))
+    send, keyed = spark.sparkContext.broadcast, "key bigint, n bigint"
+    short = send(frequent_bits(texts.mapInArrow(_short_runs, keyed), least))
+    triples = send(frequent_bits(texts.mapInArrow(_triples(short), keyed), least))
     schema = f"lang string, {', '.join(f'{w} string' for w in _W)}, n bigint"
-    windows = texts.mapInArrow(_windows(sent), schema).groupBy("lang", *_W).agg(F.sum("n").alias("n"))
+    windows = texts.mapInArrow(_windows(short, triples), schema).groupBy("lang", *_W).agg(F.sum("n").alias("n"))
     # a null is a word that ROLLUP has summed over, an empty one is padding; what ends in padding is counted as a shorter prefix
     whole = F.lit(True)
     for w in _W:
@@ -156,7 +179,8 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     summed = windows.rollup("lang", *_W).agg(F.sum("n").alias("f")).filter(F.col("lang").isNotNull() & whole)
     kept = summed.filter((F.col("f") >= least) | F.col("w1").isNull())
     out = scratch.save(kept.select("lang", F.array_compact(F.array(*_W)).alias("words"), "f"), "phrases")
-    sent.unpersist()
+    short.unpersist()
+    triples.unpersist()
     return out
 
 
