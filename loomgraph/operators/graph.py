@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import UNKNOWN, short_label
 from ..shared import drop, save
+from .reach import strong_components
 
 #: role: (relation, kind of the vertex it points at, prefix of its id)
 ROLES = {
@@ -161,23 +162,8 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    return closure(edges).filter("src = dst").select(F.col("src").alias("id"))
-
-
-def simple_cycles(edges: DataFrame, longest: int = 50) -> DataFrame:
-    """(cycle): every simple cycle once, from its least member on, as an array; longer ones than `longest` raise an error."""
-    steps = save(edges.select("src", "dst").distinct(), "graph")
-    found = steps.filter("src = dst").select(F.array("src").alias("cycle"))
-    paths = save(steps.filter("dst > src").select(F.array("src", "dst").alias("path")), "graph")
-    for _ in range(longest):
-        if paths.isEmpty():
-            return found
-        ends = paths.withColumn("src", F.element_at("path", -1)).join(steps, "src")
-        found = found.unionAll(ends.filter("dst = path[0]").select(F.col("path").alias("cycle")))
-        paths = save(ends.filter("dst > path[0] AND NOT array_contains(path, dst)").select(F.array_append("path", F.col("dst")).alias("path")), "graph")
-    if not paths.isEmpty():
-        raise ValueError(f"a path is longer than {longest}")
-    return found
+    """(id) of the vertices on a cycle."""
+    return strong_components(edges).select("id")
 
 
 MERMAID_SHAPES = {"Package": ('["', '"]'), "Topic": ('(["', '"])'), "Service": ('{{"', '"}}'), "Action": ('>"', '"]'), "Node": ('("', '")'), "Interface": ('[/"', '"/]')}

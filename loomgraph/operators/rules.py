@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import has_email
-from .graph import closure, components, lacking, simple_cycles
+from .graph import components, lacking
 from .health import workspace_score
+from .reach import reachable, simple_cycles
 
 SYSTEM_TOPICS = ("/rosout", "/parameter_events", "/tf", "/tf_static", "/clock")
 
@@ -92,23 +93,24 @@ def no_circular_deps(deps: DataFrame, level: str = "error") -> DataFrame:
     return _violations(named, level, "no_circular_deps", "name", F.concat(F.lit("Dependency cycle: "), F.array_join("cycle", " > ")))
 
 
-def _reach(deps: DataFrame, packages: DataFrame) -> DataFrame:
-    own = packages.select(F.col("name").alias("src"), F.col("name").alias("dst"))
-    return closure(deps).unionAll(own).distinct()
+def _reached(deps: DataFrame, packages: DataFrame, listed: DataFrame) -> DataFrame:
+    """The listed pairs (src, dst) with a path of any number of steps, none included for a known package."""
+    own = listed.filter("src = dst").join(packages.select(F.col("name").alias("src")), "src", "left_semi")
+    return reachable(deps, listed.filter("src <> dst")).unionAll(own)
 
 
 def dependency_forbidden(deps: DataFrame, packages: DataFrame, pairs: Sequence[tuple[str, str]], level: str = "error") -> DataFrame:
     """Pairs (from, to) where to is reachable, over any number of steps, none included."""
-    listed = F.broadcast(packages.sparkSession.createDataFrame(list(pairs), "src string, dst string"))
-    hit = listed.join(_reach(deps, packages), ["src", "dst"], "left_semi")
+    listed = packages.sparkSession.createDataFrame(list(pairs), "src string, dst string")
+    hit = listed.join(_reached(deps, packages, listed), ["src", "dst"], "left_semi")
     return _violations(hit, level, "dependency", "src", F.concat(F.lit("'"), "src", F.lit("' must not depend on '"), "dst", F.lit("'")))
 
 
 def dependency_required(deps: DataFrame, packages: DataFrame, pairs: Sequence[tuple[str, str]], level: str = "warning") -> DataFrame:
     """Pairs (package, depends_on) of a known package whose target is not reachable."""
-    listed = F.broadcast(packages.sparkSession.createDataFrame(list(pairs), "src string, dst string"))
+    listed = packages.sparkSession.createDataFrame(list(pairs), "src string, dst string")
     known = listed.join(packages.select(F.col("name").alias("src")), "src", "left_semi")
-    hit = known.join(_reach(deps, packages), ["src", "dst"], "left_anti")
+    hit = known.join(_reached(deps, packages, listed), ["src", "dst"], "left_anti")
     return _violations(hit, level, "dependency", "src", F.concat(F.lit("'"), "src", F.lit("' must depend on '"), "dst", F.lit("'")))
 
 

@@ -19,8 +19,21 @@ JOIN {supplier} s ON l.l_suppkey = s.s_suppkey GROUP BY s.s_nationkey, c.c_natio
 
 _DEPS = f"SELECT src, dst FROM ({_PAIRS}) p"
 
-# Cycles are enumerated over each nation's two strongest edges: over all pairs there are more simple cycles than atoms.
-_STRONG = f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY q DESC, dst) AS r FROM ({_PAIRS}) p) y WHERE r <= 2"
+# Every document depends on the one of half its number, and on two of its eight neighbours that its length picks: paths are long, and cycles are local.
+_NUMBER = "concat('doc_', lpad(cast({n} AS STRING), 9, '0'))"
+_CHAIN = " UNION ALL ".join(
+    f"SELECT {_NUMBER.format(n='doc_id')} AS src, {_NUMBER.format(n=to)} AS dst FROM {{documents}}"
+    for to in (
+        "cast(floor(doc_id / 2) AS BIGINT)", "doc_id - doc_id % 8 + (doc_id + 1 + n_chars % 7) % 8", "doc_id - doc_id % 8 + (doc_id + cast(floor(n_chars / 5) AS BIGINT)) % 8",
+    )
+)
+
+# Of each document it is asked whether it depends on the one of a 256th of its number, and on the third one behind it.
+_ASKED = " UNION ALL ".join(
+    f"SELECT {_NUMBER.format(n='doc_id')} AS src, {_NUMBER.format(n=to)} AS dst FROM {{documents}}" for to in ("cast(floor(doc_id / 256) AS BIGINT)", "doc_id + 3")
+)
+
+_NUMBERED = f"SELECT {_NUMBER.format(n='doc_id')} AS name, cast(n_chars % 101 AS INT) AS score FROM {{documents}}"
 
 _SIGNALS = """
 SELECT source AS name, bool_or(length(text) > 5) AS has_description, bool_or(text LIKE '%icensed under%') AS has_license,
@@ -49,7 +62,7 @@ SELECT s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 'ament_cmake' WHEN 1 THEN
   CASE WHEN s_suppkey % 3 > 0 THEN cast(s_suppkey % 101 AS INT) END AS health_score, concat('1.', s_suppkey % 12, '.0') AS version,
   concat('person ', s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE ' <p@x.org>' END) AS maintainer, concat('pkg_', s_suppkey % 60) AS short_name FROM {supplier}"""
 
-SQL = {"launch": _LAUNCH, "components": _COMPONENTS, "builds": _BUILDS, "endpoints": _ENDPOINTS, "deps": _DEPS, "strong_deps": _STRONG, "signals": _SIGNALS, "packages": _PACKAGES, "interfaces": _INTERFACES}
+SQL = {"launch": _LAUNCH, "components": _COMPONENTS, "builds": _BUILDS, "endpoints": _ENDPOINTS, "deps": _DEPS, "chain": _CHAIN, "asked": _ASKED, "numbered": _NUMBERED, "signals": _SIGNALS, "packages": _PACKAGES, "interfaces": _INTERFACES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import assembly, graph, health, packages, rules
+from ..operators import assembly, graph, health, packages, reach, rules
 from .bridge import oracle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def _query(sql: str):
     return add
 
 
-E, D, P, S, I, T = (oracle(n) for n in ("endpoints", "deps", "packages", "signals", "interfaces", "strong_deps"))
+E, D, P, S, I, T, A, N = (oracle(n) for n in ("endpoints", "deps", "packages", "signals", "interfaces", "chain", "asked", "numbered"))
 _REL = "CASE role WHEN 'serves' THEN 'provides' WHEN 'requests' THEN 'calls' ELSE role END"
 _TOPIC, _SERVICE = "role IN ('publishes', 'subscribes')", "role IN ('provides', 'calls')"
 _ID = f"CASE WHEN {_TOPIC} THEN concat('topic:', name) ELSE concat('svc:', name) END"
@@ -124,11 +124,26 @@ def cyclic_members(spark, d):
     return graph.cyclic(table(spark, d, "deps"))
 
 
-@_query(f"""WITH RECURSIVE p AS (SELECT [src] AS path, dst FROM {T} UNION ALL
-  SELECT list_append(p.path, p.dst), d.dst FROM p JOIN {T} d ON d.src = p.dst WHERE p.dst > p.path[1] AND NOT list_contains(p.path, p.dst))
-SELECT array_to_string(path, ' > ') AS cycle FROM p WHERE dst = path[1]""")
+_CHAIN = f"WITH RECURSIVE d AS (SELECT DISTINCT src, dst FROM {T}), c AS (SELECT src, dst FROM d UNION SELECT c.src, d.dst FROM c JOIN d ON c.dst = d.src)"
+
+
+@_query(f"{_CHAIN} SELECT DISTINCT src, dst FROM {A} JOIN c USING (src, dst)")
+def reachable_pairs(spark, d):
+    return reach.reachable(table(spark, d, "chain"), table(spark, d, "asked"))
+
+
+@_query(f"{_CHAIN} SELECT x.src AS id, min(x.dst) AS component FROM c x JOIN c y ON y.src = x.dst AND y.dst = x.src GROUP BY x.src")
+def strong_components(spark, d):
+    return reach.strong_components(table(spark, d, "chain"))
+
+
+_CYCLES = f"""WITH RECURSIVE d AS (SELECT DISTINCT src, dst FROM {T}), p AS (SELECT [src] AS path, dst FROM d UNION ALL
+  SELECT list_append(p.path, p.dst), d.dst FROM p JOIN d ON d.src = p.dst WHERE p.dst > p.path[1] AND NOT list_contains(p.path, p.dst))"""
+
+
+@_query(f"{_CYCLES} SELECT array_to_string(path, ' > ') AS cycle FROM p WHERE dst = path[1]")
 def simple_cycles(spark, d):
-    return graph.simple_cycles(table(spark, d, "strong_deps")).select(F.array_join("cycle", " > ").alias("cycle"))
+    return reach.simple_cycles(table(spark, d, "chain")).select(F.array_join("cycle", " > ").alias("cycle"))
 
 
 _TOPIC_RULE = f"""(SELECT 'warning' AS severity, 'topic_connectivity' AS rule_type, name AS entity, concat('Topic ''', name, ''' has no publisher; subscribers: ', subscribes) AS message
@@ -192,6 +207,20 @@ def rule_dependency_required(spark, d):
     return rules.dependency_required(table(spark, d, "deps"), table(spark, d, "packages"), _PAIRS)
 
 
+_FAR = [(f"doc_{a:09d}", f"doc_{b:09d}") for a, b in ((990, 1), (900, 3), (150, 1), (7, 900), (5, 5), (999_999_999, 1), (600, 601))]
+_FAR_SQL = f"(SELECT * FROM (VALUES {', '.join(map(str, _FAR))}) t(src, dst))"
+
+
+@_query(f"""{_CHAIN}, r AS (SELECT src, dst FROM c UNION SELECT name, name FROM {N})
+SELECT 'error' AS severity, 'dependency' AS rule_type, f.src AS entity, concat('''', f.src, ''' must not depend on ''', f.dst, '''') AS message
+FROM {_FAR_SQL} f JOIN r ON r.src = f.src AND r.dst = f.dst
+UNION ALL SELECT 'warning', 'dependency', f.src, concat('''', f.src, ''' must depend on ''', f.dst, '''')
+FROM {_FAR_SQL} f WHERE f.src IN (SELECT name FROM {N}) AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = f.src AND r.dst = f.dst)""")
+def rule_dependency_chain(spark, d):
+    deps, known = table(spark, d, "chain"), table(spark, d, "numbered")
+    return rules.dependency_forbidden(deps, known, _FAR).unionByName(rules.dependency_required(deps, known, _FAR))
+
+
 _SCORE = "least(100, 10 + " + " + ".join(f"CASE WHEN {n} THEN {w} ELSE 0 END" for n, w in health.WEIGHTS.items() if n != "no_circular_deps") + ")"
 
 
@@ -360,11 +389,9 @@ def rule_maintainer(spark, d):
     return rules.maintainer_required(table(spark, d, "builds").withColumn("maintainers", F.array("maintainer")), True)
 
 
-@_query(f"""WITH RECURSIVE p AS (SELECT [src] AS path, dst FROM {T} UNION ALL
-  SELECT list_append(p.path, p.dst), d.dst FROM p JOIN {T} d ON d.src = p.dst WHERE p.dst > p.path[1] AND NOT list_contains(p.path, p.dst))
-SELECT 'error' AS severity, 'no_circular_deps' AS rule_type, path[1] AS entity, concat('Dependency cycle: ', array_to_string(path, ' > ')) AS message FROM p WHERE dst = path[1]""")
+@_query(f"""{_CYCLES} SELECT 'error' AS severity, 'no_circular_deps' AS rule_type, path[1] AS entity, concat('Dependency cycle: ', array_to_string(path, ' > ')) AS message FROM p WHERE dst = path[1]""")
 def rule_no_circular(spark, d):
-    return rules.no_circular_deps(table(spark, d, "strong_deps"))
+    return rules.no_circular_deps(table(spark, d, "chain"))
 
 
 @_query(f"SELECT name, package_type, health_score FROM {B} WHERE package_type IN ('ament_cmake', 'cmake') ORDER BY coalesce(health_score, 0) DESC, name")
@@ -411,11 +438,9 @@ def short_labels(spark, d):
     return rows.select("name", names.short_label(F.lit("Topic"), F.col("name")).alias("label"))
 
 
-@_query(f"""{_CLOSURE.replace(D, T)} SELECT name, cast(greatest(0, score - CASE WHEN name IN (SELECT src FROM c WHERE src = dst) THEN 10 ELSE 0 END) AS INTEGER) AS score
-  FROM (SELECT concat('nation_', n_nationkey) AS name, n_nationkey * 4 AS score FROM nation)""")
+@_query(f"""{_CHAIN} SELECT name, cast(greatest(0, score - CASE WHEN name IN (SELECT src FROM c WHERE src = dst) THEN 10 ELSE 0 END) AS INTEGER) AS score FROM {N}""")
 def health_with_cycles(spark, d):
-    scores = spark.read.parquet(f"{d}/nation.parquet").selectExpr("concat('nation_', n_nationkey) AS name", "n_nationkey * 4 AS score")
-    return health.deduct_cycles(scores, table(spark, d, "strong_deps"))
+    return health.deduct_cycles(table(spark, d, "numbered"), table(spark, d, "chain"))
 
 
 _KIND = f"CASE WHEN {_TOPIC} THEN 'Topic' ELSE 'Service' END"
