@@ -12,11 +12,11 @@ Each step is an equi-join or a pre-aggregated grouping; none gathers rows that a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import DYNAMIC, UNKNOWN, in_namespace, last_segment, remapped, snake_symbol
-from .graph import ROLES, node_id
+from .graph import ROLES, keyed, node_id
 
 
 class WorkspaceError(ValueError):
@@ -129,12 +129,12 @@ def model_vertices(packages: DataFrame, components: DataFrame, typed: DataFrame,
 def model_edges(deps: DataFrame, packages: DataFrame, components: DataFrame, comm: DataFrame, uses: DataFrame) -> DataFrame:
     """(src, dst, rel, key) of all seven relations. deps: (src, dst, dep_type, seq)."""
     own = packages.select(F.col("name").alias("dst"))
-    depends = numbered(
+    depends = keyed(
         deps.join(own, "dst", "left_semi").select(
             F.concat(F.lit("pkg:"), "src").alias("src"), F.concat(F.lit("pkg:"), "dst").alias("dst"), F.lit("depends_on").alias("rel"), "seq"
         )
     )
-    defined = numbered(
+    defined = keyed(
         components.join(packages.select(F.col("name").alias("package")), "package", "left_semi")
         .select(F.concat(F.lit("node:"), "package", F.lit("/"), "name").alias("src"), F.concat(F.lit("pkg:"), "package").alias("dst"), F.lit("defined_in").alias("rel"), "seq")
     )
@@ -142,13 +142,6 @@ def model_edges(deps: DataFrame, packages: DataFrame, components: DataFrame, com
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
-def numbered(edges: DataFrame) -> DataFrame:
-    """Adds key: rel, rel#2, ... among the edges of one source, target and relation."""
-    nth = F.row_number().over(Window.partitionBy("src", "dst", "rel").orderBy("seq"))
-    key = F.when(F.col("_nth") == 1, F.col("rel")).otherwise(F.concat("rel", F.lit("#"), "_nth"))
-    return edges.withColumn("_nth", nth).select("src", "dst", "rel", key.alias("key"), "seq")
-
-
 def role_rank() -> Column:
     """The place of a role in the order in which endpoints of a component are seen."""
     order = ("publishes", "subscribes", "provides", "calls", "serves", "requests")

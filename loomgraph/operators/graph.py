@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import UNKNOWN, short_label
 from ..shared import drop, save
+from .numbering import CROWDED, chunked, numbered
 from .reach import strong_components
 
 #: role: (relation, kind of the vertex it points at, prefix of its id)
@@ -39,10 +40,13 @@ def node_id() -> Column:
 def comm_edges(endpoints: DataFrame) -> DataFrame:
     """(src, dst, rel, key, seq): parallel edges are numbered rel, rel#2, ... in the order seen."""
     edges = endpoints.select(node_id().alias("src"), F.concat(_by_role(2), "name").alias("dst"), _by_role(0).alias("rel"), "seq")
-    nth = F.row_number().over(Window.partitionBy("src", "dst", "rel").orderBy("seq"))
-    return edges.withColumn("nth", nth).select(
-        "src", "dst", "rel", F.when(F.col("nth") == 1, F.col("rel")).otherwise(F.concat("rel", F.lit("#"), "nth")).alias("key"), "seq"
-    )
+    return keyed(edges)
+
+
+def keyed(edges: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(src, dst, rel, key, seq): adds the key of edges (src, dst, rel, seq), which is rel, rel#2, ... among those of one source, target and relation."""
+    key = F.when(F.col("nth") == 1, F.col("rel")).otherwise(F.concat("rel", F.lit("#"), "nth")).alias("key")
+    return numbered(edges, ["src", "dst", "rel"], ["seq"], "nth", crowded).select("src", "dst", "rel", key, "seq")
 
 
 def comm_vertices(endpoints: DataFrame) -> DataFrame:
@@ -89,14 +93,51 @@ def peer_rows(endpoints: DataFrame) -> DataFrame:
     return endpoints.select(_by_role(1).alias("kind"), "name", _by_role(0).alias("rel"), "package", "component", "seq")
 
 
+def peer_chunks(endpoints: DataFrame, size: int = 1000, crowded: int = CROWDED) -> DataFrame:
+    """(kind, name, rel, chunk, first, components): who is at each side of each topic, service and action, in the order seen.
+
+    A list has `size` components at most and begins with the number `first` of its side; a crowded name has many lists, which
+    many tasks make.
+    """
+    rows = peer_rows(endpoints)
+    return chunked(rows, ["kind", "name", "rel"], ["seq"], F.col("component"), size, crowded).withColumnRenamed("items", "components")
+
+
+def connection_members(endpoints: DataFrame) -> DataFrame:
+    """(package, component, kind, name, role, msg_type, seq, others): each endpoint, with the number of endpoints of others that it meets.
+
+    With peer_chunks() this is the factorised form of connection_rows(): who is at a name stands once for the name, and who reads the connections
+    of a component takes the lists of its names, without its own. Both tables are of the size of the endpoints, not of their pairs.
+    At topics the others are publishers and subscribers, at services and actions callers.
+    """
+    there = peer_rows(endpoints).filter("kind = 'Topic' OR rel = 'calls'")
+    own = there.groupBy("kind", "name", "package", "component").agg(F.count("*").alias("_own"))
+    whole = own.groupBy("kind", "name").agg(F.sum("_own").alias("_all"))
+    mine = endpoints.select("package", "component", _by_role(1).alias("kind"), "name", _by_role(0).alias("role"), "msg_type", "seq")
+    joined = mine.join(whole, ["kind", "name"], "left").join(own, ["kind", "name", "package", "component"], "left")
+    others = F.coalesce("_all", F.lit(0)) - F.coalesce("_own", F.lit(0))
+    return joined.select("package", "component", "kind", "name", "role", "msg_type", "seq", others.alias("others"))
+
+
+#: Components that a finding's message names at most; peer_chunks() has all.
+NAMED = 1000
+
+
 def lacking(endpoints: DataFrame, kind: str, missing: str, there: str) -> DataFrame:
     """(name, <there>): the topics or services without a component on the missing side, and those on the other one.
 
-    Counts tell the sides. Components are listed for these names only, and not at all where nobody reads the lists.
+    Counts tell the sides. Components are listed for these names only, and not at all where nobody reads the lists. The
+    first NAMED are named and the others counted; peer_chunks() lists all of them.
     """
     mine = _of_kind(endpoints, kind)
-    names = mine.groupBy(F.col("name").alias("_name")).agg(F.count_if(F.col("rel") == missing).alias("n")).filter("n = 0").select("_name")
-    return mine.join(names, F.col("name").eqNullSafe(F.col("_name")), "left_semi").groupBy("name").agg(_side(there))
+    sides = mine.groupBy(F.col("name").alias("_name")).agg(F.count_if(F.col("rel") == missing).alias("n"), F.count("*").alias("_all"))
+    one_sided = mine.join(sides.filter("n = 0"), F.col("name").eqNullSafe(F.col("_name"))).select("name", "rel", "component", "seq", "_all")
+    # of a crowded name the first ones are ranked, which each task does for its own rows before they are sent
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("seq"))
+    first = one_sided.filter(F.col("_all") > NAMED).withColumn("_nth", rank).filter(F.col("_nth") <= NAMED).drop("_nth")
+    some = one_sided.filter(F.col("_all") <= NAMED).unionByName(first).groupBy("name", "_all").agg(_side(there))
+    more = F.when(F.col("_all") > NAMED, F.concat(F.lit(" and "), F.col("_all") - NAMED, F.lit(" more"))).otherwise("")
+    return some.select("name", F.concat(there, more).alias(there))
 
 
 def kind_summary(endpoints: DataFrame, packages: DataFrame, interfaces: DataFrame) -> DataFrame:

@@ -334,7 +334,7 @@ def subgraph_deps(spark, d):
     pkgs = table(spark, d, "packages")
     vertices = pkgs.select(F.concat(F.lit("pkg:"), "name").alias("id"), F.lit("Package").alias("kind"), "name", F.col("name").alias("package"))
     deps = table(spark, d, "deps").select(F.concat(F.lit("pkg:"), "src").alias("src"), F.concat(F.lit("pkg:"), "dst").alias("dst"), F.lit("depends_on").alias("rel"), F.lit(0).alias("seq"))
-    return graph.subgraph(vertices, assembly.numbered(deps), "deps")[1].select("src", "dst", "key")
+    return graph.subgraph(vertices, graph.keyed(deps), "deps")[1].select("src", "dst", "key")
 
 
 _NAMED = f"(SELECT DISTINCT {_NODE} AS id, component AS name, package FROM {E} UNION SELECT DISTINCT {_ID}, name, NULL FROM {E})"
@@ -477,7 +477,18 @@ def subgraph_comms(spark, d):
     return graph.subgraph(vertices, graph.comm_edges(e), "comms")[1].select("src", "dst", "key")
 
 
-@_query("SELECT lang AS package, sha256(string_agg(concat(lpad(cast(doc_id AS VARCHAR), 12, '0'), ' ', sha256(coalesce(text, ''))), chr(10) ORDER BY lpad(cast(doc_id AS VARCHAR), 12, '0'))) AS fingerprint FROM documents GROUP BY lang")
+def _tree_sql(levels: int, fan: int = 64) -> str:
+    """The digest tree over the documents of a language, with as many levels above the lowest."""
+    sql = f"""SELECT lang AS package, (nth - 1) // {fan} + 1 AS nth, sha256(string_agg(line, chr(10) ORDER BY nth)) AS digest FROM (
+      SELECT lang, concat(path, ' ', sha256(coalesce(text, ''))) AS line, row_number() OVER (PARTITION BY lang ORDER BY path) AS nth
+      FROM (SELECT lang, text, lpad(cast(doc_id AS VARCHAR), 12, '0') AS path FROM documents)) GROUP BY lang, (nth - 1) // {fan}"""
+    for _ in range(levels):
+        sql = f"""SELECT package, (nth - 1) // {fan} + 1 AS nth, CASE WHEN max(nth) = 1 THEN max(digest) ELSE sha256(string_agg(digest, chr(10) ORDER BY nth)) END AS digest
+      FROM ({sql}) GROUP BY package, (nth - 1) // {fan}"""
+    return f"SELECT package, digest AS fingerprint FROM ({sql})"
+
+
+@_query(_tree_sql(4))
 def content_fingerprint(spark, d):
     from ..sources.workspace import fingerprints_of
 
@@ -486,6 +497,22 @@ def content_fingerprint(spark, d):
     return fingerprints_of(docs.select(F.col("lang").alias("package"), path.alias("rel_path"), F.coalesce("text", F.lit("")).alias("text")))
 
 
+_KIND_OF = "CASE WHEN role IN ('publishes', 'subscribes') THEN 'Topic' ELSE 'Service' END"
+
+
+@_query(f"""SELECT kind, name, rel, (nth - 1) // 2 AS chunk, (nth - 1) // 2 * 2 + 1 AS first, string_agg(component, ', ' ORDER BY nth) AS components FROM (
+  SELECT {_KIND_OF} AS kind, name, {_REL} AS rel, component, row_number() OVER (PARTITION BY name, role ORDER BY seq) AS nth FROM {E}) GROUP BY kind, name, rel, (nth - 1) // 2""")
+def peer_chunks(spark, d):
+    return graph.peer_chunks(table(spark, d, "endpoints"), 2).withColumn("components", F.array_join("components", ", "))
+
+
+@_query(f"""WITH e AS (SELECT *, {_KIND_OF} AS kind, {_REL} AS rel FROM {E})
+SELECT m.package, m.component, m.kind, m.name, m.rel AS role, m.msg_type, m.seq,
+  (SELECT count(*) FROM e p WHERE p.name = m.name AND p.kind = m.kind AND p.role <> 'provides' AND (p.package <> m.package OR p.component <> m.component)) AS others FROM e m""")
+def connection_members(spark, d):
+    return graph.connection_members(table(spark, d, "endpoints"))
+
+
 @_query(f"""SELECT package, component, role, name, seq, CASE WHEN msg_type <> 'unknown' THEN 'explicit' ELSE 'unknown' END AS type_source,
   CASE WHEN msg_type <> 'unknown' AND name <> '<dynamic>' THEN 'high' ELSE 'low' END AS confidence
   FROM (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN '<dynamic>' ELSE name END AS name) FROM {E})""")

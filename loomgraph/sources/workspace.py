@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import tree_digests
+
 #: Directories that discovery does not enter, and markers of directories to leave out.
 EXCLUDED = frozenset((
     "build", "install", "log", ".venv", "venv", "env", ".tox", ".nox", ".pytest_cache", ".mypy_cache", ".ruff_cache",
@@ -227,10 +229,9 @@ def fingerprints(listing: DataFrame) -> DataFrame:
 
 
 def fingerprints_of(texts: DataFrame) -> DataFrame:
-    """The same over (package, rel_path, text); a line of path and digest for each file is what a package holds at once."""
+    """The same over (package, rel_path, text): a tree of digests over a line of path and digest for each file, so a package has any size."""
     each = texts.select("package", "rel_path", F.sha2("text", 256).alias("digest"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("rel_path", "digest"))), lambda r: F.concat(r["rel_path"], F.lit(" "), r["digest"]))
-    return each.groupBy("package").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
+    return tree_digests(each, ["package"], "rel_path", F.concat("rel_path", F.lit(" "), "digest"))
 
 
 #: Suffixes of parsed files, base classes of components, and the calls that declare endpoints:
