@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .operators import graph
 from .operators.assembly import WorkspaceError
-from .operators.packages import FILTERS, SORTS, listed
+from .operators.packages import FILTERS, SORTS, listed, node_table
 from .operators.rules import exit_code
-from .plans import model, policy, render
+from .plans import model, policy, render, sinks
+from .sources import workspace
 
 
 def _print(table: DataFrame, form: str) -> None:
@@ -31,6 +32,8 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         c.add_argument("path", nargs="?")
         c.add_argument("-f", "--format", default="mermaid" if name == "graph" else "table", choices=("mermaid", "dot", "json") if name == "graph" else ("table", "json"))
         c.add_argument("-o", "--output", help="a file on this machine instead of the standard output")
+        c.add_argument("--cache", help="a shared folder where parsed records are kept; one below the shared folder by default")
+        c.add_argument("--no-cache", action="store_true", help="parse every file")
         if name == "packages":
             c.add_argument("-t", "--filter", choices=sorted(FILTERS))
             c.add_argument("-s", "--sort", default="name", choices=sorted(SORTS))
@@ -41,6 +44,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
             c.add_argument("--show-connections", action="store_true")
         if name == "graph":
             c.add_argument("--view", default="deps", choices=("deps", "comms", "full"))
+            c.add_argument("--folder", help="a shared folder for a diagram of any size, written in parts")
         if name in ("audit", "validate"):
             c.add_argument("--fail-on", default="error", choices=("error", "warning", "info"))
         if name == "audit":
@@ -71,19 +75,27 @@ def main(argv: list[str] | None = None) -> int:
 
 def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     asked = policy.load(args.policy) if args.command == "validate" else []
-    m = model.read(spark, args.path)
+    kept = None if args.no_cache else args.cache or sinks.default_cache(spark, workspace.workspace_root(args.path))
+    m = model.read(spark, args.path, kept)
     if args.command == "scan":
         _print(m.packages.select("name", "version", "package_type", "path").orderBy("name"), args.format)
     elif args.command == "packages":
         rows = listed(m.packages.join(m.scores.withColumnRenamed("score", "health_score"), "name", "left"), args.filter, args.sort)
-        _print(rows if args.show_deps else rows.drop("deps"), args.format)
+        if args.filter and rows.isEmpty():
+            print(f"no packages match the filter {args.filter}", file=sys.stderr)
+        else:
+            _print(rows if args.show_deps else rows.drop("deps"), args.format)
     elif args.command == "nodes":
         rows = m.components.filter(F.col("package") == args.package) if args.package else m.components
         if args.show_connections:
             met = graph.connection_rows(m.endpoints, rows.select("package", F.col("name").alias("component")))
             _print(met.orderBy("package", "seq", "peer_rel", "peer_seq").drop("seq", "peer_seq"), args.format)
+        elif args.format == "table":
+            _print(node_table(rows, m.endpoints), args.format)
         else:
             _print(rows.orderBy("package", "seq").drop("seq"), args.format)
+    elif args.command == "graph" and args.folder and args.format != "json":
+        render.write(m, args.folder, args.format, args.view, args.package)
     elif args.command == "graph":
         made = {"dot": render.dot, "json": render.graph_json}.get(args.format, render.mermaid)
         for line in made(m, args.view, args.package):

@@ -53,6 +53,10 @@ def health_bar(score: Column) -> Column:
     return F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(10) - filled))
 
 
+def health_colour(score: Column) -> Column:
+    return F.when(score >= 70, "green").when(score >= 40, "yellow").otherwise("red")
+
+
 def has_email(maintainers: Column) -> Column:
     return F.exists(maintainers, lambda m: m.contains("<") & m.contains("@"))
 

@@ -521,9 +521,22 @@ def endpoint_confidence(spark, d):
     return assembly.with_confidence(rows).drop("msg_type")
 
 
-@_query(f"SELECT name, concat(repeat('█', n), repeat('░', 10 - n)) AS bar FROM (SELECT name, cast(greatest(0, least(10, round_even(coalesce(health_score, 0) / 10.0, 0))) AS INTEGER) AS n FROM {B})")
+@_query(f"SELECT name, concat(repeat('█', n), repeat('░', 10 - n)) AS bar, CASE WHEN s >= 70 THEN 'green' WHEN s >= 40 THEN 'yellow' ELSE 'red' END AS colour FROM (SELECT name, coalesce(health_score, 0) AS s, cast(greatest(0, least(10, round_even(coalesce(health_score, 0) / 10.0, 0))) AS INTEGER) AS n FROM {B})")
 def health_bars(spark, d):
-    return table(spark, d, "builds").select("name", names.health_bar(F.coalesce("health_score", F.lit(0))).alias("bar"))
+    score = F.coalesce("health_score", F.lit(0))
+    return table(spark, d, "builds").select("name", names.health_bar(score).alias("bar"), names.health_colour(score).alias("colour"))
+
+
+_LIST = "coalesce(string_agg(name, ', ' ORDER BY seq) FILTER (role = '{}'), '—') AS {}"
+
+
+@_query(f"""SELECT concat(component, CASE WHEN bool_or(name = '<dynamic>') THEN ' (dynamic)' ELSE '' END) AS name, package, 'python' AS language,
+  {', '.join(_LIST.format(r, r) for r in ('publishes', 'subscribes', 'provides', 'calls'))}, '—' AS serves, '—' AS requests
+  FROM (SELECT * REPLACE (CASE WHEN seq % 50 = 0 THEN '<dynamic>' ELSE name END AS name) FROM {E}) GROUP BY package, component""")
+def node_table(spark, d):
+    rows = table(spark, d, "endpoints").withColumn("name", F.expr("if(seq % 50 = 0, '<dynamic>', name)"))
+    nodes = rows.groupBy("package", F.col("component").alias("name")).agg(F.bool_or(F.col("name") == "<dynamic>").alias("has_dynamic_names"))
+    return packages.node_table(nodes.withColumn("language", F.lit("python")), rows)
 
 
 _RAW = "CASE p_partkey % 5 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'Warning' WHEN 2 THEN 'info' WHEN 3 THEN 'fatal' END"

@@ -119,7 +119,7 @@ class Managed : private Base, public rclcpp_lifecycle :: LifecycleNode { void f(
     ("pkg_{k}", "Talker{k}", "publishes", "/t{k}", "std_msgs/String", "n{k}.cpp", 4, "create_publisher"),
     ("pkg_{k}", "Talker{k}", "subscribes", "<dynamic>", "sensor_msgs/Image", "n{k}.cpp", 5, "create_subscription"),
     ("pkg_{k}", "Talker{k}", "provides", "/s{k}", "pkg{m}/Add", "n{k}.cpp", 6, "create_service"),
-    ("pkg_{k}", "Talker{k}", "serves", "/a{k}", "pkg{m}/Fib", "n{k}.cpp", 7, "rclcpp_action::create_server"),
+    ("pkg_{k}", "Talker{k}", "serves", "/a{k}", "pkg{m}/Fib", "n{k}.cpp", 7, "rclcpp_action"),
     ("pkg_{k}", "Managed", None, None, None, "n{k}.cpp", 11, None),
     ("pkg_{k}", "Managed", "calls", "/s{k}", "pkg/Add", "n{k}.cpp", 11, "create_client"),
 ]))
@@ -156,7 +156,7 @@ _LAUNCHED = ("kind", "owner_package", "executable", "package", "name", "remaps",
     ("unresolved", "pkg_{k}", None, None, None, None, None, None, "y.launch.yaml", 0),
 ]))
 def launch_sources(spark, d):
-    files = [("x.launch.xml", _LAUNCH_XML), ("x.launch.py", _LAUNCH_PY), ("x.launch.yaml", _LAUNCH_YAML), ("y.launch.yaml", "just text")]
+    files = [("x.launch.xml", _LAUNCH_XML), ("x.launch.py", _LAUNCH_PY), ("x.launch.yaml", _LAUNCH_YAML), ("y.launch.yaml", "launch: null"), ("z.launch.yaml", "just text"), ("bringup/rates.yaml", "node_{k}: {rate: 10}")]
     pairs = F.array_join(F.transform(F.map_entries("remaps"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return launch.launch_texts(_files(spark, d, files)).withColumn("remaps", pairs).select(*_LAUNCHED)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.names import DYNAMIC, has_email
 from ..operators import assembly, graph, health
 from ..shared import save
+from ..sources import cache as records
 from ..sources import cpp, launch, workspace
 
+#: The form of parsed records; another one is kept apart.
+RECORDS = "v1"
+
 
 @dataclass(frozen=True)
 class Model:
@@ -87,8 +92,11 @@ class Model:
         }
 
 
-def read(spark: SparkSession, path: str) -> Model:
-    """The model of the workspace at or above a path that all executors can read."""
+def read(spark: SparkSession, path: str, cache: str | None = None) -> Model:
+    """The model of the workspace at or above a path or URI that all executors can read.
+
+    cache: a folder that all executors share; what has been parsed is kept there, and only files that are new or changed are parsed.
+    """
     listing = workspace.files(spark, workspace.source_root(workspace.workspace_root(path)))
     listing = save(listing, "listing")
     broken = workspace.broken_manifests(listing)
@@ -101,9 +109,13 @@ def read(spark: SparkSession, path: str) -> Model:
     deps = manifests.select(F.col("name").alias("src"), F.posexplode("deps").alias("at", "d")).select(
         "src", F.col("d.dep_name").alias("dst"), F.col("d.dep_type").alias("dep_type"), F.struct("src", "at").alias("seq")
     )
+
+    def parsed(parse: Callable[[DataFrame], DataFrame], kind: str, package: str = "package") -> DataFrame:
+        return parse(listing) if cache is None else records.cached(listing, parse, f"{cache}/{kind}-{RECORDS}", package)
+
     found = save(
-        workspace.python_records(listing).withColumn("language", F.lit("python"))
-        .unionByName(cpp.cpp_records(listing).withColumn("language", F.lit("cpp"))), "declared",
+        parsed(workspace.python_records, "python").withColumn("language", F.lit("python"))
+        .unionByName(parsed(cpp.cpp_records, "cpp").withColumn("language", F.lit("cpp"))), "declared",
     )
     rank = F.when(F.col("language") == "python", 0).otherwise(1).alias("lang")
     dynamic = found.groupBy("package", "component", "file_path").agg(F.coalesce(F.bool_or(F.col("name") == DYNAMIC), F.lit(False)).alias("has_dynamic_names"))
@@ -115,10 +127,10 @@ def read(spark: SparkSession, path: str) -> Model:
     declared = assembly.with_confidence(found.filter("role is not null")).withColumn(
         "seq", F.struct("package", rank, "file_path", "component", assembly.role_rank().alias("role"), "line", F.col("name").alias("at"))
     )
-    records = save(launch.launch_records(listing), "launch")
+    launched = save(parsed(launch.launch_records, "launch", "owner_package"), "launch")
     return Model(
-        packages, deps, components, declared, save(workspace.interfaces(listing), "interfaces"), launch.launch_nodes(records), signals_of(manifests, workspace.facts(listing)),
-        launch.unresolved(records).unionByName(broken),
+        packages, deps, components, declared, save(workspace.interfaces(listing), "interfaces"), launch.launch_nodes(launched), signals_of(manifests, workspace.facts(listing)),
+        launch.unresolved(launched).unionByName(broken),
     )
 
 

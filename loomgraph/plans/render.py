@@ -15,6 +15,7 @@ from ..operators.health import workspace_score
 from ..operators.rules import findings_by_rule, violation_summary
 from .model import Model
 from .policy import ordered
+from .sinks import write_document
 
 
 def _view(model: Model, view: str, name: str | None) -> tuple[DataFrame, DataFrame]:
@@ -27,20 +28,35 @@ def _lines(table: DataFrame, *order: str) -> Iterator[str]:
         yield row["line"]
 
 
-def mermaid(model: Model, view: str = "deps", name: str | None = None) -> Iterator[str]:
+_FRAMES = {"mermaid": (["graph LR"], []), "dot": (["digraph architecture {", "  rankdir=LR;"], ["}"])}
+
+
+def _bodies(model: Model, form: str, view: str, name: str | None) -> list[tuple[DataFrame, tuple[str, ...]]]:
     vertices, edges = _view(model, view, name)
-    yield "graph LR"
-    yield from _lines(graph.mermaid_vertices(vertices, slug), "id")
-    yield from _lines(graph.mermaid_edges(edges, slug), "src", "dst", "key")
+    draw = {"mermaid": (graph.mermaid_vertices, graph.mermaid_edges), "dot": (graph.dot_vertices, graph.dot_edges)}[form]
+    return [(draw[0](vertices, slug), ("id",)), (draw[1](edges, slug), ("src", "dst", "key"))]
+
+
+def _diagram(model: Model, form: str, view: str, name: str | None) -> Iterator[str]:
+    header, footer = _FRAMES[form]
+    yield from header
+    for lines, order in _bodies(model, form, view, name):
+        yield from _lines(lines, *order)
+    yield from footer
+
+
+def mermaid(model: Model, view: str = "deps", name: str | None = None) -> Iterator[str]:
+    return _diagram(model, "mermaid", view, name)
 
 
 def dot(model: Model, view: str = "deps", name: str | None = None) -> Iterator[str]:
-    vertices, edges = _view(model, view, name)
-    yield "digraph architecture {"
-    yield "  rankdir=LR;"
-    yield from _lines(graph.dot_vertices(vertices, slug), "id")
-    yield from _lines(graph.dot_edges(edges, slug), "src", "dst", "key")
-    yield "}"
+    return _diagram(model, "dot", view, name)
+
+
+def write(model: Model, path: str, form: str = "mermaid", view: str = "deps", name: str | None = None) -> None:
+    """A diagram of any size, written by tasks below path; its part files in the order of their names are the document."""
+    header, footer = _FRAMES[form]
+    write_document(_bodies(model, form, view, name), path, header, footer)
 
 
 def json_rows(model: Model, view: str = "full", name: str | None = None) -> DataFrame:
@@ -52,14 +68,20 @@ def json_rows(model: Model, view: str = "full", name: str | None = None) -> Data
 
 
 def graph_json(model: Model, view: str = "full", name: str | None = None) -> Iterator[str]:
-    return _lines(json_rows(model, view, name), "part", "line")
+    """A JSON object a line: of the full view all that the model says, {"part": table, "row": ...}; of others their vertices and edges."""
+    if view != "full" or name:
+        yield from _lines(json_rows(model, view, name), "part", "line")
+        return
+    for part, table in model.tables().items():
+        rows = table.select(F.to_json(F.struct(F.lit(part).alias("part"), F.struct("*").alias("row"))).alias("line"))
+        yield from _lines(rows, "line")
 
 
 def page(model: Model, title: str) -> Iterator[str]:
     """A self-contained page: counts by kind, and each vertex with its edges."""
     yield f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><script type='application/json' id='graph'>["
     before = ""
-    for line in graph_json(model):
+    for line in _lines(json_rows(model), "part", "line"):
         yield before + line.replace("</", "<\\/")
         before = ","
     yield "]</script><pre id='out'></pre><script>const g=JSON.parse(document.getElementById('graph').textContent);"

@@ -84,7 +84,7 @@ def _parse(text: str, rel: str, package: str) -> Iterator[tuple]:
                 continue
             stop = _close(code, at, "(", ")")
             name = next((text for place, text in sorted(literals.items()) if at < place < stop), DYNAMIC)
-            yield package, cls[1], role, name, kind, rel, code.count("\n", 0, call.start()) + 1, call[0].strip()
+            yield package, cls[1], role, name, kind, rel, code.count("\n", 0, call.start()) + 1, "rclcpp_action" if call["free"] else call["member"]
 
 
 def cpp_records(listing: DataFrame) -> DataFrame:

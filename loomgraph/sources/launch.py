@@ -63,13 +63,19 @@ def _from_xml(text: str) -> Iterator[tuple]:
             yield "include", None, None, None, None, None, e.get("file")
 
 
+#: What a YAML launch file holds below its key "launch": lists of entries, of which those with "node" declare one.
+_NODE_KEYS = ("executable", "package", "name")
+
+
 def _from_yaml(text: str) -> Iterator[tuple]:
+    """Launch nodes of a mapping with a list "launch"; any other document, as a file of parameters is, declares nothing."""
     import yaml
 
-    for entry in yaml.safe_load(text)["launch"]:
-        node = entry.get("node") if isinstance(entry, dict) else None
-        if node is not None:
-            yield "node", node.get("executable") or UNSET, node.get("package") or UNSET, node.get("name"), {}, None, None
+    document = yaml.safe_load(text)
+    listed = document.get("launch", ()) if isinstance(document, dict) else ()
+    for node in (entry["node"] for entry in listed if isinstance(entry, dict) and entry.get("node")):
+        executable, package, name = (node.get(key) for key in _NODE_KEYS)
+        yield "node", executable or UNSET, package or UNSET, name, {}, None, None
 
 
 def _parse(text: str, rel: str, owner: str) -> Iterator[tuple]:

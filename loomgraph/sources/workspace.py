@@ -1,13 +1,8 @@
-"""Source trees as tables: discovery on the driver, parsing in parallel tasks.
-
-Spark's file sources skip names that begin with an underscore or a dot, so files are listed here
-and read by the tasks, one row for each file. The tree must be readable from all executors.
-"""
+"""Source trees as tables: files are listed by the data source of tree.py, and read and parsed by the tasks, one row for each file."""
 
 from __future__ import annotations
 
 import ast
-import os
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,74 +13,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import tree_digests
-
-#: Directories that discovery does not enter, and markers of directories to leave out.
-EXCLUDED = frozenset((
-    "build", "install", "log", ".venv", "venv", "env", ".tox", ".nox", ".pytest_cache", ".mypy_cache", ".ruff_cache",
-    "__pycache__", "node_modules", "dist", ".git", ".hg", ".svn",
-))
-STOP_MARKERS = ("COLCON_IGNORE", ".rosignore")
-FILES = "package string, root string, rel_path string, name string, suffix string, is_dir boolean, seq long"
-
+from . import tree
+from .tree import store
 
 def workspace_root(start: str) -> str:
-    """The nearest directory, start or above it, with src/ or install/setup.bash; start itself where there is none."""
-    here = Path(start).resolve()
-    for folder in (here, *here.parents):
+    """The nearest directory, start or above it, with src/ or install/setup.bash; start itself where there is none. A path, or a URI."""
+    files, here = store(start if "://" in start else str(Path(start).resolve()))
+    top, at = here, here
+    while True:
         try:
-            if (folder / "src").is_dir() or (folder / "install" / "setup.bash").is_file():
-                return str(folder)
+            files.children(at)
+            if files.is_dir(f"{at}/src") or files.is_file(f"{at}/install/setup.bash"):
+                return at
         except PermissionError:
-            if folder == here:
+            if at == top:
                 raise
             break
+        except (FileNotFoundError, NotADirectoryError):
+            pass
+        above = at.rpartition("/")[0]
+        if above == at or above.endswith(":/") or not above.strip("/"):
+            break
+        at = above
     print(f"no workspace at or above {start}; it is taken as one", file=sys.stderr)
-    return str(here)
+    return here
 
 
 def source_root(root: str) -> str:
     """The src/ directory of a workspace, if it has one and is not one."""
-    inner = Path(root) / "src"
-    return str(inner) if Path(root).name != "src" and inner.is_dir() else root
-
-
-def packages_below(root: str) -> list[str]:
-    """Directories with a manifest, breadth first and by name; nothing below one is searched."""
-    found, queue = [], [Path(root)]
-    while queue:
-        here = queue.pop(0)
-        try:
-            entries = sorted(here.iterdir(), key=lambda p: p.name)
-        except OSError:
-            if here == Path(root):
-                raise
-            continue
-        held = {p.name for p in entries}
-        if here.name in EXCLUDED or held & set(STOP_MARKERS):
-            continue
-        if "package.xml" in held:
-            found.append(str(here))
-        else:
-            queue += [p for p in entries if p.is_dir() and not p.name.startswith(".") and p.name not in EXCLUDED]
-    return found
+    files, top = store(root)
+    return f"{top}/src" if top.rpartition("/")[2] != "src" and files.is_dir(f"{top}/src") else root
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each file and directory of each package below root; packages are walked in parallel."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for seq, top in zip(batch["seq"], batch["root"], strict=True):
-                rows = []
-                for here, folders, names in os.walk(top):
-                    for name in sorted(folders) + sorted(names):
-                        path = os.path.join(here, name)
-                        rows.append((os.path.basename(top), top, os.path.relpath(path, top), name, os.path.splitext(name)[1], name in folders, seq))
-                yield pd.DataFrame(rows, columns=["package", "root", "rel_path", "name", "suffix", "is_dir", "seq"])
-
-    roots = packages_below(root)
-    listed = spark.createDataFrame(list(enumerate(roots)), "seq long, root string").repartition(max(1, min(len(roots), 200)), "root")
-    return listed.mapInPandas(walk, FILES)
+    """A row for each file and directory of each package below root, with seq, the order in which packages are found: by depth, then by path."""
+    listed = tree.load(spark, root)
+    return listed.withColumn("seq", F.struct("depth", F.split("root", "/").alias("at"))).drop("depth")
 
 
 def _parsed(rows: DataFrame, parse, schema: str, columns: list[str]) -> DataFrame:
@@ -97,20 +60,13 @@ def _parsed(rows: DataFrame, parse, schema: str, columns: list[str]) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"] if stored else (_read(root, rel) for root, rel in zip(batch["root"], batch["rel_path"], strict=True))
+            texts = batch["text"] if stored else (tree.read_text(root, rel) for root, rel in zip(batch["root"], batch["rel_path"], strict=True))
             out = [r for text, rel, package in zip(texts, batch["rel_path"], batch["package"], strict=True) if text is not None for r in parse(text, rel, package)]
             yield pd.DataFrame(out, columns=columns)
 
     return rows.select("text" if stored else "root", "rel_path", "package").mapInPandas(run, schema)
 
 
-def _read(root: str, rel: str) -> str | None:
-    try:
-        return Path(root, rel).read_text(encoding="utf-8", errors="replace")
-    except OSError:
-        return None
-
-
 #: Dependency tags of a manifest and the build types that are known.
 DEPENDENCY_TAGS = {"depend": "depend", "build_depend": "build", "exec_depend": "exec", "test_depend": "test", "build_export_depend": "build_export"}
 BUILD_TYPES = ("ament_cmake", "ament_python", "cmake", "python")
@@ -194,7 +150,7 @@ def contents(listing: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(text=[_read(root, rel) or "" for root, rel in zip(batch["root"], batch["rel_path"], strict=True)])
+            yield batch.assign(text=[tree.read_text(root, rel) or "" for root, rel in zip(batch["root"], batch["rel_path"], strict=True)])
 
     return listing.filter("NOT is_dir").select("root", "rel_path").mapInPandas(run, "root string, rel_path string, text string")
 

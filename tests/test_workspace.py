@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import assembly, graph
-from loomgraph.operators.packages import listed
-from loomgraph.plans import model, policy, render
-from loomgraph.sources import launch, workspace
+from loomgraph.operators.packages import listed, node_table
+from loomgraph.plans import model, policy, render, sinks
+from loomgraph.sources import cache, launch, tree, workspace
 
 FILES = {
     "alpha/package.xml": """
@@ -136,6 +136,78 @@ def test_export(made, tmp_path):
     assert names >= {"packages", "nodes", "interfaces", "topics", "services", "actions", "launch_remaps", "diagnostics", "summary", "vertices", "edges"}
     written = [json.loads(x) for f in (tmp_path / "topics").glob("part-*") for x in f.read_text().splitlines()]
     assert {"/quiet"} <= {r["name"] for r in written} and all("msg_type" in r for r in written)
+    # the full view in JSON says all of it too
+    parts = {json.loads(x)["part"] for x in render.graph_json(made, "full")}
+    assert parts >= {"packages", "nodes", "interfaces", "topics", "services", "actions", "summary", "vertices", "edges"}
+
+
+def test_source(spark, root):
+    """Hidden names are listed, links and left-out directories are not walked, filters on suffix reach the tasks, and a URI is as good as a path."""
+    rows = tree.load(spark, f"{root}/src").collect()
+    got = {(r["package"], r["rel_path"]) for r in rows}
+    assert {("alpha", "alpha/_private.py"), ("alpha", "test"), ("alpha", "nested/package.xml"), ("broken", "package.xml")} <= got
+    assert {r["package"] for r in rows} == {"alpha", "beta", "broken"} and len(got) == len(rows)
+    python = tree.load(spark, f"{root}/src", content=True).filter("suffix = '.py'")
+    assert "PushedFilters: [EqualTo" in (p := python._jdf.queryExecution().toString()) or "suffix" in p
+    assert {(r["rel_path"], r["text"]) for r in python.collect() if r["package"] == "alpha"} >= {("test/test_it.py", "x = 1")}
+    some = tree.load(spark, f"{root}/src").filter(F.col("suffix").isin(".msg", ".hpp")).collect()
+    assert [r["rel_path"] for r in some] == ["msg/Words.msg"]
+    remote = tree.load(spark, f"file://{root}/src").collect()
+    assert {(r["package"], r["rel_path"], r["is_dir"]) for r in remote} == {(r["package"], r["rel_path"], r["is_dir"]) for r in rows}
+    assert workspace.workspace_root(f"file://{root}/src/alpha") == f"file://{root}" and workspace.source_root(f"file://{root}").endswith("/src")
+
+
+def test_source_is_cut_into_partitions(root, monkeypatch):
+    monkeypatch.setattr(tree, "CUTS", 3)
+    reader = tree.Reader({"path": f"{root}/src", "content": "false"})
+    parts = reader.partitions()
+    assert 1 < len(parts) <= 5
+    few = {(r[0], r[2]) for p in parts for r in reader.read(p)}
+    whole = {(r[0], r[2]) for r in reader.read(tree.Part(f"{root}/src", 0))}
+    assert few == whole and ("beta", "src/hear.cpp") in whole
+    with pytest.raises(OSError):
+        tree.Reader({"path": f"{root}/nowhere"}).partitions()
+
+
+def test_one_changed_file_parses_one_file(spark, tmp_path, monkeypatch):
+    """A model that is read again parses what has changed, and says what a model read anew says."""
+    src = tmp_path / "src" / "one"
+    src.mkdir(parents=True)
+    (src / "package.xml").write_text("<package><name>one</name></package>")
+    for name in ("a", "b", "c"):
+        (src / f"{name}.py").write_text(f"class {name.upper()}(Node):\n    def f(self):\n        self.create_publisher(T, '/{name}', 1)\n")
+    asked = []
+    parse = workspace.python_records
+    monkeypatch.setattr(workspace, "python_records", lambda listing: asked.append(sorted(r["name"] for r in listing.filter("suffix = '.py'").collect())) or parse(listing))
+    store = f"file://{tmp_path}/store"
+
+    def names(m):
+        return sorted((r["component"], r["name"], r["file_path"]) for r in m.endpoints.collect())
+
+    def run():
+        return names(model.read(spark, str(tmp_path), store))
+
+    assert run() == [("A", "/a", "a.py"), ("B", "/b", "b.py"), ("C", "/c", "c.py")] == run()
+    (src / "b.py").write_text("class B(Node):\n    def f(self):\n        self.create_client(T, '/new')\n")
+    (src / "c.py").unlink()
+    assert run() == [("A", "/a", "a.py"), ("B", "/new", "b.py")]
+    assert asked == [["a.py", "b.py", "c.py"], [], ["b.py"]]
+    listing = workspace.files(spark, f"{tmp_path}/src")
+    before = spark.createDataFrame([("one", "a.py", cache.digests(listing).filter("rel_path = 'a.py'").first()["digest"]), ("one", "b.py", "old"), ("one", "c.py", "x")], "package string, rel_path string, digest string")
+    states = {r["rel_path"]: r["state"] for r in cache.changes(cache.digests(listing), before).collect()}
+    assert states == {"a.py": "kept", "b.py": "changed", "c.py": "gone", "package.xml": "new"}
+
+
+def test_written_diagrams(spark, made, tmp_path):
+    for form, lines in (("mermaid", render.mermaid), ("dot", render.dot)):
+        render.write(made, f"file://{tmp_path}/{form}", form, "full")
+        assert sinks.read_document(spark, f"file://{tmp_path}/{form}") == list(lines(made, "full"))
+
+
+def test_node_table(made):
+    got = {r["name"]: r.asDict() for r in node_table(made.components, made.endpoints).collect()}
+    assert list(got) == ["Idle", "Speaker (dynamic)", "Hearer (dynamic)"]
+    assert got["Speaker (dynamic)"]["publishes"] == "/room/words, /quiet" and got["Idle"]["calls"] == "—" and got["Hearer (dynamic)"]["serves"] == "go"
 
 
 def test_commands(spark, root, tmp_path, capsys):
@@ -152,6 +224,9 @@ def test_commands(spark, root, tmp_path, capsys):
     told = json.loads(capsys.readouterr().out)
     assert told["total_packages"] == 2 and told["violations"]["info"] + told["violations"]["warnings"] > 0
     assert main(["scan", str(tmp_path / "nowhere")]) == 3
+    assert main(["packages", root, "-t", "meta"]) == 0
+    said = capsys.readouterr()
+    assert "no packages match" in said.err and "alpha" not in said.out
 
 
 def test_python_scopes(spark):
