@@ -33,15 +33,17 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
 
 
 def _in_two_passes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    taken = {c.lower() for c in rows.columns}
+    part, at, first, many, before = (next(x for x in (f"_{c}{k or ''}" for k in range(len(taken) + 1)) if x not in taken) for c in ("part", "at", "first", "many", "before"))
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-    placed = save(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "placed")
-    held = placed.groupBy("_part", *keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = held.select("_part", *keys, "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    same = [F.col("p._part") == F.col("o._part"), *(F.col(f"p.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys)]
+    placed = save(dealt.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "placed")
+    held = placed.groupBy(part, *keys).agg(F.min(at).alias(first), F.count("*").alias(many))
+    ahead = F.sum(many).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.select(part, *keys, first, F.coalesce(ahead, F.lit(0)).alias(before))
+    same = [F.col(f"p.{part}") == F.col(f"o.{part}"), *(F.col(f"p.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys)]
     joined = placed.alias("p").join(offsets.alias("o"), same)
-    nth = (F.col("p._at") - F.col("o._first") + F.col("o._before") + 1).alias(name)
+    nth = (F.col(f"p.{at}") - F.col(f"o.{first}") + F.col(f"o.{before}") + 1).alias(name)
     return joined.select(*(F.col(f"p.`{c}`") for c in rows.columns), nth)
 
 

@@ -43,7 +43,7 @@ def test_connections(endpoints):
 def shuffled(spark, n=6000):
     # one name has a third of all rows, one is null, the others have a few each
     rows = [("hot" if i % 3 == 0 else None if i % 3 == 1 and i % 5 == 0 else f"n{i % 700}", (i * 7919) % n, f"v{i}") for i in range(n)]
-    return rows, spark.createDataFrame(rows, "name string, seq bigint, value string").repartition(7)
+    return rows, spark.createDataFrame(rows, "name string, seq bigint, value string").repartition(7).selectExpr("*", "value AS _part", "value AS _at")
 
 
 def in_order(rows):
