@@ -16,8 +16,8 @@ again, until less than CLOSE of the target is open. What is left then is filled
 by documents no larger than the rest. Nothing depends on partitioning, so reruns agree.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a source of
-its own; repeated rows count each and are told apart by a row number, so some of them may take one
-copy more than others; an empty table gives an empty result; extra columns are ignored. Sources
+its own; repeated rows count each and are numbered among themselves, so some of them may take one copy more
+than others, and as many of them in every run; an empty table gives an empty result; extra columns are ignored. Sources
 are a mixture's parts: more than MOST_SOURCES raise an error.
 """
 
@@ -29,7 +29,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from . import scratch
+from .idfilter import anti_join, semi_join
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -134,17 +136,35 @@ def _keyed(sized: DataFrame) -> DataFrame:
     return rated.withColumn("key", F.shiftleft(place, bits) + F.shiftleft("doc", ROW_BITS) + F.col("row")).drop("rate")
 
 
+def _alone(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("row", F.lit(0).cast("bigint"))
+
+
+def _told_apart(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """Adds row: 0, or a hash of a number among the rows that agree in all that the result shows; twice: the saved `known` of such rows.
+
+    Which of them has which number does not matter, and all numbers are given in every run, however the rows are dealt.
+    """
+    several = semi_join(rows, twice, "known").withColumn("_any", F.monotonically_increasing_id())
+    numbers = numbered(several, ["known"], ["_any"], "_nth").withColumn("row", F.pmod(F.xxhash64("known", "_nth"), F.lit(1 << ROW_BITS)))
+    return _alone(anti_join(rows, twice, "known")).unionByName(numbers.drop("_any", "_nth"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) and the columns named in keep."""
     spark = docs.sparkSession
-    known = F.xxhash64(F.lit(10), "doc_id", "text", "source")
-    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))
+    known = F.xxhash64(F.lit(10), "doc_id", "text", "source", *(F.col(f"`{c}`") for c in keep))
     wide = docs.select(
         F.col("doc_id").cast("bigint"), F.col("source").alias("_part"), word_count().alias("size"),
         (F.pmod(known, F.lit(1 << 30)) / float(1 << 30)).alias("u"), F.pmod(F.shiftright(known, 30), F.lit(1 << DOC_BITS)).alias("doc"),
-        row.alias("row"), *(F.col(f"`{c}`").alias(f"_kept{k}") for k, c in enumerate(keep)),
+        known.alias("known"), *(F.col(f"`{c}`").alias(f"_kept{k}") for k, c in enumerate(keep)),
     )
-    sized = scratch.save(wide.select("doc_id", "_part", "size", "u", "doc", "row"), "sized")
+    plain = scratch.save(wide.select("doc_id", "_part", "size", "u", "doc", "known"), "sized")
+    twice = scratch.save(plain.groupBy("known").count().filter("count > 1").select("known"), "twice")
+    some = not twice.isEmpty()
+    sized = scratch.save(_told_apart(plain, twice), "sized") if some else _alone(plain)
+    if keep:
+        wide = _told_apart(wide, twice) if some else _alone(wide)
     sizes = scratch.save(sized.groupBy("_part", "size").agg(F.count("*").alias("n")), "sizes")
     rows = sizes.groupBy("_part").agg(F.sum(F.col("size") * F.col("n")).alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
