@@ -158,8 +158,8 @@ def _hits(rules: list[tuple[tuple[int, bool, float], ...]]) -> object:
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> QualityModel:
     """The model of labelled rows. docs: (doc_id, text); labels: (doc_id, quality). Held-out rows are not read.
 
-    Of the labels, at most about `most` ids are drawn by their hash, and statistics are computed for
-    their documents only; rows that repeat an id count once for each different text and label.
+    Of the labels, at most `most` ids are drawn by their hash, and statistics are computed for their documents only. Of an id's texts
+    the one with the least hash counts, once for each of its labels, so that the sample has 2 * most rows at most.
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.functions import array_to_vector
@@ -168,8 +168,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
         "doc_id is not null AND label in (0, 1)"
     ).filter(~held_out())
     share = min(1.0, most / max(1, known.count()))
-    drawn = scratch.save(known.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).distinct(), "drawn")
-    texts = semi_join(docs.select(F.col("doc_id").cast("bigint"), "text"), drawn, "doc_id").dropDuplicates(["doc_id", "text"])
+    at = F.xxhash64(F.lit(4), "doc_id")
+    some = known.filter(F.pmod(at, F.lit(1 << 20)) < int(share * (1 << 20))).select("doc_id").distinct().orderBy(at, "doc_id").limit(most)
+    drawn = scratch.save(known.join(some, "doc_id", "left_semi").distinct(), "drawn")
+    texts = semi_join(docs.select(F.col("doc_id").cast("bigint"), "text"), drawn, "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("at"), "text"))["text"].alias("text")
+    )
     stats = with_statistics(texts, ["doc_id"]).select("row.doc_id", *STATISTICS)
     sample = scratch.save(
         # in a fixed order, so that reruns fit the same model
