@@ -153,13 +153,14 @@ class SpanModel:
     reliabilities: dict[str, float]
 
     def accepts(self, c: str = "c") -> str:
-        """SQL: does the classifier take the candidate c?"""
+        """SQL: does the classifier take the candidate c, for which one labeler at least has voted?"""
         terms = [
             f"CASE {c}.{name} " + " ".join(f"WHEN {v!r} THEN {w!r}D" for (n, v), w in sorted(self.weights.items(), key=str) if n == name) + " ELSE 0D END"
             for name in ("kind", *LABELERS, "size")
             if any(n == name for n, _ in self.weights)
         ]
-        return "(" + " + ".join(["0D", *terms]) + ") >= 0D"
+        voted = " OR ".join(f"{c}.{name} > 0" for name in LABELERS)
+        return f"({' + '.join(['0D', *terms])}) >= 0D AND ({voted})"
 
 
 def train(docs: DataFrame) -> SpanModel:

@@ -231,3 +231,42 @@ def test_redacted(spark):
     assert got.columns == table.columns
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: 'a [assign]" and [random] end', 2: None, 3: "clean"}
     assert op13_secrets.redacted(table.filter(F.lit(False))).count() == 0 and op13_secrets.secret_spans(table.filter(F.lit(False))).count() == 0
+
+
+# what earlier operators promise of repeated rows, samples and votes
+
+
+@pytest.mark.parametrize("crowded", [100_000, 100])
+def test_mixture_of_equal_rows_is_the_same_however_they_are_dealt(spark, monkeypatch, crowded):
+    from loomgraph.llm import op10_mixing
+    from loomgraph.operators import numbering
+
+    monkeypatch.setattr(op10_mixing, "numbered", lambda *a: numbering.numbered(*a, crowded=crowded))
+    rows = [(1, "one two three", "a", "en")] * 1000 + [(2, "x y", "b", "en"), (3, "x " * 900, "b", "de"), (4, None, None, "en"), (4, None, None, "en")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    for keep in ((), ("text", "lang")):
+        runs = [Counter(map(tuple, op10_mixing.mix(table.repartition(n) if n else table, keep=keep).collect())) for n in (0, 1, 3)]
+        assert runs[0] == runs[1] == runs[2]
+        taken = {}
+        for r, n in runs[0].items():
+            taken[r[0]] = taken.get(r[0], 0) + n * r[5]
+        assert abs(taken[1] - max(r[3] for r in runs[0] if r[0] == 1)) <= 3
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    from loomgraph.llm import op4_quality
+
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(60)] + [(5, f"other words {k}") for k in range(500)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, 0)], "doc_id bigint, quality int")
+    sizes = {}
+    save = op4_quality.scratch.save
+    monkeypatch.setattr(op4_quality.scratch, "save", lambda df, tag: sizes.__setitem__(tag, (out := save(df, tag)).count()) or out)
+    op4_quality.fit_quality(docs, labels, most=10)
+    assert 0 < sizes["sample"] <= 20
+
+
+def test_a_span_needs_a_vote():
+    from loomgraph.llm import op2_pii
+
+    model = op2_pii.fit([("number", 0, 0, 0, -1, 1, 2)])
+    assert all(f"c.{name} > 0" in model.accepts() for name in op2_pii.LABELERS)
