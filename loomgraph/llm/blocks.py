@@ -6,10 +6,17 @@ that are known to be hot are dealt in pieces. Keys of one class alone vanish in
 Pairs come in waves. Each pairs every class with one centre of its keys in another component:
 first the class that shares the most keys, as an original does with its copies, then one by
 hash. Once those links are verified and merged into components, only pairs of a key that lie in
-two components can still change anything. When these are few for the rows of their keys, all of
-them are verified, each made at the first keys that it shares and not at all of them. No pair is
-made where the parities of the two sets rule the link out: sets differ in no fewer shingles than
-their parity bits differ, so that test is exact.
+two components can still change anything. Where these are few for the rows of their keys, all of
+them are verified, each made at the first keys that it shares and not at all of them. Pairs inside
+the largest component of a key are never made. No pair is verified where the parities of the two
+sets rule the link out: sets differ in no fewer shingles than their parity bits differ, so that
+test is exact.
+
+Keys that stay crowded are left, and their classes are joined anew by their whole sets: shingles are
+counted exactly among these classes, rarest first, and a class is entered once for each range of
+sizes that a partner can have, with just the shingles of which such a partner must have one. Many
+texts that share a core and do not link meet nowhere then, because the core comes after what
+is rarer, and what such a partner must have lies before it.
 A group of many alike classes thus costs its size, and no link between components is lost.
 """
 
@@ -129,6 +136,8 @@ def class_sets(found: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBat
 WAVES, FEW = 6, 2
 #: A wave after the first is worth its while if more than one in so many of its pairs links.
 WORTH = 4
+#: A key with more pairs across components for each of its rows is crowded.
+CROWDED = 16
 #: Keys before one, in the order of a class, that are asked whether a pair met there already.
 BEFORE = 6
 
@@ -144,10 +153,18 @@ def _open(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return kept
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(key, rows, main, pairs) of (key, component): its rows, its largest component, and its pairs across components."""
+    of = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    return of.groupBy("key").agg(
+        F.sum("n").alias("rows"), F.max(F.struct("n", "component"))["component"].alias("main"),
+        F.expr("(sum(double(n)) * sum(double(n)) - sum(double(n) * n)) / 2").alias("pairs"),
+    )
+
+
 def _few(rows: DataFrame) -> bool:
     """Are the pairs across components few for the rows that they come from?"""
-    of = rows.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.expr("double(count) * count")).alias("same"))
-    total = of.agg(F.sum("n").alias("rows"), F.sum(F.expr("(double(n) * n - same) / 2")).alias("pairs")).first()
+    total = _sizes(rows).agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
     return (total["pairs"] or 0) <= FEW * (total["rows"] or 0)
 
 
@@ -194,24 +211,115 @@ def _centred(rows: DataFrame, wave: int, may_link: str, parities: DataFrame, per
     return top.select(F.col("class").alias("a"), F.col("best.other").alias("b"))
 
 
-def _across(rows: DataFrame, may_link: str, parities: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of all pairs that share a key, lie in two components and may link by the parities of their sets.
+def _across(rows: DataFrame, sizes: DataFrame, may_link: str, parities: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of all pairs that share a key of sizes, lie in two components and may link by the parities of their sets.
 
     A pair is left out at a key where one of the BEFORE keys ahead of it is the same in both
-    classes: it is made there.
+    classes: it is made there. One of a pair is always outside the largest component of the key.
     """
     by = Window.partitionBy("class").orderBy("key")
-    seen = rows.withColumn("seen", F.array(*(F.lag("key", k).over(by) for k in range(1, BEFORE + 1)))).join(parities, "class")
+    calm = rows.join(sizes.select("key", "main"), "key")
+    seen = calm.withColumn("seen", F.array(*(F.lag("key", k).over(by) for k in range(1, BEFORE + 1)))).join(parities, "class")
 
-    def side(name: str) -> DataFrame:
-        return seen.select("key", F.col("class").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("place", "component", "seen", "n", "odd")))
+    def side(of: DataFrame, name: str) -> DataFrame:
+        return of.select("key", F.col("class").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("main", "place", "component", "seen", "n", "odd")))
 
     again = "coalesce(arrays_overlap(seen_a, seen_b), false)"
     near = _near("a", "b", percent)
-    met = side("a").join(side("b"), "key").filter(
-        f"a < b AND component_a <> component_b AND {may_link.format('place_a', 'place_b')} AND {near} AND NOT {again}"
+    met = side(seen.filter("component <> main"), "a").join(side(seen, "b"), "key").filter(
+        f"component_a <> component_b AND (component_b = main_b OR a < b) AND {may_link.format('place_a', 'place_b')} AND {near} AND NOT {again}"
+    )
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _steps() -> np.ndarray:
+    """The least sizes of the ranges that sizes fall into: each size alone at first, then ranges of a twentieth."""
+    steps = [0]
+    while steps[-1] < 1 << 32:
+        steps.append(max(steps[-1] + 1, steps[-1] * 21 // 20))
+    return np.array(steps, dtype=np.int64)
+
+
+_STEPS = _steps()
+
+
+def _entries(percent: int) -> object:
+    """Entries of (class, component, n, shingles): shingles are those that other sets have too, in the common order; n is the size of the whole set.
+
+    A partner of m shingles shares at least o = percent * (n + m) / (100 + percent), so it has one of the first n - o + 1.
+    The shingles of no other set come first in the order. role tells which of the two is in the range of smaller sizes (1), and 0 where both are in one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack() -> pa.RecordBatch:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "role", "class", "component", "n", "place"])
+
+        for batch in batches:
+            lists = batch.column("shingles")
+            ends, values = np.asarray(lists.offsets), lists.values.to_numpy().view(np.uint64)
+            held: list[tuple[np.ndarray, ...]] = []
+            total = 0
+            for i, (name, component, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("class", "component", "n")), strict=True)):
+                shared = values[ends[i] : ends[i + 1]]
+                alone = n - len(shared)
+                least, most = -(-percent * n // 100), 100 * n // percent
+                low, own, high = (np.searchsorted(_STEPS, [least, n, most], "right") - 1).tolist()
+                for g in range(low, high + 1):
+                    smallest = max(int(_STEPS[g]), least)
+                    many = n + 1 - alone + (-percent * (n + smallest) // (100 + percent))
+                    if many <= 0:
+                        continue
+                    between = mix(np.array([min(own, g) * len(_STEPS) + max(own, g) + 1], dtype=np.uint64))
+                    key = mix(shared[:many] * np.uint64(0x9E3779B97F4A7C15) + between)
+                    role = 0 if g == own else 1 if g > own else 2
+                    held.append((
+                        key.view(np.int64), np.full(len(key), role, np.int32), np.full(len(key), name, np.int64), np.full(len(key), component, np.int64),
+                        np.full(len(key), n, np.int64), alone + np.arange(len(key), dtype=np.int64),
+                    ))
+                    total += len(key)
+                    if total > 1 << 17:
+                        yield pack()
+                        held, total = [], 0
+            if held:
+                yield pack()
+
+    return run
+
+
+def _crowd_entries(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, role, class, component, n, place, main) of the classes (class, component), at the keys that more than one component has."""
+    own = scratch.save(sets.join(classes, "class"), "crowd")
+    each = own.select("class", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    listed = each.join(often, "shingle").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("often", "shingle")))["shingle"].alias("shared"))
+    ordered = own.select("class", "component", F.size("shingles").cast("bigint").alias("n")).join(listed.withColumnRenamed("shared", "shingles"), "class")
+    made = ordered.mapInArrow(_entries(percent), "key bigint, role int, class bigint, component bigint, n bigint, place bigint")
+    entries = scratch.save(made, "entries")
+    scratch.drop(own)
+    kept = scratch.save(entries.join(_sizes(entries).filter("pairs > 0").select("key", "main"), "key"), "kept")
+    scratch.drop(entries)
+    return kept
+
+
+def _crowd_meetings(entries: DataFrame) -> DataFrame:
+    """What meets at the keys of entries, each pair with one that is outside the key's largest component."""
+
+    def side(of: DataFrame, name: str, role: str) -> DataFrame:
+        return of.select("key", F.expr(role).alias("role"), F.col("class").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("main", "component", "n", "place")))
+
+    return side(entries.filter("component <> main"), "a", "if(role = 0, 0, 3 - role)").join(side(entries, "b", "role"), ["key", "role"])
+
+
+def _crowd_pairs(entries: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs across components that may link: at the first key that they share, enough of both sets must follow."""
+    follow = f"{100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
+    met = (
+        _crowd_meetings(entries).filter(f"component_a <> component_b AND (component_b = main_b OR a < b) AND {follow}")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    return met.select("a", "b").distinct()
+    side = lambda name: parities.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}"))
+    return met.join(side("a"), "a").join(side("b"), "b").filter(_near("a", "b", percent)).select("a", "b")
 
 
 def link_classes(lists: DataFrame, sets: DataFrame, percent: int, may_link: str = "true") -> DataFrame:
@@ -258,12 +366,21 @@ def link_classes(lists: DataFrame, sets: DataFrame, percent: int, may_link: str
         scratch.drop(chosen)
         if wave and merged * WORTH <= asked:
             break  # what is left does not link, or by few pairs only
-    across = scratch.save(_across(rows, may_link, parities, percent), "across")
+    sizes = scratch.save(_sizes(rows), "sizes")
+    # few pairs in all are made as they are; of many, those of crowded keys are made by the whole sets
+    crowded = "false" if _few(rows) else f"pairs > {CROWDED} * rows"
+    pairs = _across(rows, sizes.filter(f"NOT ({crowded})"), may_link, parities, percent)
+    members = scratch.save(rows.join(sizes.filter(crowded), "key", "left_semi").select("class", "component").distinct(), "crowded")
+    temporary = [rows, sizes, members, parities]
+    if not members.isEmpty():
+        temporary.append(_crowd_entries(members, sets, percent))
+        pairs = pairs.unionAll(_crowd_pairs(temporary[-1], parities, percent)).distinct()
+    across = scratch.save(pairs, "across")
     if not across.isEmpty():
         links = scratch.save(verified_jaccard(across, some_sets(across), percent), "links")
         if not links.isEmpty():
             found, _ = merge(links)
-    for table in (rows, across, parities):
+    for table in (*temporary, across):
         scratch.drop(table)
     if found is None:
         found = sets.sparkSession.createDataFrame([], "id bigint, component bigint")

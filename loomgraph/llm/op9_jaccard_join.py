@@ -163,6 +163,8 @@ def _short_costs(sketch) -> object:
             for _, values in shingle_sets(batch.column("text")):
                 n = len(values)
                 if 2 <= n <= MOST_LIGHT and (key := set_id(values)) not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(key)
                     many[n] += 1
                     p = n - least_overlap(n) + 1

@@ -140,3 +140,46 @@ def test_shared_keys_in_any_batches(monkeypatch):
             batches.append(pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array([hot[k] for k, _ in part], pa.int32())], ["key", "class", "place", "hot"]))
         got = [tuple(r.values()) for batch in blocks._shared(iter(batches)) for r in batch.to_pylist()]
         assert sorted(got) == want and np.all(np.diff([g[0] for g in got]) >= 0)
+
+
+def core_texts(n, seed=9):
+    """Texts of 110 words, 106 shingles, that share the first 80 of these and link with nothing; every fortieth has a copy with one word changed."""
+    rng = random.Random(seed)
+    core = [f"c{k}" for k in range(84)]
+    texts = {}
+    for i in range(n):
+        texts[2 * i] = " ".join(core + [f"u{i}x{rng.randrange(1 << 30)}" for _ in range(26)])
+        if i % 40 == 0:
+            texts[2 * i + 1] = texts[2 * i].rsplit(" ", 1)[0] + " other"
+    return texts
+
+
+def test_crowded_core_grows_with_documents(spark):
+    """What meets at the keys of a crowd that does not link, counted before any filter, grows no faster than the crowd."""
+    met = []
+    for n in (500, 1500, 4500):
+        texts = core_texts(n)
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        sets = docs.select("text").mapInArrow(op9_jaccard_join._sets, "class bigint, shingles array<bigint>")
+        saved = op9_jaccard_join.scratch.save(sets, "sets")
+        entries = blocks._crowd_entries(saved.selectExpr("class", "class AS component"), saved, 75)
+        met.append((len(texts), blocks._crowd_meetings(entries).count()))
+    assert all(pairs <= 60 * many for many, pairs in met), met
+    assert all(y[1] / x[1] <= 1.1 * y[0] / x[0] for x, y in zip(met[:-1], met[1:], strict=True)), met
+
+
+def test_crowded_core_components(spark, monkeypatch):
+    """Links inside crowds that share a core, of many sizes, are those of brute force, with and without waves."""
+    rng = random.Random(4)
+    texts = core_texts(120)
+    core = [f"c{k}" for k in range(84)]
+    for i in range(1000, 1180):  # cores with tails of few values and many lengths, around the threshold
+        texts[i] = " ".join(core[: rng.choice([60, 70, 84])] + [f"v{rng.randrange(3)}" for _ in range(rng.randrange(0, 40))])
+    want = groups(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").cache()
+    for waves, few, crowded in ((0, -1, 0), (blocks.WAVES, 0, 0), (blocks.WAVES, blocks.FEW, blocks.CROWDED)):
+        for name, value in (("WAVES", waves), ("FEW", few), ("CROWDED", crowded)):
+            monkeypatch.setattr(blocks, name, value)
+        got = op9_jaccard_join.jaccard_components(docs).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert len(set(want.values())) < len(texts) - 20
