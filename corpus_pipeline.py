@@ -11,7 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import op2_pii, op4_quality, op8_decontamination, op9_jaccard_join, op10_mixing, scratch
-from loomgraph.llm.idfilter import anti_join
+from loomgraph.llm.idfilter import anti_join, semi_join
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    return next(x for x in (f"{name}{k or ''}" for k in range(len(taken) + 1)) if x not in taken)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +30,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that link, the one with the smallest doc_id stays.
+    """Of each group of documents that link, one row stays: that of the smallest doc_id, null the largest.
 
-    Documents without a doc_id, or without words, are in no group and stay. Rows of one doc_id share their fate: equal
-    ones stay or go together, and where different texts bear one doc_id all of them go with the one that goes.
+    Rows are told apart by doc_id and text, so a clean text stays whatever its doc_id is. Of rows that are equal in both
+    one stays, the least by its other columns; of different texts with one doc_id in a group, one stays. Documents
+    without words are in no group, and all of them stay.
     """
-    placed = op9_jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = scratch.save(placed.filter("component_id <> doc_id AND n_shingles > 0").select("doc_id").distinct(), "gone")
-    return anti_join(docs, gone, "doc_id")
+    key, best = _unused(docs, "_row"), "best"
+    row = F.xxhash64(F.lit(9), "doc_id", "text")
+    keyed = docs.withColumn(key, row)
+    placed = op9_jaccard_join.jaccard_components(docs.select(row.alias("doc_id"), "text")).filter("n_shingles > 0")
+    rows = scratch.save(placed.groupBy(F.col("doc_id").alias(key), "component_id").agg(F.count("*").alias("rows")), "rows")
+    crowds = rows.groupBy("component_id").agg(F.sum("rows").alias("all")).filter("all > 1").select("component_id")
+    grouped = scratch.save(rows.join(crowds, "component_id", "left_semi"), "grouped")
+    names = semi_join(docs.select(row.alias(key), "doc_id"), grouped, key).distinct()
+    named = scratch.save(grouped.join(names, key), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key).alias("row")))["row"]
+    told = scratch.save(named.join(named.groupBy("component_id").agg(first.alias(best)), "component_id").select(key, "rows", best), "told")
+    left = anti_join(keyed, scratch.save(told.filter(F.col(key) != F.col(best)).select(key), "gone"), key)
+    repeated = scratch.save(told.filter((F.col(key) == F.col(best)) & (F.col("rows") > 1)).select(key), "repeated")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    once = semi_join(left, repeated, key).groupBy(key).agg(F.min(F.struct(*own)).alias(best)).select(*(F.col(best)[c].alias(c) for c in docs.columns))
+    return anti_join(left, repeated, key).select(*own).unionAll(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts contain nothing and stay.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    taken = {c.lower() for c in docs.columns}
-    key = next(x for x in (f"_said{k or ''}" for k in range(len(taken) + 1)) if x not in taken)
+    key = _unused(docs, "_said")
     said = F.xxhash64(F.lit(8), "text")
     found = op8_decontamination.contained_items(docs.select(said.alias("doc_id"), "text"), items)
     hit = scratch.save(found.select(F.col("doc_id").alias(key)).distinct(), "hit")
