@@ -6,9 +6,11 @@ into pre-tokens as the tokenizer's byte-level rule cuts it; those in the proved
 each, and only the rest are merged, each distinct one once per batch, by the library itself.
 
 The cut is written for the characters whose class the regex module and the library agree on
-(code points below 0x300 and general punctuation). Texts with others are first cut where a plain
-character meets plain white space, where every pre-token ends; chunks of other characters are
-encoded by the library, each distinct one once, and the rest goes the short way. Special strings
+(code points below 0x300 and general punctuation). Texts with others are first cut where any
+character that no one takes for a space meets plain white space, where every pre-token ends. Of
+the chunks, those of other characters are looked up in the proved set too, and encoded by the
+library where they are not in it; the rest goes the short way. What a task remembers is bounded in
+bytes, and long pieces are never remembered. Special strings
 inside a text count one token each, as the library's default has it, and cut the text before
 anything else. The proof is made once for each vocabulary file; its set is broadcast, and the
 vocabulary bounds its size.
@@ -36,8 +38,11 @@ LIMIT = 512
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points of plain texts, as ranges.
 PLAIN = ((0, 0x2FF), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC))
-#: Counts of merged pre-tokens that a task remembers before it starts anew.
-REMEMBERED = 500_000
+#: Code points besides plain spaces that one library or another takes, or once took, for a space; a fixed list.
+DOUBTFUL = r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
+#: Bytes of merged pieces, with an entry's own, that a task remembers before it starts anew; longer pieces are counted each time.
+REMEMBERED = 64 << 20
+LONGEST, ENTRY = 200, 200
 
 
 @cache
@@ -84,8 +89,8 @@ def _plain_rule() -> tuple:
         f"|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
     )
     plain = "".join(f"\\u{lo:04x}-\\u{hi:04x}" for lo, hi in PLAIN)
-    # a pre-token ends where white space follows on any other plain character
-    return re.compile(rule), re.compile(f"[^{plain}]"), re.compile(f"(?<=[{members(r'\S')}])(?=[{spaces}])")
+    # a pre-token ends where white space follows on any other character
+    return re.compile(rule), re.compile(f"[^{plain}]"), re.compile(f"(?<=[^{spaces}{DOUBTFUL}])(?=[{spaces}])")
 
 
 @cache
@@ -123,13 +128,19 @@ def _count(path: str, proved) -> object:
         marks = re.compile("|".join(re.escape(t.content) for t in sorted(special, key=lambda t: -len(t.content))) or r"(?!)")
         rule, odd, seams = _plain_rule()
         merged: dict[str, int] = {}
+        held = 0
 
         def remembered(piece: str, count) -> int:
+            nonlocal held
             m = merged.get(piece)
             if m is None:
-                if len(merged) > REMEMBERED:
-                    merged.clear()
-                m = merged[piece] = count(piece)
+                m = count(piece)
+                if len(piece) <= LONGEST:
+                    held += 4 * len(piece) + ENTRY
+                    if held > REMEMBERED:
+                        merged.clear()
+                        held = 4 * len(piece) + ENTRY
+                    merged[piece] = m
             return m
 
         def library(text: str) -> int:
@@ -145,7 +156,7 @@ def _count(path: str, proved) -> object:
             total, run = 0, []
             for chunk in seams.split(text):
                 if odd.search(chunk):
-                    total += remembered(chunk, library)
+                    total += 1 if chunk in whole else remembered(chunk, library)
                 else:
                     run.append(chunk)
                     if len(run) > 1000:
