@@ -2,10 +2,10 @@
 
 A text is taken apart in two ways:
 
-* Runs of RUN words, at every word. A run's anchor is the least hash of its SHINGLE-word runs,
+* Runs of RUN words (a parameter), at every word. A run's anchor is the least hash of its SHINGLE-word runs,
   the rightmost of equal ones, so that equal runs have equal anchors wherever they stand.
   Neighbouring runs with the same anchor make a cell.
-* Paragraphs: lines of at least PARAGRAPH_WORDS words.
+* Paragraphs: lines of at least PARAGRAPH_WORDS words (a parameter).
 
 Equal cells and paragraphs are found by a pre-aggregated count of their hashes. A cell that no
 other document has may still share runs with other cells of its anchor, as at both ends of a
@@ -29,6 +29,7 @@ an empty result; extra columns are ignored. Spans are in code points, end exclus
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .blocks import class_sets, link_classes, shared_keys
+from .blocks import class_sets, link_classes
 from .idfilter import semi_join
 from .shingles import WIDTH, mix, rolling, shingles_of, text_slices, words
 
@@ -44,7 +45,7 @@ PERCENT = 75
 RECALL = 0.99
 PERMUTATIONS = 32
 PARAGRAPH_WORDS = 30
-#: Words of the shortest run that counts, and of the runs that its anchor is chosen from.
+#: Words of the shortest run that counts, and of the runs that its anchor is chosen from, at most.
 RUN = 51
 SHINGLE = 16
 UNITS = "doc_id bigint, unit bigint, anchor bigint, start int, stop int, place int, words int, bands array<bigint>"
@@ -80,11 +81,11 @@ def _bounds(start: int, end: int, line: np.ndarray) -> np.ndarray:
     return np.concatenate([[start], start + 1 + np.flatnonzero(own[1:] != own[:-1]), [end]])
 
 
-def _paragraphs(start: int, end: int, line: np.ndarray) -> list[tuple[int, int]]:
-    if end - start < PARAGRAPH_WORDS:
+def _paragraphs(start: int, end: int, line: np.ndarray, least: int) -> list[tuple[int, int]]:
+    if end - start < least:
         return []
     at = _bounds(start, end, line)
-    return [(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b - a >= PARAGRAPH_WORDS]
+    return [(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b - a >= least]
 
 
 def _unit(prefix: np.ndarray, weight: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -106,23 +107,24 @@ def _place_sums(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prefix, down
 
 
-def _cells(prefix: np.ndarray, weight: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first run, end, anchor) of the cells; run i is the words i to i + RUN, inside one text."""
+def _cells(prefix: np.ndarray, weight: np.ndarray, spans: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first run, end, anchor) of the cells; run i is the words i to i + size, inside one text."""
     n = len(prefix) - 1
     none = np.zeros(0, np.int64)
-    if n < RUN:
+    short = min(SHINGLE, size)
+    if n < size:
         return none, none, none
-    at = np.arange(n - SHINGLE + 1)
-    hashes = _unit(prefix, weight, at, at + SHINGLE)
+    at = np.arange(n - short + 1)
+    hashes = _unit(prefix, weight, at, at + short)
     # where the least of the next `width` hashes is, by doubling; of equal ones the right one
-    width, reach = 1, RUN - SHINGLE + 1
+    width, reach = 1, size - short + 1
     while width < reach:
         step = min(width, reach - width)
         left, right = at[:-step], at[step:]
         at = np.where(hashes[right] <= hashes[left], right, left)
         width += step
     text = np.repeat(np.arange(len(spans) - 1), np.diff(spans))
-    run = np.flatnonzero(text[: n - RUN + 1] == text[RUN - 1 :])
+    run = np.flatnonzero(text[: n - size + 1] == text[size - 1 :])
     if not len(run):
         return none, none, none
     own = at[run]
@@ -131,7 +133,7 @@ def _cells(prefix: np.ndarray, weight: np.ndarray, spans: np.ndarray) -> tuple[n
     return run[new], run[np.append(new[1:], len(run)) - 1] + 1, hashes[own[new]]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = np.array(batch.column("doc_id").fill_null(0))
         known = np.array(batch.column("doc_id").is_valid())
@@ -141,9 +143,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             prefix, weight = _place_sums(word)
             doc_of = np.repeat(np.arange(end_row - at), np.diff(spans))
-            a, b, anchor = _cells(prefix, weight, spans)
-            b = b + RUN - 1
-            spot = [p for i in range(len(spans) - 1) for p in _paragraphs(int(spans[i]), int(spans[i + 1]), line)]
+            a, b, anchor = _cells(prefix, weight, spans, size)
+            b = b + size - 1
+            spot = [p for i in range(len(spans) - 1) for p in _paragraphs(int(spans[i]), int(spans[i + 1]), line, least)]
             pa_, pb = (np.array(x, dtype=np.int64) for x in (zip(*spot, strict=True) if spot else ([], [])))
             start, stop = np.concatenate([a, pa_]), np.concatenate([b, pb])
             hashes = np.concatenate([_unit(prefix, weight, a, b), mix(_unit(prefix, weight, pa_, pb) + np.uint64(1))])
@@ -167,7 +169,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out if keep.all() else out.filter(pa.array(keep))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The runs of the cells that are listed in wanted."""
     for batch in batches:
         ids = np.array(batch.column("doc_id"))
@@ -179,8 +181,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             prefix, weight = _place_sums(word)
             doc_of = np.repeat(np.arange(end_row - at), np.diff(spans))
-            a, b, _ = _cells(prefix, weight, spans)
-            unit = _unit(prefix, weight, a, b + RUN - 1).view(np.int64)
+            a, b, _ = _cells(prefix, weight, spans, size)
+            unit = _unit(prefix, weight, a, b + size - 1).view(np.int64)
             listed = np.isin(unit, values[ends[at] : ends[end_row]])
             a, b = a[listed], b[listed]
             many = b - a
@@ -188,9 +190,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = doc_of[run]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[at + owner]), pa.array(_unit(prefix, weight, run, run + RUN).view(np.int64)),
-                    pa.array((first[run] - zero[owner]).astype(np.int32)), pa.array((end[run + RUN - 1] - zero[owner]).astype(np.int32)),
-                    pa.array((run - spans[owner]).astype(np.int32)), pa.array(np.full(len(run), RUN, np.int32)),
+                    pa.array(ids[at + owner]), pa.array(_unit(prefix, weight, run, run + size).view(np.int64)),
+                    pa.array((first[run] - zero[owner]).astype(np.int32)), pa.array((end[run + size - 1] - zero[owner]).astype(np.int32)),
+                    pa.array((run - spans[owner]).astype(np.int32)), pa.array(np.full(len(run), size, np.int32)),
                 ],
                 ["doc_id", "run", "start", "stop", "place", "words"],
             )
@@ -214,7 +216,7 @@ def _signatures(word: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paragraph_sets(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     def found(batch):
         for _, _, data, offsets in text_slices(batch.column("text")):
             word, line, _, _, spans, _ = _layout(data, offsets)
@@ -222,7 +224,7 @@ def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 continue
             prefix, weight = _place_sums(word)
             run = rolling(word)
-            spot = [p for i in range(len(spans) - 1) for p in _paragraphs(int(spans[i]), int(spans[i + 1]), line)]
+            spot = [p for i in range(len(spans) - 1) for p in _paragraphs(int(spans[i]), int(spans[i + 1]), line, least)]
             if spot:
                 a, b = (np.array(x, dtype=np.int64) for x in zip(*spot, strict=True))
                 for key, (x, y) in zip(mix(_unit(prefix, weight, a, b) + np.uint64(1)).view(np.int64).tolist(), spot, strict=True):
@@ -232,26 +234,38 @@ def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from class_sets(found(batch))
 
 
-def _alike(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def _alike(docs: DataFrame, paragraphs: DataFrame, least: int) -> DataFrame:
     """(unit, component) of the paragraphs that link with others. paragraphs: (unit, doc_id, bands), equal ones too."""
     each = scratch.save(paragraphs.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "paragraphs")
-    keys = each.select(F.explode("bands").alias("key"), F.col("unit").alias("class"), F.lit(0).cast("bigint").alias("place"), F.lit(0).alias("hot"))
-    lists = scratch.save(shared_keys(keys).select("key", "class", "place"), "lists")
+    keys = each.select(F.explode("bands").alias("key"), F.col("unit").alias("class"), F.lit(0).cast("bigint").alias("place"))
+    # counted before they are joined, so that a band of any number of paragraphs is split
+    many = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    lists = scratch.save(keys.join(many, "key", "left_semi").select("key", "class", "place"), "lists")
     classes = scratch.save(lists.select("class").distinct(), "classes")
     homes = scratch.save(each.join(classes.withColumnRenamed("class", "unit"), "unit", "left_semi").select("doc_id").distinct(), "homes")
-    found = semi_join(docs, homes, "doc_id").mapInArrow(_paragraph_sets, "class bigint, shingles array<bigint>")
+    found = semi_join(docs, homes, "doc_id").mapInArrow(partial(_paragraph_sets, least=least), "class bigint, shingles array<bigint>")
     sets = scratch.save(found.join(classes, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
-    linked = link_classes(lists, sets, PERCENT)
-    for table in (each, classes, homes, sets):
+    for table in (each, classes, homes):
         scratch.drop(table)
+    linked = link_classes(lists, sets, PERCENT)
+    scratch.drop(sets)
     return linked.select(F.col("class").alias("unit"), "component")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, words, kept_doc_id): spans to remove, and the smallest document that keeps text of it."""
+def repeated_passages(docs: DataFrame, run: int = RUN, paragraph_words: int = PARAGRAPH_WORDS) -> DataFrame:
+    """(doc_id, start, stop, words, kept_doc_id): spans to remove, and the smallest document that keeps text of it.
+
+    run: the words of the shortest passage that is found inside other lines. paragraph_words: those of the shortest line
+    that is compared as a paragraph, WIDTH at least. Units are hashed again where they are needed: only their counts and
+    those that repeat are written.
+    """
+    if run < 1 or paragraph_words < WIDTH:
+        raise ValueError(f"run must be 1 or more and paragraph_words {WIDTH} or more")
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    units = scratch.save(docs.mapInArrow(_units, UNITS), "units")
-    alike = _alike(docs, units.filter("bands is not null").select("unit", "doc_id", "bands"))
+    units = docs.mapInArrow(partial(_units, size=run, least=paragraph_words), UNITS)
+    paragraphs = scratch.save(units.filter("bands is not null").select("unit", "doc_id", "bands"), "lines")
+    alike = _alike(docs, paragraphs, paragraph_words)
+    scratch.drop(paragraphs)
 
     # equal units, by hash; a cluster is a component of paragraphs or a hash alone
     spread = scratch.save(units.groupBy("unit").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "spread")
@@ -260,36 +274,43 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         .select("unit", "lo", "hi", F.coalesce("component", "unit").alias("cluster")),
         "clusters",
     )
-    kept = scratch.save(
-        clusters.groupBy("cluster").agg(F.min("lo").alias("kept_doc_id"), F.max("hi").alias("hi")).filter("kept_doc_id < hi").drop("hi"),
-        "kept",
-    )
+    # runs first: they are the last to read the counts of all units
+    removed = scratch.save(_shared_runs(docs, spread, run), "shared")
+    kept = clusters.groupBy("cluster").agg(F.min("lo").alias("kept_doc_id"), F.max("hi").alias("hi")).filter("kept_doc_id < hi").drop("hi")
     where = scratch.save(clusters.join(kept, "cluster").select("unit", "kept_doc_id"), "where")
-    placed = units.select("doc_id", "unit", "start", "stop", "place", "words")
+    scratch.drop(clusters)
     whole = (
-        semi_join(placed, where, "unit").join(where, "unit")
+        semi_join(units.select("doc_id", "unit", "start", "stop", "place", "words"), where, "unit").join(where, "unit")
         .filter("doc_id > kept_doc_id").select("doc_id", "start", "stop", "place", "words", "kept_doc_id")
     )
-    return _spans(whole.unionAll(_shared_runs(docs, spread)))
+    cut = scratch.save(whole.unionAll(removed), "removed")
+    for table in (where, removed):
+        scratch.drop(table)
+    return _spans(cut)
 
 
-def _shared_runs(docs: DataFrame, spread: DataFrame) -> DataFrame:
+def _shared_runs(docs: DataFrame, spread: DataFrame, size: int) -> DataFrame:
     """Runs to remove from the first document of a cell: those that another cell of the anchor has in an earlier document.
 
-    The other documents of a cell lose all of it anyway.
+    The other documents of a cell lose all of it anyway. spread, a saved table, is dropped.
     """
     cells = spread.filter("anchor is not null")
     mixed = scratch.save(
         cells.groupBy("anchor").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).filter("least < most").select("anchor"), "anchors"
     )
     edges = scratch.save(cells.join(mixed, "anchor", "left_semi").select(F.col("lo").alias("doc_id"), "unit"), "edges")
+    for table in (spread, mixed):
+        scratch.drop(table)
     wanted = edges.groupBy("doc_id").agg(F.collect_list("unit").alias("wanted"))
     texts = semi_join(docs, edges, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    runs = scratch.save(texts.mapInArrow(_runs, RUNS), "runs")
-    first = scratch.save(
-        runs.groupBy("run").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("hi")).filter("kept_doc_id < hi").drop("hi"), "first"
+    runs = scratch.save(texts.mapInArrow(partial(_runs, size=size), RUNS), "runs")
+    scratch.drop(edges)
+    first = runs.groupBy("run").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("hi")).filter("kept_doc_id < hi").drop("hi")
+    found = scratch.save(
+        runs.join(first, "run").filter("doc_id > kept_doc_id").select("doc_id", "start", "stop", "place", "words", "kept_doc_id"), "found"
     )
-    return runs.join(first, "run").filter("doc_id > kept_doc_id").select("doc_id", "start", "stop", "place", "words", "kept_doc_id")
+    scratch.drop(runs)
+    return found
 
 
 def _spans(removed: DataFrame) -> DataFrame:
