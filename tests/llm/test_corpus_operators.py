@@ -450,3 +450,36 @@ def test_sql_twins(spark, sf_dir, name):
     ours = queries.QUERIES[name](spark, sf_dir)
     assert sorted(ours.columns) == sorted(columns)
     assert sorted(map(str, (tuple(r) for r in ours.select(*columns).collect()))) == sorted(map(str, theirs.fetchall()))
+
+
+def test_short_runs_and_paragraphs_by_parameter(spark):
+    """Runs of 10 words inside other lines and lines of 20 words are found where the parameters ask for them, and not by default."""
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"q{rng.randrange(1 << 40)}" for _ in range(n))
+    run, shorter, line = fresh(10), fresh(9), fresh(20)
+    rows = [(i, f"{fresh(30)} {run} {fresh(30)}") for i in range(4)] + [(i, f"{fresh(30)} {shorter} {fresh(30)}") for i in range(4, 8)]
+    rows += [(i, f"{fresh(6)}\n{line}\n{fresh(6)}") for i in range(8, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert op7_substring_dedup.repeated_passages(docs).count() == 0
+    got = {r["doc_id"]: rows[r["doc_id"]][1][r["start"] : r["stop"]] for r in op7_substring_dedup.repeated_passages(docs, run=10, paragraph_words=20).collect()}
+    assert got == {i: run for i in range(1, 4)} | {i: line for i in range(9, 12)}
+    got = {r["doc_id"]: rows[r["doc_id"]][1][r["start"] : r["stop"]] for r in op7_substring_dedup.repeated_passages(docs, run=1000, paragraph_words=20).collect()}
+    assert got == {i: line for i in range(9, 12)}
+    with pytest.raises(ValueError):
+        op7_substring_dedup.repeated_passages(docs, paragraph_words=4)
+
+
+def test_tokens_of_other_scripts(spark):
+    """Counts equal the library's in any script and around every kind of space."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    signs = "ab Zé.,'1 \t\n\x1c\x85\xa0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000\ufeffЖлюαβ東京語عرदेे😀\u0301"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 60))) for _ in range(1500)]
+    texts += ["Съешь ещё этих мягких французских булок " * 300, "東京語" * 3000, "ж" * 20000, " " * 5000 + "ж"]
+    library = Tokenizer.from_file(op5_token_counts.default_vocabulary())
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in op5_token_counts.token_counts(docs).collect()} == want
+    chunks = op5_token_counts._plain_rule()[2].split(texts[1500])
+    assert max(map(len, chunks)) <= 12
