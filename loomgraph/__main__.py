@@ -45,6 +45,10 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         if name == "graph":
             c.add_argument("--view", default="deps", choices=("deps", "comms", "full"))
             c.add_argument("--folder", help="a shared folder for a diagram of any size, written in parts")
+        if name == "viz":
+            c.add_argument("--container", help="the id of a package or node, where a view is too large for one page")
+            c.add_argument("--page", type=int, default=0, help="which page of what the top or a container shows")
+            c.add_argument("--folder", help="a shared folder for the pages of all containers, as JSON lines")
         if name in ("audit", "validate"):
             c.add_argument("--fail-on", default="error", choices=("error", "warning", "info"))
         if name == "audit":
@@ -100,8 +104,10 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         made = {"dot": render.dot, "json": render.graph_json}.get(args.format, render.mermaid)
         for line in made(m, args.view, args.package):
             print(line)
+    elif args.command == "viz" and args.folder:
+        render.write_levels(m, args.folder)
     elif args.command == "viz":
-        for line in render.page(m, args.path):
+        for line in render.page(m, args.path, args.container, args.page):
             print(line)
     else:
         rules = asked or [r | ({"exclude": [x for x in args.exclude.split(",") if x]} if r["type"] == "topic_connectivity" else {}) for r in policy.AUDIT]

@@ -62,7 +62,15 @@ SELECT s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 'ament_cmake' WHEN 1 THEN
   CASE WHEN s_suppkey % 3 > 0 THEN cast(s_suppkey % 101 AS INT) END AS health_score, concat('1.', s_suppkey % 12, '.0') AS version,
   concat('person ', s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE ' <p@x.org>' END) AS maintainer, concat('pkg_', s_suppkey % 60) AS short_name FROM {supplier}"""
 
-SQL = {"launch": _LAUNCH, "components": _COMPONENTS, "builds": _BUILDS, "endpoints": _ENDPOINTS, "deps": _DEPS, "chain": _CHAIN, "asked": _ASKED, "numbered": _NUMBERED, "signals": _SIGNALS, "packages": _PACKAGES, "interfaces": _INTERFACES}
+# Endpoints that grow with the documents: eight documents are a component, a source is a package, and texts of like length meet at a name.
+_POSTS = """
+SELECT concat('src_', coalesce(source, 'none')) AS package, concat('doc_', cast(floor(doc_id / 8) AS BIGINT)) AS component,
+  CASE WHEN doc_id % 4 = 0 THEN 'publishes' WHEN doc_id % 4 = 1 THEN 'subscribes' WHEN doc_id % 4 = 2 THEN 'provides' ELSE 'calls' END AS role,
+  concat('/', coalesce(lang, 'und'), '/n', n_chars % 997) AS name,
+  CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE concat('msgs/T', n_chars % 3) END AS msg_type, doc_id AS seq
+FROM {documents}"""
+
+SQL = {"posts": _POSTS, "launch": _LAUNCH, "components": _COMPONENTS, "builds": _BUILDS, "endpoints": _ENDPOINTS, "deps": _DEPS, "chain": _CHAIN, "asked": _ASKED, "numbered": _NUMBERED, "signals": _SIGNALS, "packages": _PACKAGES, "interfaces": _INTERFACES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

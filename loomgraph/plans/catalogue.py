@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import assembly, graph, health, packages, reach, rules
+from ..operators import assembly, graph, health, levels, packages, reach, rules
 from .bridge import oracle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def _query(sql: str):
     return add
 
 
-E, D, P, S, I, T, A, N = (oracle(n) for n in ("endpoints", "deps", "packages", "signals", "interfaces", "chain", "asked", "numbered"))
+E, D, P, S, I, T, A, N, O = (oracle(n) for n in ("endpoints", "deps", "packages", "signals", "interfaces", "chain", "asked", "numbered", "posts"))
 _REL = "CASE role WHEN 'serves' THEN 'provides' WHEN 'requests' THEN 'calls' ELSE role END"
 _TOPIC, _SERVICE = "role IN ('publishes', 'subscribes')", "role IN ('provides', 'calls')"
 _ID = f"CASE WHEN {_TOPIC} THEN concat('topic:', name) ELSE concat('svc:', name) END"
@@ -569,3 +569,35 @@ def selection(spark, d):
     vertices = nodes.unionByName(graph.comm_vertices(e).select("id", "kind", "name", F.lit(None).cast("string").alias("package")))
     edges = graph.comm_edges(e)
     return graph.selection(graph.compound(vertices, edges)[0], edges, spark.createDataFrame([(_ONE,)], "id string"))
+
+
+def _nested(endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    nodes = graph.components(endpoints).select("id", F.lit("Node").alias("kind"), F.col("component").alias("name"), "package")
+    vertices = nodes.unionByName(graph.comm_vertices(endpoints).select("id", "kind", "name", F.lit(None).cast("string").alias("package")))
+    return graph.compound(vertices, graph.comm_edges(endpoints))
+
+
+_LEVELS = f"""WITH el AS ({ORACLE["compound_elements"].replace(E, O)}),
+  path AS (SELECT a.*, list_filter([c.id, b.id, a.id], lambda x: x IS NOT NULL) AS path FROM el a LEFT JOIN el b ON b.id = a.parent LEFT JOIN el c ON c.id = b.parent)"""
+
+
+@_query(f"""{_LEVELS} SELECT p.parent AS container, p.id, p.kind, p.name, p.label, (SELECT count(*) FROM path q WHERE q.id <> p.id AND list_contains(q.path, p.id)) AS inside FROM path p""")
+def level_elements(spark, d):
+    return levels.level_elements(_nested(table(spark, d, "posts"))[0])
+
+
+@_query(f"""{_LEVELS}, met AS (SELECT e.src, e.dst, e.rel, s.path AS a, t.path AS b, len(list_intersect(s.path, t.path)) AS k
+    FROM {_EDGES.replace(E, O)} e JOIN path s ON s.id = e.src JOIN path t ON t.id = e.dst)
+  SELECT CASE WHEN k > 0 THEN a[k] END AS container, coalesce(a[k + 1], src) AS src, coalesce(b[k + 1], dst) AS dst, rel, count(*) AS n FROM met GROUP BY ALL""")
+def level_edges(spark, d):
+    return levels.level_edges(*_nested(table(spark, d, "posts")))
+
+
+@_query(f"SELECT * FROM {_TOPIC_RULE}".replace(E, O))
+def document_topic_connectivity(spark, d):
+    return rules.topic_connectivity(table(spark, d, "posts"))
+
+
+@_query(ORACLE["component_connections"].replace(E, O))
+def document_connections(spark, d):
+    return graph.connections(table(spark, d, "posts"))
