@@ -121,7 +121,7 @@ for(const [name,v] of Object.entries(g.views)){
     if(!by.has(e.id)){const x=put(to,'div',text);x.title=e.id;continue}
     const d=put(to,'details',''),s=put(d,'summary',text);s.title=e.id;d.addEventListener('toggle',()=>list(d,e.id),{once:true})}};
   list(out,v.whole?null:g.container??null);
-  put(out,'pre',v.edges.map(x=>x.src+' '+x.rel+' '+x.dst+(x.n>1?' ('+x.n+')':'')).join('\n'));
+  put(out,'pre',v.edges.map(x=>x.src+' '+x.rel+' '+x.dst+(x.n>1?' ('+x.n+')':'')).join('\\n'));
 }"""
 
 

@@ -97,7 +97,7 @@ def small(spark):
 def test_page_whole(small):
     lines = list(render.page(small, "<ws>"))
     got = embedded(lines)
-    assert "<h1>&lt;ws&gt;</h1>" in lines[0]
+    assert "<h1>&lt;ws&gt;</h1>" in lines[0] and r".join('\n')" in lines[-1]
     assert got["summary"] == {"Package": 2, "Node": 12, "Topic": 1, "Service": 0, "Action": 0, "Interface": 0}
     assert list(got["views"]) == ["deps", "comms", "full"] and all(v["whole"] for v in got["views"].values())
     assert {e["id"] for e in got["views"]["deps"]["elements"]} == {"pkg:a", "pkg:b"} and len(got["views"]["deps"]["edges"]) == 1
