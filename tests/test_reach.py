@@ -126,3 +126,54 @@ def test_rules_and_scores(spark):
     assert [r["entity"] for r in rules.dependency_required(deps, known, pairs).collect()] == ["c"]
     scores = {r["name"]: r["score"] for r in health.deduct_cycles(known, deps).collect()}
     assert scores == {"a": 5, "b": 0, "c": 0, "d": 5}
+
+
+def blocks(n):
+    """n blocks of eight vertices, each a ring of five and a ring of three behind it, and each block behind the next one."""
+    arcs = []
+    for k in range(n):
+        v = [f"b{k:03d}_{i}" for i in range(8)]
+        arcs += [(v[i], v[(i + 1) % 5]) for i in range(5)] + [(v[4], v[5]), (v[5], v[6]), (v[6], v[7]), (v[7], v[5]), (f"b{k + 1:03d}_0", v[0])]
+    return arcs
+
+
+def watch(monkeypatch):
+    """The tables that reach.py writes from now on, by tag, with their plans."""
+    written, save = [], reach.save
+
+    def told(df, tag):
+        written.append((tag, df._jdf.queryExecution().toString()))
+        return save(df, tag)
+
+    monkeypatch.setattr(reach, "save", told)
+    return written
+
+
+def test_few_rounds_and_no_broadcast(spark, monkeypatch):
+    # the rings of three are of the colour of those of five, and were found only in a second turn
+    written = watch(monkeypatch)
+    arcs = frame(spark, blocks(40))
+    assert reach.strong_components(arcs).count() == 320
+    assert len(written) <= 20
+    assert reach.simple_cycles(arcs).count() == 80
+    assert not [tag for tag, plan in written if "Broadcast" in plan]
+
+
+@pytest.mark.parametrize("small", [0, 6])
+def test_components_of_large_colours(spark, edges, monkeypatch, small):
+    monkeypatch.setattr(reach, "SMALL", small)
+    arcs = edges + blocks(2)
+    reached = closure_of(arcs)
+    want = {a: min(b for b in reached[a] if a in reached[b]) for a in reached if a in reached[a]}
+    assert sorted(tuple(r) for r in reach.strong_components(frame(spark, arcs)).collect()) == sorted(want.items())
+
+
+@pytest.mark.parametrize("condensed", [0, 1 << 30])
+def test_reachable_either_way(spark, edges, monkeypatch, condensed):
+    monkeypatch.setattr(reach, "CONDENSED", condensed)
+    reached = closure_of(edges)
+    names = sorted({x for e in edges for x in e})
+    rng = random.Random(3)
+    pairs = {(rng.choice(names), rng.choice(names)) for _ in range(40)} | {(a, a) for a in names[:8]} | {("v20", "v22"), ("v21", "v20"), ("v00", "nowhere"), ("nowhere", "nowhere")}
+    got = [tuple(r) for r in reach.reachable(frame(spark, edges), spark.createDataFrame(sorted(pairs), "src string, dst string")).collect()]
+    assert sorted(got) == sorted((a, b) for a, b in pairs if b in reached.get(a, ()))
