@@ -125,3 +125,11 @@ def test_a_finding_names_some_and_counts_the_rest(spark, monkeypatch):
     rows = [("p", f"c{i}", "subscribes", "/hot", "T", 100 - i) for i in range(10)] + [("p", "c1", "subscribes", "/few", "T", 0)]
     found = {r["entity"]: r["message"] for r in rules.topic_connectivity(spark.createDataFrame(rows, ROWS)).collect()}
     assert found["/hot"].endswith("subscribers: c9, c8, c7 and 7 more") and found["/few"].endswith("subscribers: c1")
+
+
+def test_connections_are_dealt_to_all_cores(spark):
+    rows = [("p", f"c{i}", "publishes", f"/n{i % 60}", "unknown", i) for i in range(240)]
+    ends = spark.createDataFrame(rows, "package string, component string, role string, name string, msg_type string, seq long")
+    met = graph.connection_rows(ends, ends.select("package", "component"))
+    assert met.count() == 240 * 3
+    assert met.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
