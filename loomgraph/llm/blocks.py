@@ -16,7 +16,7 @@ Keys that stay crowded are left, and their classes are joined anew by their whol
 counted exactly among these classes, rarest first, and a class is entered once for each range of
 sizes that a partner can have, with just the shingles of which such a partner must have one. Many
 texts that share a core and do not link meet nowhere then, because the core comes after what
-is rarer, and what such a partner must have lies before it.
+is rarer, and what such a partner must have lies before it. The core itself is counted and put in order inside tasks.
 A group of many alike classes thus costs its size, and no link between components is lost.
 """
 
@@ -287,16 +287,71 @@ def _entries(percent: int) -> object:
     return run
 
 
+#: Shingles of a crowd that each hold more than one in so many of its shared ones; so there are fewer of them than this.
+HEAVY = 1 << 16
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, n) of (shingles): how many sets of a batch have each."""
+    for batch in batches:
+        values, n = np.unique(batch.column("shingles").flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["shingle", "n"])
+
+
+def _parted(heavy) -> object:
+    """(class, component, n, rare, common) of (class, component, shingles): common are the shingles of heavy, in its order; rare the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = heavy.value
+        for batch in batches:
+            lists = batch.column("shingles")
+            values, size = lists.flatten().to_numpy(), np.diff(np.asarray(lists.offsets))
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+            held = known[at] == values if len(known) else np.zeros(len(values), dtype=bool)
+            order = np.lexsort((rank[at[held]], row[held]))
+            cols = []
+            for of, rows in ((values[~held], row[~held]), (values[held][order], row[held][order])):
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(size)))]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(of)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class"), batch.column("component"), pa.array(size.astype(np.int64)), *cols], ["class", "component", "n", "rare", "common"]
+            )
+
+    return run
+
+
+def _crowd_shared(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of a crowd as _entries wants them, (class, component, n, shingles); the rows (class, shingle) dealt for it, and a saved table of counts.
+
+    own: a saved table (class, component, shingles). The shingles that a crowd has in common are few. They are counted inside tasks and
+    put in order there, so that what is dealt by shingle is no more than what the sets have besides.
+    """
+    often = own.select("shingles").mapInArrow(_counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("often"))
+    often = scratch.save(often.filter("often > 1"), "often")
+    total = often.agg(F.sum("often")).first()[0] or 0
+    heavy = sorted((r["often"], r["shingle"]) for r in often.filter(F.col("often") * HEAVY > total).collect())
+    known = np.array([x for _, x in heavy], dtype=np.int64)
+    rank = np.argsort(known)
+    order = own.sparkSession.sparkContext.broadcast((known[rank], rank))
+    parted = own.mapInArrow(_parted(order), "class bigint, component bigint, n bigint, rare array<bigint>, common array<bigint>")
+    each = parted.select("class", F.explode("rare").alias("shingle"))
+    listed = each.join(often, "shingle").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("often", "shingle")))["shingle"].alias("shared"))
+    ordered = (
+        parted.select("class", "component", "n", "common").join(listed, "class", "left")
+        .select("class", "component", "n", F.concat(F.coalesce("shared", F.expr("array()")), "common").alias("shingles")).filter("size(shingles) > 0")
+    )
+    return ordered, each, often
+
+
 def _crowd_entries(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(key, role, class, component, n, place, main) of the classes (class, component), at the keys that more than one component has."""
-    own = scratch.save(sets.join(classes, "class"), "crowd")
-    each = own.select("class", F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
-    listed = each.join(often, "shingle").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("often", "shingle")))["shingle"].alias("shared"))
-    ordered = own.select("class", "component", F.size("shingles").cast("bigint").alias("n")).join(listed.withColumnRenamed("shared", "shingles"), "class")
+    own = scratch.save(sets.join(classes, "class").select("class", "component", "shingles"), "crowd")
+    ordered, _, often = _crowd_shared(own)
     made = ordered.mapInArrow(_entries(percent), "key bigint, role int, class bigint, component bigint, n bigint, place bigint")
     entries = scratch.save(made, "entries")
-    scratch.drop(own)
+    for table in (own, often):
+        scratch.drop(table)
     kept = scratch.save(entries.join(_sizes(entries).filter("pairs > 0").select("key", "main"), "key"), "kept")
     scratch.drop(entries)
     return kept

@@ -193,3 +193,22 @@ def test_crowded_core_components(spark, monkeypatch):
         got = op9_jaccard_join.jaccard_components(docs).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert len(set(want.values())) < len(texts) - 20
+
+
+def test_crowded_core_is_not_dealt(spark, monkeypatch):
+    """What a crowd has in common is counted inside tasks: dealt by shingle is what its sets have besides, and the order is that of exact counts."""
+    from collections import Counter
+
+    texts = core_texts(400)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    sets = docs.select("text").mapInArrow(op9_jaccard_join._sets, "class bigint, shingles array<bigint>")
+    saved = op9_jaccard_join.scratch.save(sets.selectExpr("class", "class AS component", "shingles"), "sets")
+    own = {r["class"]: r["shingles"] for r in saved.collect()}
+    often = Counter(x for values in own.values() for x in values)
+    want = {c: (len(x), [v for _, v in sorted((often[v], v) for v in x if often[v] > 1)]) for c, x in own.items()}
+    for heavy, most in ((blocks.HEAVY, 30), (200, 40), (1, 110)):
+        monkeypatch.setattr(blocks, "HEAVY", heavy)
+        ordered, dealt, _ = blocks._crowd_shared(saved)
+        assert {r["class"]: (r["n"], r["shingles"]) for r in ordered.collect()} == {c: x for c, x in want.items() if x[1]}
+        assert dealt.count() <= most * len(own)
+    assert blocks._crowd_shared(saved.limit(0))[0].count() == 0
