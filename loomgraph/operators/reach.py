@@ -79,7 +79,8 @@ def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst): the asked pairs with a path of one step or more.
 
     Where many pairs are asked, each strong component becomes one vertex first: pairs inside one are settled at once, and those of the same two
-    components are one pair of a graph without cycles, whose cones are smaller by the size of the components. A few pairs are searched
+    components are one pair of a graph without cycles, whose cones are smaller by the size of the components; what cannot be reached by the
+    order of what both ends reach is not searched for. A few pairs are searched
     for in the graph as it is, of which only their cones are read. Pairs with a null end are left out.
     """
     arcs = _arcs(edges)
@@ -98,10 +99,23 @@ def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     condensed = between(placed(arcs))
     for table in (arcs, left, home):
         drop(table)
-    found = _searched(condensed, between(asked)).select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
+    found = _searched(condensed, _possible(condensed, between(asked))).select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
     return asked.filter("_within").select("src", "dst").unionAll(_with(asked, found, ["_from", "_to"]).select("src", "dst"))
 
 
+def _possible(arcs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that can have a path: whoever reaches another reaches all that this one reaches, so the greatest vertex of it is no less. Consumes pairs.
+
+    That takes tables of the size of the graph, and spares the cones of most pairs without a path, which would have to be walked to their ends.
+    """
+    top = _colours(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), greatest=True)
+    of = lambda end: top.select(F.col("id").alias(end), F.col("colour").alias(f"_{end}"))
+    left = save(_with(_with(pairs, of("src"), "src"), of("dst"), "dst").filter("_dst <= _src").select("src", "dst"), "possible")
+    for table in (top, pairs):
+        drop(table)
+    return left
+
+
 def _searched(arcs: DataFrame, left: DataFrame) -> DataFrame:
     """The pairs of `left` with a path. Both are saved tables of distinct rows without nulls; arcs is dropped.
 
@@ -145,17 +159,18 @@ def _trimmed(arcs: DataFrame) -> DataFrame:
     return arcs
 
 
-def _colours(arcs: DataFrame) -> DataFrame:
-    """(id, colour): the least vertex from which each vertex can be reached, itself included."""
+def _colours(arcs: DataFrame, greatest: bool = False) -> DataFrame:
+    """(id, colour): the least, or greatest, vertex from which each vertex can be reached, itself included."""
+    first, best = (F.greatest, F.max) if greatest else (F.least, F.min)
     ids = arcs.select(F.col("src").alias("id")).unionAll(arcs.select("dst")).distinct()
     colours = save(ids.withColumn("colour", F.col("id")).withColumn("moved", F.lit(True)), "colours")
     while True:
-        told = _with(colours.filter("moved").select(F.col("id").alias("src"), "colour"), arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("told"))
+        told = _with(colours.filter("moved").select(F.col("id").alias("src"), "colour"), arcs, "src").groupBy(F.col("dst").alias("id")).agg(best("colour").alias("told"))
         # the colour of one's colour reaches as far
         jump = colours.filter("id <> colour").select(F.col("id").alias("colour"), F.col("colour").alias("beyond"))
-        better = F.least("colour", F.coalesce("told", "colour"), F.coalesce("beyond", "colour"))
+        better = first("colour", F.coalesce("told", "colour"), F.coalesce("beyond", "colour"))
         joined = _with(_with(colours, told, "id", "left"), jump, "colour", "left")
-        after = save(joined.select("id", better.alias("colour"), (better < F.col("colour")).alias("moved")), "colours")
+        after = save(joined.select("id", better.alias("colour"), (better != F.col("colour")).alias("moved")), "colours")
         drop(colours)
         colours = after
         if colours.filter("moved").isEmpty():

@@ -177,3 +177,18 @@ def test_reachable_either_way(spark, edges, monkeypatch, condensed):
     pairs = {(rng.choice(names), rng.choice(names)) for _ in range(40)} | {(a, a) for a in names[:8]} | {("v20", "v22"), ("v21", "v20"), ("v00", "nowhere"), ("nowhere", "nowhere")}
     got = [tuple(r) for r in reach.reachable(frame(spark, edges), spark.createDataFrame(sorted(pairs), "src string, dst string")).collect()]
     assert sorted(got) == sorted((a, b) for a, b in pairs if b in reached.get(a, ()))
+
+
+def test_pairs_without_a_path_are_not_searched(spark, monkeypatch):
+    """Of pairs whose source reaches less than the target, none is walked from; those that are left give the same result."""
+    edges = [(f"v{i:03d}", f"v{i // 2:03d}") for i in range(1, 200)] + [(f"v{i:03d}", f"v{i + 1:03d}") for i in range(0, 200, 8)] + [("v050", "v197"), ("v197", "v198")]
+    names = sorted({x for e in edges for x in e})
+    pairs = [(f"v{i:03d}", f"v{i + 3:03d}") for i in range(190)] + [(f"v{i:03d}", f"v{i // 16:03d}") for i in range(190)] + [("v101", "v198"), ("v050", "nowhere")]
+    walked = []
+    searched = reach._searched
+    monkeypatch.setattr(reach, "_searched", lambda arcs, left: walked.append(left.count()) or searched(arcs, left))
+    reached = closure_of(edges)
+    got = [tuple(r) for r in reach.reachable(frame(spark, edges), spark.createDataFrame(pairs, "src string, dst string")).collect()]
+    want = sorted({(a, b) for a, b in pairs if b in reached.get(a, ())})
+    assert sorted(got) == want and ("v101", "v198") in got
+    assert len(names) == 200 and walked[0] < len(want) + 30
