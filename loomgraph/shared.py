@@ -22,9 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or _LOCAL).rstrip("/")
 
 
-#: Rows of the Arrow batches while a table is written, at most: rows can be whole texts, and a batch is held several times over.
-BATCH_ROWS = 2500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of the Arrow batches while a table is written, at most: rows can be whole texts, and a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 2500, 1 << 21
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -36,12 +36,15 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before))))
+    before = {key: spark.conf.get(key) for key in (_ROWS, _BYTES)}
+    rows = int(before[_ROWS])
+    spark.conf.set(_ROWS, str(BATCH_ROWS if rows <= 0 else min(BATCH_ROWS, rows)))
+    spark.conf.set(_BYTES, str(BATCH_BYTES))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
