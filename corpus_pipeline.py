@@ -7,7 +7,7 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import op2_pii, op4_quality, op8_decontamination, op9_jaccard_join, op10_mixing, scratch
@@ -29,6 +29,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op4_quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _told(docs: DataFrame, row: Column, key: str, best: str) -> DataFrame:
+    """(key, rows, best) of the rows in groups of several: how many equal ones there are, and the one of the group that stays."""
+    placed = op9_jaccard_join.jaccard_components(docs.select(row.alias("doc_id"), "text")).filter("n_shingles > 0")
+    rows = scratch.save(placed.groupBy(F.col("doc_id").alias(key), "component_id").agg(F.count("*").alias("rows")), "rows")
+    crowds = rows.groupBy("component_id").agg(F.sum("rows").alias("all")).filter("all > 1").select("component_id")
+    grouped = scratch.save(rows.join(crowds, "component_id", "left_semi"), "grouped")
+    names = semi_join(docs.select(row.alias(key), "doc_id"), grouped, key).distinct()
+    named = scratch.save(grouped.join(names, key), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key).alias("row")))["row"]
+    return scratch.save(named.join(named.groupBy("component_id").agg(first.alias(best)), "component_id").select(key, "rows", best), "told")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that link, one row stays: that of the smallest doc_id, null the largest.
 
@@ -39,14 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key, best = _unused(docs, "_row"), "best"
     row = F.xxhash64(F.lit(9), "doc_id", "text")
     keyed = docs.withColumn(key, row)
-    placed = op9_jaccard_join.jaccard_components(docs.select(row.alias("doc_id"), "text")).filter("n_shingles > 0")
-    rows = scratch.save(placed.groupBy(F.col("doc_id").alias(key), "component_id").agg(F.count("*").alias("rows")), "rows")
-    crowds = rows.groupBy("component_id").agg(F.sum("rows").alias("all")).filter("all > 1").select("component_id")
-    grouped = scratch.save(rows.join(crowds, "component_id", "left_semi"), "grouped")
-    names = semi_join(docs.select(row.alias(key), "doc_id"), grouped, key).distinct()
-    named = scratch.save(grouped.join(names, key), "named")
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key).alias("row")))["row"]
-    told = scratch.save(named.join(named.groupBy("component_id").agg(first.alias(best)), "component_id").select(key, "rows", best), "told")
+    with scratch.shuffled(spark):
+        told = _told(docs, row, key, best)
     left = anti_join(keyed, scratch.save(told.filter(F.col(key) != F.col(best)).select(key), "gone"), key)
     repeated = scratch.save(told.filter((F.col(key) == F.col(best)) & (F.col("rows") > 1)).select(key), "repeated")
     own = [F.col(f"`{c}`") for c in docs.columns]

@@ -109,6 +109,24 @@ def test_near_duplicates_by_row(spark, sf_dir):
     assert got == sorted([(5, alike, "x"), (7, clean, "x"), (8, "", "x"), (8, "", "x"), (9, None, "x")], key=str)
 
 
+def test_near_duplicates_broadcast_by_hint_only(spark, sf_dir, monkeypatch):
+    """Small joins on the way to the groups are shuffled; only the bitmaps of joins by id pass through the driver."""
+    from loomgraph.llm import scratch
+
+    save, seen = scratch.save, set()
+
+    def watched(df, tag):
+        if "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString():
+            seen.add(tag)
+        return save(df, tag)
+
+    monkeypatch.setattr(scratch, "save", watched)
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"{text} {k}", "en", "a", 9) for k in range(6)] + [(9, "alone in here", "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == [0, 9]
+    assert seen <= {"sets", "named"}
+
+
 def test_clashing_columns(spark, sf_dir):
     """Stages keep columns whose names are also those of working columns, nulls and repeated rows."""
     rows = [(1, None, "en", None, 0), (2, "a b c d e f g", None, "s", None), (2, "a b c d e f g", None, "s", None), (None, "a b c d e f g", "en", "s", 3), (4, "", "en", "s", 0)]
