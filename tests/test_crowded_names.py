@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, numbering, rules
 
@@ -133,3 +134,26 @@ def test_connections_are_dealt_to_all_cores(spark):
     met = graph.connection_rows(ends, ends.select("package", "component"))
     assert met.count() == 240 * 3
     assert met.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_connections_of_a_crowded_name_are_shared(spark):
+    rows = [("p", f"c{i}", "subscribes" if i % 3 else "publishes", "/hot", "T", i) for i in range(300)]
+    # alone at a name, with itself only, and where the name, a package or a component is not known
+    rows += [("p", "c1", "publishes", "/own", "T", 900), ("p", "c1", "subscribes", "/own", "T", 901), ("p", "c2", "provides", "/lone", "T", 902), ("p", "c3", "publishes", None, "T", 903)]
+    rows += [("p", "c4", "publishes", "/half", "T", 904), ("q", None, "publishes", "/half", "T", 905), (None, "c4", "publishes", "/half", "T", 906), ("p", "c5", "odd", "/hot", "T", 907)]
+    rows += [("p", f"c{i}", "provides" if i % 2 else "calls", "/few", "T", 1000 + i) for i in range(10)]
+    ends = spark.createDataFrame(rows, ROWS)
+    met = graph.connection_rows(ends, ends.filter("package = 'p'"), block=20).cache()
+
+    def side(role):
+        return "Topic" if role in ("publishes", "subscribes") else "Service" if role in ("provides", "calls") else None
+
+    want = []
+    for p, c, role, name, kind, seq in ((*r[:4], side(r[2]), r[5]) for r in rows if r[0] == "p"):
+        peers = [r for r in rows if name is not None and kind and r[3] == name and side(r[2]) == kind and r[2] != "provides"]
+        peers = [r for r in peers if (r[0] is not None and r[0] != p) or (r[1] is not None and r[1] != c)]
+        want += [(c, name, kind, seq, r[2], r[5]) for r in peers] or [(c, name, kind, seq, None, None)]
+    got = [(r["component"], r["name"], r["kind"], r["seq"], r["peer_rel"], r["peer_seq"]) for r in met.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    hot = [r["count"] for r in met.filter("name = '/hot' AND peer_rel IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(hot) == 300 * 299 and max(hot) < 0.4 * sum(hot)
